@@ -47,3 +47,28 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
+
+
+def pieces(batch, column: str, most: int = 4 << 20):
+    """Slices of an Arrow batch of about `most` bytes of `column`, one row at least; nothing is left out."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def gather(flat, starts, lengths):
+    """The runs flat[starts[i]:starts[i] + lengths[i]], one after another."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]

@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridwright.llm import exact_dedup
+from gridwright.llm.exact_dedup import op6_exact_dedup
 from gridwright.llm.quality_rules import op7_quality_rules
 from gridwright.llm.sharding import op4_sharding
+from gridwright.llm.token_output import op8_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": op4_sharding,
+        "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_output": op8_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
