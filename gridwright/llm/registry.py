@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridwright.llm import exact_dedup
 from gridwright.llm.exact_dedup import op6_exact_dedup
+from gridwright.llm.quality_classifier import op1_quality_classifier
 from gridwright.llm.quality_rules import op7_quality_rules
+from gridwright.llm.sentencepieces import op3_sentencepieces
 from gridwright.llm.sharding import op4_sharding
 from gridwright.llm.token_output import op8_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op3_sentencepieces": op3_sentencepieces,
         "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
