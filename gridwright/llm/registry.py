@@ -12,6 +12,7 @@ from gridwright.llm.quality_classifier import op1_quality_classifier
 from gridwright.llm.quality_rules import op7_quality_rules
 from gridwright.llm.sentencepieces import op3_sentencepieces
 from gridwright.llm.sharding import op4_sharding
+from gridwright.llm.simhash import op5_simhash
 from gridwright.llm.token_output import op8_token_output
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op3_sentencepieces": op3_sentencepieces,
         "op4_sharding": op4_sharding,
+        "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_output": op8_token_output,
