@@ -31,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 LONG = 64
 #: Different units of which a task keeps the ids; it forgets all when there are more.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 500_000
 #: A line feed is in no piece, so it is a unit by itself.
 UNITS = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -204,6 +204,12 @@ def loaded(path: str) -> Pieces:
     return load(path)
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One cache of units for each Python worker."""
+    return Encoder(loaded(path))
+
+
 class Encoder:
     def __init__(self, table: Pieces):
         self.table = table
@@ -239,7 +245,7 @@ def _encoded(path: str, column: str):
         import numpy as np
         import pyarrow as pa
 
-        encoder = Encoder(loaded(path))
+        encoder = encoder_of(path)
         table = encoder.table
         for batch in batches:
             for piece in pieces(batch, column, 2 << 20):
