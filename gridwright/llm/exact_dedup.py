@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.common import WHITE_BYTES, partitions, read, shared_path
 
-ENTRY = "uid long, doc_id long, entry long, key long, text_sha256 string, text binary, n long, best_chars long, best_doc long, best_uid long"
+#: What the entry table adds to the documents' own columns.
+ADDED = {"__entry": "long", "__key": "long", "__sha256": "string", "__head": "boolean", "__n": "long", "__chars": "long", "__doc": "long", "__uid": "long"}
 INDEX = "entry long, bucket long, depth int, keep_uid long, keep_id long, group_size long"
 
 
@@ -82,34 +83,41 @@ def _rank(chars: int, doc_id: int | None, uid: int) -> tuple:
     return (-chars, doc_id is None, doc_id or 0, uid)
 
 
-def _entries(batches):
-    """Rows of ENTRY for batches of (uid, doc_id, text)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    schema = None
-    for batch in batches:
-        chars = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        uids, ids = batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist()
-        first: dict[bytes, int] = {}
-        rows = []
-        for i, text in enumerate(texts):
-            bare = (text or b"").translate(None, WHITE_BYTES)
-            at = first.setdefault(bare, i)
-            rank = _rank(chars[i], ids[i], uids[i])
-            if at == i:
-                digest = hashlib.sha256(bare)
-                rows.append([uids[i], ids[i], uids[i], int.from_bytes(digest.digest()[:8], "big", signed=True), digest.hexdigest(), bare, 1, rank])
-            else:
-                head = rows[at]
-                head[6] += 1
-                head[7] = min(head[7], rank)
-                rows.append([uids[i], ids[i], head[0], head[3], head[4], None, None, None])
-        if schema is None:
-            schema = pa.schema([(name, pa.string() if kind == "string" else pa.binary() if kind == "binary" else pa.int64()) for name, kind in (x.split() for x in ENTRY.split(", "))])
-        flat = [(*r[:7], -r[7][0], None if r[7][1] else r[7][2], r[7][3]) if r[7] else (*r[:7], None, None, None) for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), schema, strict=True)] if flat else [pa.array([], f.type) for f in schema], schema=schema)
+def bare(text: bytes | None) -> bytes:
+    """The text as it is compared."""
+    return (text or b"").translate(None, WHITE_BYTES)
+
+
+def _entries(text: str, doc_id: str):
+    def run(batches):
+        """The batches with the columns of ADDED: the first of equal texts is the head of an entry."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        for batch in batches:
+            chars = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+            texts = batch.column(text).cast(pa.binary())
+            uids, ids = batch.column("uid").to_pylist(), batch.column(doc_id).cast(pa.int64()).to_pylist()
+            first: dict[bytes, int] = {}
+            rows = []
+            for i, value in enumerate(texts):
+                content = bare(value.as_py())
+                at = first.setdefault(content, i)
+                rank = _rank(chars[i], ids[i], uids[i])
+                if at == i:
+                    digest = hashlib.sha256(content)
+                    rows.append([uids[i], int.from_bytes(digest.digest()[:8], "big", signed=True), digest.hexdigest(), True, 1, rank])
+                else:
+                    head = rows[at]
+                    head[4] += 1
+                    head[5] = min(head[5], rank)
+                    rows.append([*head[:3], False, None, None])
+            flat = [(*r[:5], -r[5][0], None if r[5][1] else r[5][2], r[5][3]) if r[3] else (*r[:5], None, None, None) for r in rows]
+            added = [pa.array(c, kinds[k]) for c, k in zip(zip(*flat, strict=True) if flat else [[]] * len(ADDED), ADDED.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *ADDED])
+
+    return run
 
 
 def _owned(capacity: int):
@@ -120,10 +128,10 @@ def _owned(capacity: int):
         index = ExtendibleIndex(capacity)
         for batch in batches:
             for row in batch.to_pylist():
-                record = index.insert(row["key"] & (1 << 64) - 1, row["text"])
-                record["entries"].append(row["entry"])
-                record["n"] += row["n"]
-                rank = _rank(row["best_chars"], row["best_doc"], row["best_uid"])
+                record = index.insert(row["__key"] & (1 << 64) - 1, bare(row["text"]))
+                record["entries"].append(row["__entry"])
+                record["n"] += row["__n"]
+                rank = _rank(row["__chars"], row["__doc"], row["__uid"])
                 record["best"] = min(record["best"] or rank, rank)
         out = [(e, at, depth, r["best"][3], None if r["best"][1] else r["best"][2], r["n"]) for at, depth, r in index.records() for e in r["entries"]]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -135,45 +143,37 @@ def _owned(capacity: int):
 
 
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The entry table and the index, both read back from the shared folder. `docs` needs `uid`."""
+    """The entry table (`docs` with `uid` and the columns of ADDED) and the index, read back from the shared folder."""
     spark = docs.sparkSession
     n = owners or 8 * partitions(spark)
     table, index = shared_path(spark, "exact-entries"), shared_path(spark, "exact-index")
-    source = docs.select("uid", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    source.mapInArrow(_entries, ENTRY).write.option("compression", "zstd").parquet(table)
-    entries = spark.read.schema(ENTRY).parquet(table)
+    source = docs.drop("uid", *ADDED).withColumn("uid", F.monotonically_increasing_id())
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{k} {v}" for k, v in ADDED.items())])
+    source.mapInArrow(_entries(text, doc_id), schema).write.option("compression", "zstd").parquet(table)
+    entries = spark.read.schema(schema).parquet(table)
     # a range of keys for each owner: the leading 32 bits as a number, times the owners
-    owner = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(n).cast("long"), 32).cast("int")
-    owned = entries.where(F.col("text").isNotNull()).select("entry", "key", "text", "n", "best_chars", "best_doc", "best_uid", owner.alias("owner"))
-    owned.repartition(partitions(spark), "owner").drop("owner").mapInArrow(_owned(capacity), INDEX).write.option("compression", "zstd").parquet(index)
+    owner = F.shiftrightunsigned(F.shiftrightunsigned("__key", 32) * F.lit(n).cast("long"), 32).cast("int")
+    heads = entries.where("__head").select("__entry", "__key", F.col(text).cast("binary").alias("text"), "__n", "__chars", "__doc", "__uid", owner.alias("owner"))
+    heads.repartition(partitions(spark), "owner").drop("owner").mapInArrow(_owned(capacity), INDEX).write.option("compression", "zstd").parquet(index)
     return entries, spark.read.schema(INDEX).parquet(index)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> DataFrame:
-    """uid, doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`, which needs `uid`."""
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`."""
     entries, index = build_index(docs, text, doc_id, capacity, owners)
-    return entries.select("uid", "doc_id", "entry", "text_sha256").join(index, "entry").select(
-        "uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256"
-    )
-
+    rows = entries.select("uid", F.col(doc_id).cast("long").alias("doc_id"), F.col("__entry").alias("entry"), F.col("__sha256").alias("text_sha256"))
+    return rows.join(index, "entry").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """`docs` with `uid`. Number rows once and read the numbers back: they belong to one run."""
-    return docs.withColumn("uid", F.monotonically_increasing_id())
 
-
-def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, all columns."""
-    spark = docs.sparkSession
-    path = shared_path(spark, "exact-input")
-    with_uid(docs).write.option("compression", "zstd").parquet(path)
-    numbered = spark.read.parquet(path)
-    dropped = exact_groups(numbered, text, doc_id).where(~F.col("kept")).select("uid")
-    return numbered.join(dropped, "uid", "left_anti").select(*docs.columns)
+def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> DataFrame:
+    """The rows of `docs` that stay, all columns. A column named uid, or as in ADDED, is not carried."""
+    entries, index = build_index(docs, text, doc_id, capacity, owners)
+    dropped = entries.select("uid", F.col("__entry").alias("entry")).join(index, "entry").where("uid <> keep_uid").select("uid")
+    return entries.join(dropped, "uid", "left_anti").select(*[c for c in docs.columns if c in entries.columns and c not in ADDED])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(with_uid(read(spark, sf_dir, "documents"))).drop("uid")
+    return exact_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_SQL = r"""

@@ -51,8 +51,8 @@ class Sizes:
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
 
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=d and zstandard.ZstdCompressionDict(d))
-        self.with_good, self.with_bad, self.alone = make(good), make(bad), make(None)
+        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(d) if d else None)
+        self.with_good, self.with_bad, self.alone = make(good), make(bad), make(b"")
 
     def features(self, text: bytes) -> tuple[float, float] | None:
         """(difference, share) of a text: means over its pieces, weighted by their sizes."""

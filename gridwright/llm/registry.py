@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridwright.llm import exact_dedup, word_spans
 from gridwright.llm.byte_spans import op9_byte_spans
 from gridwright.llm.exact_dedup import op6_exact_dedup
+from gridwright.llm.mixing import op10_mixing
 from gridwright.llm.quality_classifier import op1_quality_classifier
 from gridwright.llm.quality_rules import op7_quality_rules
 from gridwright.llm.sentencepieces import op3_sentencepieces
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_token_output": op8_token_output,
         "op9_byte_spans": op9_byte_spans,
+        "op10_mixing": op10_mixing,
     }
 
 
