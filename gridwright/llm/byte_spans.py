@@ -8,7 +8,7 @@ order of doc_id, in batches. Each batch gets a suffix array, in the order of the
 family, sorted against sorted, and then becomes a level itself. Two levels of the same rank merge
 into one of the next, so a suffix is merged as often as the logarithm of the number of batches.
 
-All bytes are compared, so results are exact.
+All bytes of a match are compared, so results are exact.
 
 Defined cases. Null text has no bytes. A document shorter than a window loses nothing. A null
 doc_id counts as greater than all others. Rows with one doc_id don't remove each other's bytes.
@@ -22,10 +22,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from gridwright.llm.common import gather, read
-from gridwright.llm.spans import Finder
+from gridwright.llm.spans import Finder, rolled
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
+#: Windows of which the anchors are sought at once.
+SLICE = 1 << 19
 #: Suffixes of a batch, about.
 BATCH = 1 << 18
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -34,8 +36,13 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _tokens(texts: list[bytes]):
     import numpy as np
 
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
-    return (buffer.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), np.array([*map(len, texts)], np.int64), buffer
+    return np.array([*map(len, texts)], np.int64), np.frombuffer(b"".join(texts), np.uint8)
+
+
+def _hashes(buffer, a: int, b: int):
+    import numpy as np
+
+    return (buffer[a:b].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _content(buffer, start, stop):
@@ -106,38 +113,54 @@ class Family:
 
 
 def scan(ids, data: bytes, lengths, length: int = LENGTH, batch: int = BATCH):
-    """Runs (segment, first window, windows) of duplicate windows among segments of documents `ids`."""
+    """Runs (segment, first window, windows) of duplicate windows among segments of documents `ids`.
+
+    Equal segments, by their bytes, need one look: those of later documents are duplicates as a
+    whole, and stand aside. Of the others, windows whose hash no other window has can't match
+    and don't enter the suffix arrays.
+    """
     import numpy as np
 
     buffer = np.frombuffer(data, np.uint8)
     starts = np.cumsum(lengths) - lengths
     windows = lengths - length + 1
     by = np.argsort(ids, kind="stable")
-    suffixes = np.ndarray((len(buffer) - length + 1,), f"S{length}", data, strides=(1,))
-    family, out = Family(), []
-    ends = np.cumsum(windows[by])
-    at = 0
-    while at < len(by):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch, side="right")))
-        part = by[at:stop]
-        n = windows[part]
-        places = gather(np.arange(len(buffer)), starts[part], n)
-        docs = np.repeat(ids[part], n)
-        hit = family.add(suffixes[places], docs) < docs
-        segment = np.repeat(part, n)
-        # runs of hits within a segment
-        change = np.ones(len(hit) + 1, bool)
-        change[1:-1] = (hit[1:] != hit[:-1]) | (segment[1:] != segment[:-1])
-        edges = np.flatnonzero(change)
-        runs = edges[:-1][hit[edges[:-1]]]
-        out.append((segment[runs], places[runs] - starts[segment[runs]], np.diff(edges)[hit[edges[:-1]]]))
-        at = stop
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+    seen: dict[bytes, int] = {}
+    ordered = ids[by]
+    least = np.array([seen.setdefault(data[s : s + n], d) for s, n, d in zip(starts[by].tolist(), lengths[by].tolist(), ordered.tolist(), strict=True)], np.int64)
+    del seen
+    again = by[least < ordered]
+    out = [(again, np.zeros(len(again), np.int64), windows[again])]
+    by = by[least == ordered]
+    part_of = np.repeat(by, windows[by])
+    offsets = gather(np.arange(int(windows.max(initial=0))), np.zeros(len(by), np.int64), windows[by])
+    places = starts[part_of] + offsets
+    hashes = rolled((buffer.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), length)[places]
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    likely = np.zeros(len(hashes), bool)
+    likely[order[1:]] = same
+    likely[order[:-1]] |= same
+    del hashes, order, same
+    part_of, offsets, places = part_of[likely], offsets[likely], places[likely]
+    suffixes = np.ndarray((max(0, len(buffer) - length + 1),), f"S{length}", data, strides=(1,))
+    family = Family()
+    hit = np.zeros(len(places), bool)
+    for at in range(0, len(places), batch):
+        docs = ids[part_of[at : at + batch]]
+        hit[at : at + batch] = family.add(suffixes[places[at : at + batch]], docs) < docs
+    part_of, offsets = part_of[hit], offsets[hit]
+    if len(part_of):
+        new = np.ones(len(part_of), bool)
+        new[1:] = (part_of[1:] != part_of[:-1]) | (offsets[1:] != offsets[:-1] + 1)
+        heads = np.flatnonzero(new)
+        out.append((part_of[heads], offsets[heads], np.diff(np.append(heads, len(part_of)))))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def byte_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs`."""
-    return Finder(LENGTH, GRAM, _tokens, _content, scan, _digest, DIGESTS).find(docs, text, doc_id)
+    return Finder(LENGTH, GRAM, SLICE, _tokens, _hashes, _content, scan, _digest, DIGESTS).find(docs, text, doc_id)
 
 
 def op9_byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,20 +82,29 @@ class Anchors:
     """The anchors of documents' windows. Documents are runs of `sizes` tokens, one after another.
 
     For each anchor: `hash`, `doc` (place of the document), `start` (its first window), `windows`
-    (how many windows in a row chose it).
+    (how many windows in a row chose it), `first` and `last` (hashes of the first and the last of
+    these). `hashes(a, b)` gives the tokens of a range; ranges of `slice_` windows bound the memory.
     """
 
-    def __init__(self, tokens, sizes, length: int, gram: int):
+    def __init__(self, hashes, sizes, length: int, gram: int, slice_: int):
         import numpy as np
 
-        self.length = length
-        n = len(tokens) - length + 1
-        none = np.empty(0, np.int64)
-        self.hash, self.doc, self.start, self.windows = none.view(np.uint64), none, none, none
-        if n <= 0:
-            return
+        docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        n = len(docs) - length + 1
+        found = [part for at in range(0, n, slice_) if (part := self._slice(hashes, docs, at, min(slice_, n - at), length, gram))]
+        none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+        self.hash, self.doc, self.start, self.windows, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+
+    @staticmethod
+    def _slice(hashes, docs, at: int, n: int, length: int, gram: int):
+        import numpy as np
+
+        within = np.flatnonzero(docs[at : at + n] == docs[at + length - 1 : at + length - 1 + n])
+        if not len(within):
+            return None
+        tokens = hashes(at, at + n + length - 1)
         grams = rolled(tokens, gram)
-        bits = max(1, int(len(tokens)).bit_length())
+        bits = max(1, len(tokens).bit_length())
         low = np.uint64((1 << bits) - 1)
         # the least hash of a window, the first of equals: the place takes the low bits
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -105,40 +114,30 @@ class Anchors:
             size *= 2
         if size < width:
             least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        place = (least & low).astype(np.int64)
-        docs = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.flatnonzero(docs[:n] == docs[length - 1 :])
-        if not len(within):
-            return
-        place = place[within]
+        place = (least[within] & low).astype(np.int64)
         new = np.ones(len(within), bool)
         new[1:] = (place[1:] != place[:-1]) | (within[1:] != within[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.start = within[first]
-        self.windows = np.diff(np.append(first, len(within)))
-        self.hash = grams[place[first]]
-        self.doc = docs[self.start]
-
-
-def _groups(table, by: str):
-    """(value, row numbers) for each value of a column."""
-    values = table.column(by).to_pylist()
-    at: dict = {}
-    for i, v in enumerate(values):
-        at.setdefault(v, []).append(i)
-    return at.items()
+        heads = np.flatnonzero(new)
+        windows = np.diff(np.append(heads, len(within)))
+        start = within[heads]
+        whole = rolled(tokens, length)
+        return grams[place[heads]], docs[at + start], at + start, windows, whole[start], whole[start + windows - 1]
 
 
 class Finder:
-    """The steps for one kind of tokens. `tokens(texts)` gives (uint64 hashes, sizes, context) of a
-    pack's texts; `content(context, starts, stops)` the bytes of runs of tokens and their sizes;
-    `matcher(doc_ids, contents)` the windows of each segment that are duplicates."""
-
-    def __init__(self, length: int, gram: int, tokens: Callable, content: Callable, matcher: Callable, digest: Callable, digests: str):
-        self.length, self.gram = length, gram
-        self.tokens, self.content, self.matcher, self.digest = tokens, content, matcher, digest
+    """The steps for one kind of tokens. `tokens(texts)` gives (sizes, context) of a pack's texts;
+    `hashes(context, a, b)` the tokens of a range as uint64; `content(context, starts, stops)` the
+    bytes of runs of tokens and their sizes; `matcher(doc_ids, contents, sizes)` the runs of windows
+    of segments that are duplicates; `digest(...)` the result's rows from the tokens that stay."""
+
+    def __init__(self, length: int, gram: int, slice_: int, tokens: Callable, hashes: Callable, content: Callable, matcher: Callable, digest: Callable, digests: str):
+        self.length, self.gram, self.slice = length, gram, slice_
+        self.tokens, self.hashes, self.content, self.matcher, self.digest = tokens, hashes, content, matcher, digest
         self.digests = digests
 
+    def _anchors(self, context, sizes):
+        return Anchors(lambda a, b: self.hashes(context, a, b), sizes, self.length, self.gram, self.slice)
+
     def find(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """A row of `digests` for each row of `docs`."""
         import pyarrow as pa
@@ -170,14 +169,14 @@ class Finder:
         return by_pack.cogroup(ranges.groupBy("pack")).applyInArrow(reduced, self.digests)
 
     def _read(self, table):
-        """(doc_ids, the same as numbers, tokens, sizes, context) of a pack, in an order that its rows alone decide."""
+        """(doc_ids, the same as numbers, sizes, context) of a pack, in an order that its rows alone decide."""
         import numpy as np
 
         rows = sorted(zip(table.column("doc_id").to_pylist(), (t or b"" for t in table.column("text").to_pylist()), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         ids = [i for i, _ in rows]
-        tokens, sizes, context = self.tokens([t for _, t in rows])
+        sizes, context = self.tokens([t for _, t in rows])
         # a null doc_id is greater than all others, and none is smaller than another
-        return ids, np.array([LAST if i is None else i for i in ids], np.int64), tokens, sizes, context
+        return ids, np.array([LAST if i is None else i for i in ids], np.int64), sizes, context
 
     def _unique(self, anchors, ids):
         """Different hashes of a pack, and whether each is in two documents; the lowest bit makes room for that."""
@@ -201,8 +200,8 @@ class Finder:
     def _send_anchors(self, pack: int, table, n: int):
         import numpy as np
 
-        _, ids, tokens, sizes, _ = self._read(table)
-        which, _, twice = self._unique(Anchors(tokens, sizes, self.length, self.gram), ids)
+        _, ids, sizes, context = self._read(table)
+        which, _, twice = self._unique(self._anchors(context, sizes), ids)
         bucket = self._bucket(which, n)
         order = np.argsort(bucket, kind="stable")
         sent = (which | twice.astype(np.uint64))[order]
@@ -211,9 +210,10 @@ class Finder:
 
     @staticmethod
     def _bucket(hashes, n: int):
+        """Anchors have the least hashes around, so these are scrambled again before they are dealt."""
         import numpy as np
 
-        return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        return ((mixed(hashes) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
     def _share(self, bucket: int, table):
         """To each pack, a bit for each anchor that it sent: whether another document has it."""
@@ -238,8 +238,8 @@ class Finder:
         Ranges that are known already go to a bucket of their own, below 0, which passes them on."""
         import numpy as np
 
-        _, ids, tokens, sizes, context = self._read(table)
-        anchors = Anchors(tokens, sizes, self.length, self.gram)
+        _, ids, sizes, context = self._read(table)
+        anchors = self._anchors(context, sizes)
         which, place, _ = self._unique(anchors, ids)
         bucket = self._bucket(which, n)
         order = np.argsort(bucket, kind="stable")
@@ -255,8 +255,7 @@ class Finder:
         start, windows, doc = anchors.start[take], anchors.windows[take], anchors.doc[take]
         stop = start + windows + self.length - 1
         # equal segments have equal first and last windows, as together these hold all its tokens
-        whole = rolled(tokens, self.length)
-        key = mixed(whole[start] * np.uint64(3) + mixed(whole[start + windows - 1] + windows.astype(np.uint64)))
+        key = mixed(anchors.first[take] * np.uint64(3) + mixed(anchors.last[take] + windows.astype(np.uint64)))
         owner = ids[doc]
         by = np.lexsort((start, owner, key))
         new = np.ones(len(by), bool)
@@ -313,12 +312,12 @@ class Finder:
         """Digests of a pack's documents, from the tokens that stay."""
         import numpy as np
 
-        ids, _, tokens, sizes, context = self._read(table)
+        ids, _, sizes, context = self._read(table)
         rows = [np.frombuffer(unpressed(d), np.int64).reshape(3, -1) for d in ranges.column("data").to_pylist()]
-        edges = np.zeros(len(tokens) + 1, np.int64)
+        edges = np.zeros(int(sizes.sum()) + 1, np.int32)
         base = np.cumsum(sizes) - sizes
         if rows:
             place, begin, end = np.concatenate(rows, axis=1)
             np.add.at(edges, base[place] + begin, 1)
             np.add.at(edges, base[place] + end, -1)
-        yield self.digest(ids, np.cumsum(edges[:-1]) > 0, sizes, base, context)
+        yield self.digest(ids, np.cumsum(edges[:-1], dtype=np.int32) > 0, sizes, base, context)

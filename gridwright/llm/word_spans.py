@@ -29,19 +29,39 @@ GRAM = 5
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def words_in(buffer):
-    """(hash of each word, starts, ends) of words that a space follows each."""
+#: Windows of which the anchors are sought at once.
+SLICE = 1 << 17
+
+
+def hash_words(buffer, starts, ends):
+    """A hash of each word buffer[start:end]; words stand in order."""
+    import numpy as np
+
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    base = int(starts[0])
+    part = buffer[base : int(ends[-1])]
+    starts, ends = starts - base, ends - base
+    n = len(part)
+    power = np.full(n, FACTOR, np.uint64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    back = np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.cumprod(back, out=back)
+    return mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def places_in(buffer):
+    """(starts, ends) of words that a space follows each."""
     import numpy as np
 
     ends = np.flatnonzero(buffer == 32)
     starts = np.empty_like(ends)
     starts[:1], starts[1:] = 0, ends[:-1] + 1
-    if not len(ends):
-        return np.empty(0, np.uint64), starts, ends
-    n = len(buffer)
-    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (FACTOR, pow(FACTOR, -1, 1 << 64)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power)])
-    return mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return starts, ends
 
 
 def _tokens(texts: list[bytes]):
@@ -49,9 +69,13 @@ def _tokens(texts: list[bytes]):
 
     parts = [b" ".join(w) + b" " if (w := t.split()) else b"" for t in texts]
     buffer = np.frombuffer(b"".join(parts), np.uint8)
-    hashes, starts, ends = words_in(buffer)
-    bounds = np.cumsum([0, *map(len, parts)])
-    return hashes, np.diff(np.searchsorted(ends, bounds)), (buffer, starts, ends)
+    starts, ends = places_in(buffer)
+    return np.diff(np.searchsorted(ends, np.cumsum([0, *map(len, parts)]))), (buffer, starts, ends)
+
+
+def _hashes(context, a: int, b: int):
+    buffer, starts, ends = context
+    return hash_words(buffer, starts[a:b], ends[a:b])
 
 
 def _content(context, start, stop):
@@ -80,7 +104,8 @@ def parse(ids, data: bytes, lengths, length: int = LENGTH):
 
     by = np.argsort(ids, kind="stable")
     block = np.frombuffer(gather(np.frombuffer(data, np.uint8), (np.cumsum(lengths) - lengths)[by], lengths[by]), np.uint8)
-    words, _, ends = words_in(block)
+    starts, ends = places_in(block)
+    words = hash_words(block, starts, ends)
     bounds = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths[by])]))
     begin, end, doc = bounds[:-1], bounds[1:], ids[by]
     # the index: of each window of the block, the first place with the same words
@@ -120,7 +145,7 @@ def parse(ids, data: bytes, lengths, length: int = LENGTH):
 
 def word_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of `docs`."""
-    return Finder(LENGTH, GRAM, _tokens, _content, parse, _digest, DIGESTS).find(docs, text, doc_id)
+    return Finder(LENGTH, GRAM, SLICE, _tokens, _hashes, _content, parse, _digest, DIGESTS).find(docs, text, doc_id)
 
 
 def op2_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
