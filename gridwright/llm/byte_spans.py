@@ -165,3 +165,21 @@ def byte_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 def op9_byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_spans(read(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS bytes
+  FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS i FROM d WHERE len(h) >= 100)),
+firsts AS (SELECT bytes, min(doc_id) AS first FROM windows GROUP BY bytes HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows JOIN firsts USING (bytes) WHERE first < doc_id),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY doc_id, run),
+sums AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d),
+gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS begin FROM edges),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (s - begin)), '' ORDER BY s) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

@@ -43,8 +43,8 @@ def _phrases(c: Column) -> Column:
     return found
 
 
-def line_fails(line: Column, symbols: Column, boilerplate: Column, min_words_punctuated: int = 4) -> Column:
-    """True for a line to remove. `symbols` and `boilerplate`: false where the whole text has none, so that its lines need no look.
+def line_fails(line: Column, marks: Column, boilerplate: Column, min_words_punctuated: int = 4) -> Column:
+    """True for a line to remove. `marks` (symbols or separators) and `boilerplate`: false where the whole text has none, so that its lines need no look.
 
     Lines of fewer words than `min_words_punctuated` need no final punctuation.
     """
@@ -53,7 +53,7 @@ def line_fails(line: Column, symbols: Column, boilerplate: Column, min_words_pun
     separators = F.regexp_count(line, F.lit(SEPARATORS))
     return (
         (~F.substring(bare, -1, 1).isin(FINAL) & (n_words >= min_words_punctuated))
-        | (symbols & ((separators >= 3) & (separators * 4 >= n_words) | (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line))))
+        | (marks & ((separators >= 3) & (separators * 4 >= n_words) | (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line))))
         | (boilerplate & _phrases(F.lower(line)))
         | (F.regexp_count(line, F.lit(r"\p{Lu}")) * 5 > F.length(line) * 2)
     )
@@ -78,6 +78,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
         "__n": F.split("__t", "\n", -1),
         "n_symbols": F.regexp_count("__t", F.lit(SYMBOLS)).cast("long"),
         "__b": _phrases(F.lower("__t")),
+        "__m": F.col("__t").rlike(f"{SYMBOLS[:-1]}{SEPARATORS[1:]}"),
     })
     window = F.transform(
         F.slice("__w", F.lit(1), F.greatest(F.size("__w") - 2, F.lit(0))),
@@ -86,7 +87,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     placed = split.withColumns({
         "__s": F.sort_array(window),
         "__l": F.filter("__n", lambda x: x.rlike(HAS_WORD)),
-        "__k": F.filter("__n", lambda x: ~x.rlike(HAS_WORD) | ~line_fails(x, F.col("n_symbols") > 0, F.col("__b"))),
+        "__k": F.filter("__n", lambda x: ~x.rlike(HAS_WORD) | ~line_fails(x, F.col("__m"), F.col("__b"))),
     })
     near = F.filter("__s", lambda x, i: _beside("__s", x, i, lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)))
     place = F.lit((1 << PLACE_BITS) - 1).cast("long")
@@ -116,7 +117,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     return judged.withColumns({
         "kept": ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars")),
         "cleaned": F.when(F.col(text).isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")),
-    }).drop("__t", "__w", "__n", "__b", "__s", "__l", "__k", "__e", "__r")
+    }).drop("__t", "__w", "__n", "__b", "__m", "__s", "__l", "__k", "__e", "__r")
 
 
 #: What op7 returns.
@@ -125,3 +126,37 @@ COUNTS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(*COUNTS)
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+tri AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS words
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT doc_id, words FROM tri GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM tri JOIN again USING (doc_id, words), generate_series(0, 2) AS g(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+seen AS (
+  SELECT doc_id, line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, lower(line) AS low,
+         length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS bare, right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1) AS final,
+         len(regexp_extract_all(line, '[|›»•·]')) AS separators, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '\p{Lu}')) AS upper
+  FROM lines),
+judged AS (
+  SELECT *, n > 0 AND ((n >= 4 AND final NOT IN ('.', '!', '?', '…', ':', ';', ',', ')', ']', '"', '''', '”', '’', '»', '。', '！', '？'))
+    OR (separators >= 3 AND separators * 4 >= n) OR symbols * 10 > length(line) OR upper * 5 > length(line) * 2
+    OR len(list_filter(['lorem ipsum', 'javascript', 'cookie', 'terms of use', 'terms of service', 'privacy policy', 'all rights reserved', 'sign in', 'sign up', 'log in',
+                        'click here', 'read more', 'share this', 'subscribe', '{', '}'], lambda p: contains(low, p))) > 0) AS fails
+  FROM seen),
+found AS (
+  SELECT doc_id, sum(bare)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols, count(*) FILTER (n > 0) AS n_lines, count(DISTINCT line) FILTER (n > 0) AS n_different,
+         count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(bare) FILTER (fails), 0)::BIGINT AS lost_chars
+  FROM judged GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, n_symbols, n_lines - n_different AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_lines, n_lines_removed, lost_chars
+  FROM d JOIN found USING (doc_id) LEFT JOIN repeated USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept
+FROM counted
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import exact_dedup, word_spans
+from gridwright.llm import byte_spans, exact_dedup, quality_rules, word_spans
 from gridwright.llm.byte_spans import op9_byte_spans
 from gridwright.llm.exact_dedup import op6_exact_dedup
 from gridwright.llm.mixing import op10_mixing
@@ -35,4 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_word_spans": word_spans.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_word_spans": word_spans.ORACLE_SQL,
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_byte_spans": byte_spans.ORACLE_SQL,
+    }
