@@ -36,7 +36,7 @@ def balance_breaks(rows: DataFrame, into: str = "inC", out: str = "outC", balanc
     """Rows whose balance isn't the one before plus what came in less what went out."""
     w = W.partitionBy("j").orderBy("seq")
     expected = F.lag(balance).over(w) + F.col(into) - F.col(out)
-    return rows.withColumn("expected", F.round(expected, 2)).where(F.abs(F.col(balance) - expected) > most)
+    return rows.withColumn("expected", expected).where(F.abs(F.col(balance) - F.col("expected")) > most).withColumn("expected", F.round("expected", 2))
 
 
 def duplicates(rows: DataFrame, *parts: Column) -> DataFrame:

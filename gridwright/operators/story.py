@@ -116,14 +116,14 @@ def match_questions(questions: DataFrame, stories: DataFrame, metrics: DataFrame
     Questions are a brief's, so the pairs with stories are few.
     """
     intents = F.array(*[F.struct(F.lit(n).alias("intent"), F.lit(FOLD + rx).alias("asks"), F.lit(m).alias("takes")) for n, rx, m in V.INTENTS])
-    asked = questions.withColumn("hit", F.filter(intents, lambda i: F.col("question").rlike(i["asks"]))).withColumn("q", tokens(F.col("question")))
+    asked = questions.withColumn("hit", F.filter(intents, lambda i: F.rlike(F.col("question"), i["asks"]))).withColumn("q", tokens(F.col("question")))
     vocabulary = stories.withColumn("v", tokens(F.col("words"))).select("ord", "story", "v")
     near = lambda q: F.array_contains(F.col("v"), q) | ((F.length(q) >= 5) & F.exists("v", lambda v: (F.length(v) >= 5) & (F.substring(v, 1, 5) == F.substring(q, 1, 5))))
     pairs = asked.join(F.broadcast(vocabulary)).withColumn("affinity", F.size(F.filter("q", near)))
     open_ = F.filter("hit", lambda i: ~i["intent"].isin(V.GENERIC_INTENTS) | (F.col("affinity") > 0))
     listed = metrics.groupBy("story").agg(F.array_sort(F.collect_set(F.when(F.col("available"), F.col("metric")))).alias("has"), F.array_sort(F.collect_set(F.when(~F.col("available"), F.col("metric")))).alias("lacks"))
     joined = pairs.join(listed, "story", "left").withColumn("open", open_)
-    taken = lambda of, by: F.filter(F.coalesce(of, F.array().cast("array<string>")), lambda m: F.exists(by, lambda i: m.rlike(i["takes"])))
+    taken = lambda of, by: F.filter(F.coalesce(of, F.array().cast("array<string>")), lambda m: F.exists(by, lambda i: F.rlike(m, i["takes"])))
     valued = joined.withColumn("ids", taken(F.col("has"), F.col("open"))).withColumn("missing", taken(F.col("lacks"), F.col("hit")))
     best = valued.groupBy("question").agg(F.max_by(F.struct("story", "ids", "missing"), F.struct(F.size("ids"), "affinity", -F.col("ord"))).alias("b"))
     n, m = F.size("b.ids"), F.size("b.missing")

@@ -485,14 +485,16 @@ def period_outside(spark, sf_dir):
     return series.outside(spine, _ship_years(spark, sf_dir))
 
 
-YEARLY_SQL = """SELECT year(l_shipdate)::INT AS year, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue, sum((l_extendedprice * l_discount)::DECIMAL(18,2))::DOUBLE AS capex,
-sum((l_extendedprice * l_tax)::DECIMAL(18,2))::DOUBLE AS opex, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS volume FROM lineitem GROUP BY 1"""
+YEARLY_SQL = """SELECT year(l_shipdate)::INT AS year, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue, sum(l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DOUBLE AS capex,
+sum(l_extendedprice::DECIMAL(18,2) * l_tax::DECIMAL(18,2))::DOUBLE AS opex, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS volume FROM lineitem GROUP BY 1"""
 
 
 def _yearly(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
-    s = profile.exact_sum
-    return lines.groupBy(F.year("l_shipdate").alias("year")).agg(s(F.col("l_extendedprice")).alias("revenue"), s(F.col("l_extendedprice") * F.col("l_discount")).alias("capex"), s(F.col("l_extendedprice") * F.col("l_tax")).alias("opex"), s(F.col("l_quantity")).alias("volume"))
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    total = lambda c, name: F.sum(c).cast("double").alias(name)
+    price = money("l_extendedprice")
+    return lines.groupBy(F.year("l_shipdate").alias("year")).agg(total(price, "revenue"), total(price * money("l_discount"), "capex"), total(price * money("l_tax"), "opex"), total(money("l_quantity"), "volume"))
 
 
 @query(f"""SELECT year, round(revenue - opex, 4) AS margin, round(100 * ((revenue - opex) / revenue), 4) AS margin_pct, round(opex / volume, 4) AS opex_per_volume, round(revenue / volume, 4) AS revenue_per_volume, NULL::DOUBLE AS opex_per_area, round(revenue - opex - capex, 4) AS net_cash FROM ({YEARLY_SQL})""")
