@@ -142,8 +142,10 @@ class Finder:
         """A row of `digests` for each row of `docs`."""
         import pyarrow as pa
 
-        n = max(4 * partitions(docs.sparkSession), -(-text_bytes(docs, text) // PACK_BYTES))
-        packs = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+        # a pack sends a blob to each bucket, so that neither may be more than tasks or memory ask for
+        least, size = partitions(docs.sparkSession), -(-text_bytes(docs, text) // PACK_BYTES)
+        n_packs, n = max(2 * least, size), max(least, size)
+        packs = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_packs)).cast("int").alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
         finder = self  # what the tasks get
 
         def sent(key, table):
