@@ -14,8 +14,10 @@ An empty table gives no blocks and an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,8 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Ids of a block, but for a document that is longer by itself.
 BLOCK_IDS = 1 << 17
-#: Different words of which a task keeps the ids; it forgets all when there are more.
-CACHED_WORDS = 300_000
+#: Different words of which a worker keeps the ids; it forgets all when there are more.
+CACHED_WORDS = 1_000_000
 
 HEAD = struct.Struct("<4sBIQ")
 BLOCKS = "part int, block long, first long, n_docs long, n_ids long, data binary"
@@ -95,6 +97,16 @@ def unpack_block(data: bytes):
     return [int(x) if k else None for x, k in zip(numbers, known, strict=True)], lengths, unpack(data, n, width, at + 17 * docs)
 
 
+#: Words that the normaliser only puts in lower case and that split into letters and marks; the others take the tokenizer's whole way.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%#$&]*)")
+
+
+@cache
+def encoder_of(path: str, end: int) -> WordEncoder:
+    """One cache of words for each Python worker, over all its tasks."""
+    return WordEncoder(path, end)
+
+
 class WordEncoder:
     """Ids of texts by the ids of their words: white space always ends a token of this tokenizer."""
 
@@ -103,11 +115,37 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.end = end
         self.seen: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of new words."""
+        import numpy as np
+
+        whole = []
+        for word in words:
+            plain = PLAIN.fullmatch(word)
+            if not plain:
+                whole.append(word)
+                continue
+            core, tail = plain[1].lower(), plain[2]
+            if core not in self.letters:
+                self.letters[core] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(core.translate(self.bytes_as)))
+            if tail not in self.marks:
+                self.marks[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+            self.seen[word] = self.letters[core] + self.marks[tail]
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            self.seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.batch(part, add_special_tokens=False), strict=True))
 
     def encode(self, texts):
         """(lengths, ids) of an Arrow array of texts, the end id after each."""
@@ -119,14 +157,14 @@ class WordEncoder:
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > CACHED_WORDS:
-            self.seen.clear()
+        seen = self.seen
+        new = [w for w in words if w not in seen]
+        if len(seen) + len(new) > CACHED_WORDS:
+            for kept in (seen, self.letters, self.marks):
+                kept.clear()
             new = words
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.batch(part, add_special_tokens=False), strict=True))
-        found = [self.seen[w] for w in words]
+        self.learn(new)
+        found = [seen[w] for w in words]
         flat = np.frombuffer(b"".join(found) + np.array([self.end], "<u4").tobytes(), "<u4")
         lengths = np.array([*map(len, found), 4], np.int64) // 4
         starts = np.cumsum(lengths) - lengths
@@ -142,7 +180,7 @@ def _writer(path: str, end: int, width: int, block_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, block, first = WordEncoder(path, end), TaskContext.get().partitionId(), 0, 0
+        encoder, part, block, first = encoder_of(path, end), TaskContext.get().partitionId(), 0, 0
         docs: list = []
         lengths: list = []
         held: list = []
@@ -158,7 +196,7 @@ def _writer(path: str, end: int, width: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", 6 << 20):
                 n, ids = encoder.encode(piece.column("text"))
                 docs += piece.column("doc_id").to_pylist()
                 lengths += n.tolist()
