@@ -129,6 +129,15 @@ def tidy_facts(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return body.select("region", (F.col("row") - F.col("header_row") - 1).alias("rec"), F.col("col").alias("ord"), F.coalesce("name", F.concat(F.lit("col_"), F.col("col") + 1)).alias("name"), "raw", coerce_number(F.col("raw")).alias("num"), coerce_date(F.col("raw")).cast("string").alias("iso"))
 
 
+def with_bands(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Cells of unknown regions cut into bands of rows, two rows at least; the others as they are."""
+    unknown = regions.where("orientation = 'unknown'").select("region")
+    cut = cells.join(unknown, "region", "left_semi")
+    bands = islands(cut.drop("sheet").withColumnRenamed("region", "sheet"), "row").withColumn("n", F.max("island").over(W.partitionBy("sheet"))).where("n >= 2").select(F.col("sheet").alias("r"), "island", "first", "last")
+    joined = cells.join(bands, (F.col("region") == F.col("r")) & F.col("row").between(F.col("first"), F.col("last")), "left")
+    return joined.withColumn("region", F.when(F.col("island").isNotNull(), F.concat_ws("/", "region", "island")).otherwise(F.col("region"))).drop("r", "island", "first", "last")
+
+
 def matrix_facts(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, label, period, value, n_cells) of cross-tabs: labels are joined by /, repeated cells are summed."""
     heads = regions.where("orientation = 'matrix'").select("region", "axis", "header_row")

@@ -126,6 +126,40 @@ def test_matrix_and_panels(spark):
     assert [(r["first"], r["last"]) for r in layout.islands(beside).orderBy("island").collect()] == [(0, 1), (3, 5)]
 
 
+def test_headers_of_several_rows(spark):
+    cells = grid(spark, [["Région", "2025", None, "2026", None], [None, "HA", "T", "HA", "T"], ["Nord", 1, 2, 3, 4], ["Sud", 5, 6, 7, 8]])
+    heads = spark.createDataFrame([("s#1", 0)], "region string, header_row long")
+    from gridwright.operators.headers import header_blocks, header_names
+
+    blocks = header_blocks(layout.with_kinds(cells), heads)
+    assert [(r.header_row, r.last_row) for r in blocks.collect()] == [(0, 1)]
+    assert [r.name for r in header_names(cells, blocks).orderBy("col").collect()] == ["Région", "2025 / HA", "2025 / T", "2026 / HA", "2026 / T"]
+
+
+def test_bands(spark):
+    cells = grid(spark, [[1, 2, 3], [4, 5, 6], [None], [7, 8, 9], [1, 2, 3]])
+    unknown = spark.createDataFrame([("s#1", "unknown")], "region string, orientation string")
+    got = layout.with_bands(cells, unknown).groupBy("region").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    assert sorted(tuple(r) for r in got.collect()) == [("s#1/1", 0, 1), ("s#1/2", 3, 4)]
+
+
+def test_mapping_and_report(spark):
+    from gridwright.operators import mapping, report
+
+    wanted = spark.createDataFrame([("revenue", "CA", None), ("opex", "OPEX", "B"), ("area", "HA", "gone"), ("price", "P", None), ("volume", "V", None)], "role string, label string, sheet string")
+    there = spark.createDataFrame([("A", "CA", [1, 2]), ("A", "OPEX", [1, 2]), ("B", "OPEX", [1, 2]), ("C", "HA", [1, 2]), ("A", "P", [1, 2]), ("B", "P", [1, 2])], "sheet string, label string, periods array<int>")
+    got = {r.role: (r.sheet, r.error) for r in mapping.resolve(wanted, there).collect()}
+    assert got == {"revenue": ("A", None), "opex": ("B", None), "area": ("C", None), "price": (None, "ambiguous"), "volume": (None, "no series")}
+    spine = spark.createDataFrame([("opex", 1), ("opex", 2), ("opex", 3)], "role string, period int")
+    others = spark.createDataFrame([(1, "x", "volume", p, 1.0 if p < 3 else None) for p in (1, 2, 3)] + [(2, "y", "volume", p, 2.0) for p in (1, 2, 3)], "sheet_ord int, sheet string, role string, period int, value double")
+    assert [tuple(r) for r in mapping.supplement(spine, others).collect()] == [("volume", "y", 3)]
+    cost = mapping.unit_cost_budget(spark.createDataFrame([(2026, 540.0, 1.0), (2026, None, 4.0)], "year int, opex double, volume double"), spark.createDataFrame([(2026, 1000.0, 2.0)], "year int, opex double, volume double")).first()
+    assert tuple(cost) == (2026, 540.0, 500.0, 8.0)
+    assert report.number(1234.5, "fr") == "1\u202f234,50" and report.number(1234, "en") == "1,234" and report.compact(2.5e6) == "2.5M"
+    page = report.html("A & B", [("Part", wanted)])
+    assert "<script" not in page and "A &amp; B" in page and "revenue" in page
+
+
 def test_journal(spark):
     rows = [("a", 1, "2024-01-05", "FUEL", 0.0, 10.0, 100.0), ("a", 2, "2024-01-04", "fuel", 0.0, 10.0, 90.0), ("a", 3, "2024-02-01", "Banque", 0.0, 5.0, 80.0), ("a", 4, "2024-02-02", "RH", 0.0, 0.0, 80.0), ("b", 1, "2024-01-05", "FUEL", 0.0, 10.0, 1.0)]
     frame = spark.createDataFrame(rows, "j string, seq long, d string, code string, inU double, outU double, bal double").withColumns({"d": F.to_date("d"), "inC": F.lit(0.0), "outC": F.lit(0.0)})
