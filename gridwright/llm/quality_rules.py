@@ -115,7 +115,8 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
     })
     return judged.withColumns({
-        "kept": ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars")),
+        # an id is not deterministic, so a filter on `kept` stays above, instead of repeating all of this for each mention
+        "kept": ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars")) & (F.monotonically_increasing_id() >= 0),
         "cleaned": F.when(F.col(text).isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")),
     }).drop("__t", "__w", "__n", "__b", "__m", "__s", "__l", "__k", "__e", "__r")
 
