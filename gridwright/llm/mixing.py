@@ -15,7 +15,7 @@ Tokens are words. Weights are given by node, as {("src",): 2.0, ("src", "en"): 3
 ("src", "en", "src1"): 0.5}, and 1 where they aren't.
 
 Defined cases. Null languages and sources are leaves named "". Null text has no tokens; such
-rows are in every epoch and in any prefix. Repeated rows are rows of their own. A weight of 0
+rows are in every whole epoch, and in a prefix that reaches their place. Repeated rows are rows of their own. A weight of 0
 excludes a node. Equal hashes go by doc_id and row. An empty table gives an empty result.
 """
 
