@@ -47,13 +47,14 @@ def choices(distance: int = DISTANCE, shared: int = SHARED) -> list[int]:
     return [sum(c) for c in combinations(blocks(distance, shared), shared)]
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE):
+    """XXH64 of each shingle in order, repeats included; none for a wordless text."""
     import numpy as np
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -63,7 +64,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         stops = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, stops, strict=True)]
-    array = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint_of(array) -> int:
+    """The fingerprint of shingle hashes; zero for none."""
+    import numpy as np
+
     count = np.zeros(64, np.int64)
     for at in range(0, len(array), 1 << 16):
         part = array[at : at + (1 << 16)]
@@ -72,6 +79,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         import numpy as np
