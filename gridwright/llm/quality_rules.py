@@ -30,6 +30,11 @@ BOILERPLATE = [
     "lorem ipsum", "javascript", "cookie", "terms of use", "terms of service", "privacy policy", "all rights reserved",
     "sign in", "sign up", "log in", "click here", "read more", "share this", "subscribe", "{", "}",
 ]
+#: The phrases as whole words, or with a plural's s; braces anywhere.
+WHOLE = r"(?<![\p{L}\p{N}_])(?:" + "|".join(p for p in BOILERPLATE if p not in "{}") + r")s?(?![\p{L}\p{N}_])|[{}]"
+#: For whole phrases: a line of so many words is short, and so many percent of its characters are a fair share.
+SHORT = 20
+SHARE = 20
 #: A window's place takes so many low bits of its sort key; its hash has the others.
 PLACE_BITS = 30
 
@@ -43,10 +48,17 @@ def _phrases(c: Column) -> Column:
     return found
 
 
-def line_fails(line: Column, marks: Column, boilerplate: Column, min_words_punctuated: int = 4) -> Column:
+def _mostly_phrases(c: Column) -> Column:
+    """Phrases as whole words, in a line of few words or as a fair share of its characters."""
+    left = F.length(F.regexp_replace(c, WHOLE, ""))
+    return (left < F.length(c)) & ((F.size(words_of(c)) <= SHORT) | ((F.length(c) - left) * 100 >= F.length(c) * SHARE))
+
+
+def line_fails(line: Column, marks: Column, boilerplate: Column, min_words_punctuated: int = 4, whole_phrases: bool = False) -> Column:
     """True for a line to remove. `marks` (symbols or separators) and `boilerplate`: false where the whole text has none, so that its lines need no look.
 
-    Lines of fewer words than `min_words_punctuated` need no final punctuation.
+    Lines of fewer words than `min_words_punctuated` need no final punctuation. One phrase anywhere
+    fails a line, as in the SQL; with `whole_phrases` only as `_mostly_phrases` says.
     """
     bare = F.regexp_replace(line, r"[\x20\x09-\x0D]+$", "")
     n_words = F.size(words_of(line))
@@ -54,7 +66,7 @@ def line_fails(line: Column, marks: Column, boilerplate: Column, min_words_punct
     return (
         (~F.substring(bare, -1, 1).isin(FINAL) & (n_words >= min_words_punctuated))
         | (marks & ((separators >= 3) & (separators * 4 >= n_words) | (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line))))
-        | (boilerplate & _phrases(F.lower(line)))
+        | (boilerplate & _phrases(F.lower(line)) & (_mostly_phrases(F.lower(line)) if whole_phrases else F.lit(True)))
         | (F.regexp_count(line, F.lit(r"\p{Lu}")) * 5 > F.length(line) * 2)
     )
 
@@ -64,7 +76,7 @@ def _beside(of: str, x: Column, i: Column, same: Callable[[Column, Column], Colu
     return F.coalesce(same(x, F.get(of, i + 1)), F.lit(False)) | F.coalesce(same(x, F.get(of, i - 1)), F.lit(False))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: int = 50, whole_phrases: bool = False) -> DataFrame:
     """`docs` with the columns of ADDED; a row for each row, kept or not. `max_repeat` and `max_lost` are percentages.
 
     Nothing is shuffled: a row is judged from its own text. Repeated windows are found by
@@ -87,7 +99,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     placed = split.withColumns({
         "__s": F.sort_array(window),
         "__l": F.filter("__n", lambda x: x.rlike(HAS_WORD)),
-        "__k": F.filter("__n", lambda x: ~x.rlike(HAS_WORD) | ~line_fails(x, F.col("__m"), F.col("__b"))),
+        "__k": F.filter("__n", lambda x: ~x.rlike(HAS_WORD) | ~line_fails(x, F.col("__m"), F.col("__b"), whole_phrases=whole_phrases)),
     })
     near = F.filter("__s", lambda x, i: _beside("__s", x, i, lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)))
     place = F.lit((1 << PLACE_BITS) - 1).cast("long")
