@@ -7,9 +7,11 @@ Texts are equal when they are the same bytes after white space is deleted. Three
    copies. A group that holds a third of all rows so becomes one entry for each batch.
 2. Owner tasks, each with a range of keys, insert their entries into an extendible hash index:
    an overfull bucket splits by the next bit, and the directory doubles when the bucket was as
-   deep as it. Entries with one key form a chain, and bytes decide which are equal. The index
-   is written to the shared folder: a row for each entry with its bucket, depth and the row
-   that stays.
+   deep as it. Entries with one key form a chain, and bytes decide which are equal. A task holds
+   one owner's index at a time, in memory. Its outcome is written to the shared folder: a row
+   for each entry with its owner, key, bucket, depth and the row that stays. Owner, bucket and
+   depth name a bucket and its places in the owner's directory; no text is stored there, and
+   nothing is inserted later.
 3. Every document is joined to its entry, by small columns only.
 
 Of equal texts the row with the most code points stays, then that with the smallest doc_id,
@@ -32,7 +34,7 @@ from gridwright.llm.common import WHITE_BYTES, partitions, read, shared_path
 
 #: What the entry table adds to the documents' own columns.
 ADDED = {"__entry": "long", "__key": "long", "__sha256": "string", "__head": "boolean", "__n": "long", "__chars": "long", "__doc": "long", "__uid": "long"}
-INDEX = "entry long, bucket long, depth int, keep_uid long, keep_id long, group_size long"
+INDEX = "entry long, owner int, key long, bucket long, depth int, keep_uid long, keep_id long, group_size long"
 
 
 class ExtendibleIndex:
@@ -122,22 +124,30 @@ def _entries(text: str, doc_id: str):
 
 def _owned(capacity: int):
     def run(batches):
-        """Rows of INDEX for an owner's entries. Memory: its range's distinct texts."""
+        """Rows of INDEX for each owner's entries, which come together. Memory: one owner's distinct texts."""
         import pyarrow as pa
 
-        index = ExtendibleIndex(capacity)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = [x.split()[0] for x in INDEX.split(", ")]
+
+        def rows_of(owner, index):
+            signed = lambda k: k - (1 << 64) if k >> 63 else k
+            out = [(e, owner, signed(r["key"]), at, depth, r["best"][3], None if r["best"][1] else r["best"][2], r["n"]) for at, depth, r in index.records() for e in r["entries"]]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        owner, index = None, ExtendibleIndex(capacity)
         for batch in batches:
             for row in batch.to_pylist():
+                if row["owner"] != owner:
+                    yield rows_of(owner, index)
+                    owner, index = row["owner"], ExtendibleIndex(capacity)
                 record = index.insert(row["__key"] & (1 << 64) - 1, bare(row["text"]))
                 record["entries"].append(row["__entry"])
                 record["n"] += row["__n"]
                 rank = _rank(row["__chars"], row["__doc"], row["__uid"])
                 record["best"] = min(record["best"] or rank, rank)
-        out = [(e, at, depth, r["best"][3], None if r["best"][1] else r["best"][2], r["n"]) for at, depth, r in index.records() for e in r["entries"]]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in INDEX.split(", ")]
-        columns = list(zip(*out, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        yield rows_of(owner, index)
 
     return run
 
@@ -154,7 +164,7 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     # a range of keys for each owner: the leading 32 bits as a number, times the owners
     owner = F.shiftrightunsigned(F.shiftrightunsigned("__key", 32) * F.lit(n).cast("long"), 32).cast("int")
     heads = entries.where("__head").select("__entry", "__key", F.col(text).cast("binary").alias("text"), "__n", "__chars", "__doc", "__uid", owner.alias("owner"))
-    heads.repartition(partitions(spark), "owner").drop("owner").mapInArrow(_owned(capacity), INDEX).write.option("compression", "zstd").parquet(index)
+    heads.repartition(partitions(spark), "owner").sortWithinPartitions("owner").mapInArrow(_owned(capacity), INDEX).write.option("compression", "zstd").parquet(index)
     return entries, spark.read.schema(INDEX).parquet(index)
 
 
