@@ -7,34 +7,42 @@ Texts are equal when they are the same bytes after white space is deleted. Three
    copies. A group that holds a third of all rows so becomes one entry for each batch.
 2. Owner tasks, each with a range of keys, insert their entries into an extendible hash index:
    an overfull bucket splits by the next bit, and the directory doubles when the bucket was as
-   deep as it. Entries with one key form a chain, and bytes decide which are equal. A task holds
-   one owner's index at a time, in memory. Its outcome is written to the shared folder: a row
-   for each entry with its owner, key, bucket, depth and the row that stays. Owner, bucket and
-   depth name a bucket and its places in the owner's directory; no text is stored there, and
-   nothing is inserted later.
-3. Every document is joined to its entry, by small columns only.
+   deep as it. Entries with one key form a chain, and bytes decide which are equal. Owners grow
+   in number with the bytes of the entries' texts, `OWNER_BYTES` each, and a task holds one at a
+   time. Its buckets are written to the shared folder as pages, a row each: the page's number
+   and depth, the places of its owner's directory that lead to it, and its records with their
+   texts.
+3. Lookups go the index's way: a key's owner, the place of the directory that the key's low bits
+   name, the page there, and in it the record. Documents that were inserted find theirs by their
+   entry, without texts; `lookup` finds those of other documents by comparing bytes.
 
 Of equal texts the row with the most code points stays, then that with the smallest doc_id,
 then the first read. Steps 2 and 3 read only committed files, so a lost executor costs its
-tasks alone.
+tasks alone. A key's range can't be split: entries of one key, which are as many as batches of
+documents when a text is very common, meet in one owner's task, and their texts are equal.
 
 Defined cases. Null text counts as empty, and all empty texts are equal. A null doc_id comes
-last among equals. Repeated rows are rows of their own: one stays. Other columns are carried
-by `drop_copies`. An empty table gives an empty result.
+last among equals. Repeated rows are rows of their own: one stays. A long text is one value of
+one record, compared whole. Other columns are carried by `drop_copies`, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridwright.llm.common import WHITE_BYTES, partitions, read, shared_path
+from gridwright.llm.common import WHITE_BYTES, packed, partitions, read, shared_path, unpacked
 
-#: What the entry table adds to the documents' own columns.
-ADDED = {"__entry": "long", "__key": "long", "__sha256": "string", "__head": "boolean", "__n": "long", "__chars": "long", "__doc": "long", "__uid": "long"}
-INDEX = "entry long, owner int, key long, bucket long, depth int, keep_uid long, keep_id long, group_size long"
+#: Bytes of distinct text that an owner's index holds, about.
+OWNER_BYTES = 32 << 20
+#: What the entry table adds to the rows: only heads have the columns from `size` on.
+ADDED = "entry long, key long, sha256 string, head boolean, size long, n long, chars long, least_id long, best_uid long"
+RECORD = "struct<key: bigint, text: binary, keep_uid: bigint, keep_id: bigint, group_size: bigint, entries: array<bigint>>"
+PAGES = f"owner int, page long, depth int, directory_depth int, places array<bigint>, records array<{RECORD}>"
 
 
 class ExtendibleIndex:
@@ -73,12 +81,11 @@ class ExtendibleIndex:
         for at in range(key & (1 << depth) - 1, 1 << self.depth, 1 << depth):
             self.directory[at] = halves[at >> depth & 1]
 
-    def records(self):
+    def pages(self):
+        """(page, depth, places of the directory, records) of each bucket; its first place is the page's number."""
         for at, (depth, bucket) in enumerate(self.directory):
             if at < 1 << depth:  # the first of the places that share a bucket
-                for chain in bucket.values():
-                    for record in chain:
-                        yield at, depth, record
+                yield at, depth, range(at, 1 << self.depth, 1 << depth), [record for chain in bucket.values() for record in chain]
 
 
 def _rank(chars: int, doc_id: int | None, uid: int) -> tuple:
@@ -90,96 +97,152 @@ def bare(text: bytes | None) -> bytes:
     return (text or b"").translate(None, WHITE_BYTES)
 
 
-def _entries(text: str, doc_id: str):
-    def run(batches):
-        """The batches with the columns of ADDED: the first of equal texts is the head of an entry."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-        for batch in batches:
-            chars = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
-            texts = batch.column(text).cast(pa.binary())
-            uids, ids = batch.column("uid").to_pylist(), batch.column(doc_id).cast(pa.int64()).to_pylist()
-            first: dict[bytes, int] = {}
-            rows = []
-            for i, value in enumerate(texts):
-                content = bare(value.as_py())
-                at = first.setdefault(content, i)
-                rank = _rank(chars[i], ids[i], uids[i])
-                if at == i:
-                    digest = hashlib.sha256(content)
-                    rows.append([uids[i], int.from_bytes(digest.digest()[:8], "big", signed=True), digest.hexdigest(), True, 1, rank])
-                else:
-                    head = rows[at]
-                    head[4] += 1
-                    head[5] = min(head[5], rank)
-                    rows.append([*head[:3], False, None, None])
-            flat = [(*r[:5], -r[5][0], None if r[5][1] else r[5][2], r[5][3]) if r[3] else (*r[:5], None, None, None) for r in rows]
-            added = [pa.array(c, kinds[k]) for c, k in zip(zip(*flat, strict=True) if flat else [[]] * len(ADDED), ADDED.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *ADDED])
-
-    return run
+def key_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _entries(batches):
+    """The batches with the columns of ADDED: the first of equal texts is the head of an entry."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [x.split() for x in ADDED.split(", ")]
+    for batch in batches:
+        chars = pc.fill_null(pc.utf8_length(batch.column("c0")), 0).to_pylist()
+        texts = batch.column("c0").cast(pa.binary())
+        uids, ids = batch.column("uid").to_pylist(), batch.column("id").to_pylist()
+        first: dict[bytes, int] = {}
+        rows = []
+        for i, value in enumerate(texts):
+            content = bare(value.as_py())
+            at = first.setdefault(content, i)
+            rank = _rank(chars[i], ids[i], uids[i])
+            if at == i:
+                digest = hashlib.sha256(content)
+                rows.append([uids[i], key_of(digest.digest()), digest.hexdigest(), True, len(content), 1, rank])
+            else:
+                head = rows[at]
+                head[5] += 1
+                head[6] = min(head[6], rank)
+                rows.append([*head[:3], False, None, None, None])
+        flat = [(*r[:6], -r[6][0], None if r[6][1] else r[6][2], r[6][3]) if r[3] else (*r[:6], None, None, None) for r in rows]
+        added = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*flat, strict=True) if flat else [[]] * len(fields), fields, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(name for name, _ in fields)])
 
 
 def _owned(capacity: int):
     def run(batches):
-        """Rows of INDEX for each owner's entries, which come together. Memory: one owner's distinct texts."""
+        """The pages of each owner's index; its entries come together. Memory: one owner's distinct texts."""
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in INDEX.split(", ")]
+        record = pa.struct([("key", pa.int64()), ("text", pa.binary()), ("keep_uid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("entries", pa.list_(pa.int64()))])
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(record)]
+        names = ["owner", "page", "depth", "directory_depth", "places", "records"]
+        signed = lambda k: k - (1 << 64) if k >> 63 else k
+        of = lambda r: {"key": signed(r["key"]), "text": r["text"], "keep_uid": r["best"][3], "keep_id": None if r["best"][1] else r["best"][2], "group_size": r["n"], "entries": r["entries"]}
 
-        def rows_of(owner, index):
-            signed = lambda k: k - (1 << 64) if k >> 63 else k
-            out = [(e, owner, signed(r["key"]), at, depth, r["best"][3], None if r["best"][1] else r["best"][2], r["n"]) for at, depth, r in index.records() for e in r["entries"]]
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        def pages_of(owner, index):
+            for page, depth, places, records in index.pages() if owner is not None else ():
+                row = [owner, page, depth, index.depth, list(places), [of(r) for r in records]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         owner, index = None, ExtendibleIndex(capacity)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["owner"] != owner:
-                    yield rows_of(owner, index)
+                    yield from pages_of(owner, index)
                     owner, index = row["owner"], ExtendibleIndex(capacity)
-                record = index.insert(row["__key"] & (1 << 64) - 1, bare(row["text"]))
-                record["entries"].append(row["__entry"])
-                record["n"] += row["__n"]
-                rank = _rank(row["__chars"], row["__doc"], row["__uid"])
-                record["best"] = min(record["best"] or rank, rank)
-        yield rows_of(owner, index)
+                found = index.insert(row["key"] & (1 << 64) - 1, bare(row["text"]))
+                found["entries"].append(row["entry"])
+                found["n"] += row["n"]
+                rank = _rank(row["chars"], row["least_id"], row["best_uid"])
+                found["best"] = min(found["best"] or rank, rank)
+        yield from pages_of(owner, index)
 
     return run
 
 
-def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The entry table (`docs` with `uid` and the columns of ADDED) and the index, read back from the shared folder."""
+def owner_of(key: Column, owners: int) -> Column:
+    """A range of keys for each owner: the leading 32 bits as a number, times the owners."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * F.lit(owners).cast("long"), 32).cast("int")
+
+
+class Index:
+    """The pages of an index in the shared folder, and the way to them."""
+
+    def __init__(self, spark: SparkSession, path: str, owners: int):
+        self.path, self.owners = path, owners
+        self.pages = spark.read.schema(PAGES).parquet(path)
+
+    def directory(self) -> DataFrame:
+        """owner, place, page: the directories of all owners."""
+        return self.pages.select("owner", F.explode("places").alias("place"), "page")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """`rows`, which have a key, with the owner and the page of it."""
+        # a row for each owner: one for OWNER_BYTES of text
+        depths = self.pages.groupBy("owner").agg(F.max("directory_depth").alias("directory_depth"))
+        at = rows.withColumn("owner", owner_of(F.col("key"), self.owners)).join(depths, "owner")
+        mask = F.expr("shiftleft(1L, directory_depth) - 1")
+        return at.withColumn("place", F.col("key").bitwiseAND(mask)).join(self.directory(), ["owner", "place"]).drop("place", "directory_depth")
+
+    def records(self, *fields: str) -> DataFrame:
+        return self.pages.select("owner", "page", F.explode("records").alias("r")).select("owner", "page", *[F.col(f"r.{f}").alias(f) for f in fields])
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        """keep_uid, keep_id, group_size of the inserted rows; these have a key and an entry."""
+        entered = self.records("entries", "keep_uid", "keep_id", "group_size").select("owner", "page", F.explode("entries").alias("entry"), "keep_uid", "keep_id", "group_size")
+        return self.placed(rows).join(entered, ["owner", "page", "entry"])
+
+
+def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> tuple[DataFrame, Index]:
+    """The entry table (`docs` packed, with the columns of ADDED) and the index, both read from the shared folder."""
     spark = docs.sparkSession
-    n = owners or 8 * partitions(spark)
-    table, index = shared_path(spark, "exact-entries"), shared_path(spark, "exact-index")
-    source = docs.drop("uid", *ADDED).withColumn("uid", F.monotonically_increasing_id())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{k} {v}" for k, v in ADDED.items())])
-    source.mapInArrow(_entries(text, doc_id), schema).write.option("compression", "zstd").parquet(table)
+    table, path = shared_path(spark, "exact-entries"), shared_path(spark, "exact-index")
+    source = packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("id"), keep=[text])
+    schema = StructType([*source.schema.fields, *StructType.fromDDL(ADDED).fields])
+    source.mapInArrow(_entries, schema).write.option("compression", "zstd").parquet(table)
     entries = spark.read.schema(schema).parquet(table)
-    # a range of keys for each owner: the leading 32 bits as a number, times the owners
-    owner = F.shiftrightunsigned(F.shiftrightunsigned("__key", 32) * F.lit(n).cast("long"), 32).cast("int")
-    heads = entries.where("__head").select("__entry", "__key", F.col(text).cast("binary").alias("text"), "__n", "__chars", "__doc", "__uid", owner.alias("owner"))
-    heads.repartition(partitions(spark), "owner").sortWithinPartitions("owner").mapInArrow(_owned(capacity), INDEX).write.option("compression", "zstd").parquet(index)
-    return entries, spark.read.schema(INDEX).parquet(index)
+    heads = entries.where("head")
+    n = owners or max(partitions(spark), -(-(heads.agg(F.sum("size")).first()[0] or 0) // OWNER_BYTES))
+    rows = heads.select("entry", "key", F.col("c0").cast("binary").alias("text"), "n", "chars", "least_id", "best_uid", owner_of(F.col("key"), n).alias("owner"))
+    rows.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_owned(capacity), PAGES).write.option("compression", "zstd").parquet(path)
+    return entries, Index(spark, path, n)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of `docs`."""
     entries, index = build_index(docs, text, doc_id, capacity, owners)
-    rows = entries.select("uid", F.col(doc_id).cast("long").alias("doc_id"), F.col("__entry").alias("entry"), F.col("__sha256").alias("text_sha256"))
-    return rows.join(index, "entry").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256")
+    found = index.found(entries.select("uid", "id", "key", "entry", "sha256"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> DataFrame:
-    """The rows of `docs` that stay, all columns. A column named uid, or as in ADDED, is not carried."""
+    """The rows of `docs` that stay, all columns as they are."""
     entries, index = build_index(docs, text, doc_id, capacity, owners)
-    dropped = entries.select("uid", F.col("__entry").alias("entry")).join(index, "entry").where("uid <> keep_uid").select("uid")
-    return entries.join(dropped, "uid", "left_anti").select(*[c for c in docs.columns if c in entries.columns and c not in ADDED])
+    dropped = index.found(entries.select("uid", "key", "entry")).where("uid <> keep_uid").select("uid")
+    return unpacked(entries.join(dropped, "uid", "left_anti"), docs.columns, [text])
+
+
+def lookup(docs: DataFrame, index: Index, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, keep_id, group_size of other documents: those of the record with an equal text, null where the index has none."""
+
+    def keyed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [bare(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            keys = [key_of(hashlib.sha256(t).digest()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["uid", "doc_id", "key", "text"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(keyed, "uid long, doc_id long, key long, text binary")
+    path = shared_path(docs.sparkSession, "exact-lookups")
+    rows.write.option("compression", "zstd").parquet(path)
+    asked = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    known = index.records("key", "text", "keep_id", "group_size")
+    hits = index.placed(asked).join(known, ["owner", "page", "key", "text"]).select("uid", "keep_id", "group_size")
+    return asked.join(hits, "uid", "left").select("doc_id", "keep_id", "group_size")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,18 @@ and only what no sibling can take stays with the parents, whose own siblings hav
 
 A leaf's budget is whole epochs and a rest. An epoch has all its documents; the rest is the
 longest prefix that fits, of the documents in the order of a hash of seed, epoch and doc_id.
-Prefix sums are found in two steps: `BLOCKS` ranges of the hash by their sums, and then the
-documents of the one range in which the rest ends. So no task orders a whole leaf.
+Prefix sums are found in two steps: 4096 ranges of the hash by their sums, and then the
+documents of the one range in which the rest ends. So no task orders a whole leaf: the window
+over a leaf has a row for each range, 4096 at most, and that over documents one range's.
 
 Tokens are words. Weights are given by node, as {("src",): 2.0, ("src", "en"): 3.0,
 ("src", "en", "src1"): 0.5}, and 1 where they aren't.
 
 Defined cases. Null languages and sources are leaves named "". Null text has no tokens; such
-rows are in every whole epoch, and in a prefix that reaches their place. Repeated rows are rows of their own. A weight of 0
-excludes a node. Equal hashes go by doc_id and row. An empty table gives an empty result.
+rows are in every whole epoch, and in a prefix that reaches their place. A long text counts whole:
+a prefix that it doesn't fit into ends before it. Repeated rows are rows of their own, beside each
+other in the order. A weight of 0 excludes a node. Equal hashes go by doc_id and row. Other columns
+are carried by `mixed_documents`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import read, words_of
-from gridwright.llm.components import cut
+from gridwright.llm.common import cut, packed, read, unpacked, words_of
 from gridwright.llm.simhash import with_uid
 
 LEVELS = ["domain", "lang", "source"]
@@ -96,22 +98,26 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", total: int
     block = F.shiftrightunsigned("hash", 64 - BLOCK_BITS)
     placed = placed.withColumn("block", block)
     sums = placed.groupBy(*LEVELS, "block").agg(F.sum("tokens").alias("n"))
+    # a row for each range of a leaf: 4096 at most, whatever the documents
     up_to = W.partitionBy(*LEVELS).orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = sums.select(*LEVELS, "block", "n", F.sum("n").over(up_to).alias("end"))
-    known = placed.join(ends, [*LEVELS, "block"]).withColumn("before", F.col("end") - F.col("n"))
-    inside = known.where("end <= rest").withColumn("extra", F.lit(1))
-    beyond = known.where("before > rest").withColumn("extra", F.lit(0))
+    # the rows with their ranges are written once, then read for the ranges that are whole and for those that aren't
+    known = cut(placed.join(ends, [*LEVELS, "block"]).withColumn("before", F.col("end") - F.col("n")), "mix-places")
+    cut_off = (F.col("before") <= F.col("rest")) & (F.col("end") > F.col("rest"))
+    whole_ranges = known.where(~cut_off).withColumn("extra", (F.col("end") <= F.col("rest")).cast("int"))
     order = W.partitionBy(*LEVELS, "block").orderBy(F.shiftrightunsigned("hash", 1), "hash", "doc_id", "uid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = known.where("before <= rest and end > rest").withColumn("extra", (F.col("before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
-    taken = inside.unionByName(beyond).unionByName(edge)
+    edge = known.where(cut_off).withColumn("extra", (F.col("before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
+    taken = whole_ranges.unionByName(edge)
     return taken.select("uid", "doc_id", *LEVELS, "tokens", F.least(F.col("whole") + F.col("extra"), F.lit(epochs).cast("long")).cast("int").alias("copies")).where("copies > 0")
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The selected rows of `docs`, all columns, once for each epoch that takes them."""
-    numbered = cut(with_uid(docs.drop("uid")), "mix-input")
-    chosen = mix(numbered, **settings).select("uid", "copies")
-    return numbered.join(chosen, "uid").withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[c for c in docs.columns if c != "uid"])
+def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The selected rows of `docs`, all columns as they are, once for each epoch that takes them. `docs` has a lang and a source."""
+    top = [F.col(c).alias(c) for c in ("lang", "source")]
+    numbered = cut(packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), *top, keep=[text]), "mix-input")
+    chosen = mix(numbered.select("uid", "doc_id", "lang", "source", F.col("c0").alias("text")), **settings).select("uid", "copies")
+    rows = numbered.join(chosen, "uid").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(rows, docs.columns, [text])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,17 @@ share of their sum, is the evidence; a logistic curve, fitted on labelled texts
 dictionaries have not seen, makes it a probability. Junk that repeats itself compresses alike
 with either, so the curve also takes the share of its bytes that a piece compresses to.
 
-The dictionaries are fitted on a bounded sample: of each class the `MOST` labelled documents
-with the least hashes of their doc_id, but for texts of over `LONGEST` bytes, whose pieces are
-taken in order of their hash until `MOST_BYTES`. Scoring takes every whole text.
+The model is fitted on a bounded sample: of each class the `MOST` labelled documents with the
+least hashes of their doc_id, with their whole texts. No other bound holds: their number is what
+limits what comes to the driver. Scoring takes every whole text, piece by piece, so a long one
+costs no more memory.
 
 Defined cases. Null and empty texts have no pieces and get the share of label 1 among the
-fitted texts. Without labels of both classes every score is that share, or 0.5. Repeated label
-rows count once each. Scores depend on the text alone.
+fitted texts. Without labels of both classes every score is that share, or 0.5. Equal label rows
+count once; a document labelled both ways teaches nothing, nor do labels without a document or a
+doc_id. Of rows that share a labelled doc_id each teaches by its own text, and each row is scored
+by itself. Scores depend on the text alone, so equal texts tie. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +33,8 @@ from gridwright.llm.common import read
 PIECE = 512
 LEVEL = 3
 DICTIONARY_BYTES = 256 << 10
-#: The bounds of the sample.
+#: The bound of the sample: so many labelled documents of each class.
 MOST = 2000
-MOST_BYTES = 4 << 20
-LONGEST = 64 << 10
 CUT = 0.3
 FOLDS = 5
 
@@ -72,20 +74,27 @@ def _terms(x: tuple[float, float]) -> list[float]:
     return [1.0, 10 * d, 4 * share, 10 * d * share, 16 * min(share, 1.0) ** 2]
 
 
-def _logistic(rows: list[list[float]], labels: list[int], ridge: float = 1e-3, steps: int = 50) -> list[float]:
-    """Newton's method; both classes weigh as they come."""
+def _logistic(rows: list[list[float]], labels: list[int], ridge: float = 1e-3, steps: int = 100) -> list[float]:
+    """Newton's method, each step halved until the loss falls; both classes weigh as they come."""
     import numpy as np
 
     x, y = np.array(rows), np.array(labels, float)
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = np.exp(-np.logaddexp(0, -(x @ w)))
         gradient = x.T @ (p - y) + ridge * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if abs(step).max() < 1e-9:
+        while abs(step).max() > 1e-9 and not loss(w - step) < loss(w):
+            step /= 2
+        if abs(step).max() <= 1e-9:
             break
+        w -= step
     return w.tolist()
 
 
@@ -94,16 +103,11 @@ def _dictionary(texts: list[bytes]) -> bytes:
     import zstandard
 
     parts = sorted({t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)}, key=lambda p: (xxhash.xxh64_intdigest(p), p))
-    kept, total = [], 0
-    for part in parts:
-        if total >= MOST_BYTES:
-            break
-        kept.append(part)
-        total += len(part)
+    total = sum(map(len, parts))
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), kept, k=128, d=8).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), parts, k=128, d=8).as_bytes()
     except zstandard.ZstdError:  # too few or too short texts to train on: their own bytes serve
-        return b"".join(kept)[-DICTIONARY_BYTES:]
+        return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
 def fit(rows: list[tuple[int, str | None, int]]) -> Model:
@@ -146,20 +150,21 @@ def held_out(doc_id, folds: int = FOLDS):
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """A model from the labelled rows that are not held out; at most `most` documents of each class."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
+    given = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where(F.col("quality") == 0).orderBy(*order).limit(most).unionByName(known.where(F.col("quality") != 0).orderBy(*order).limit(most))
-    # at most twice `most` rows of ids are broadcast, and as many texts of LONGEST bytes come back
-    rows = docs.where(F.octet_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # twice `most` ids at most are broadcast, and the texts of these documents come back
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     return fit([tuple(r) for r in rows.collect()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id and score of every whole text. No shuffle."""
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_scores(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scores(model), "doc_id long, score double")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit_on(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

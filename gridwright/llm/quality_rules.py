@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import WHITE, read, words_of
+from gridwright.llm.common import WHITE, packed, read, unpacked, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -126,11 +126,24 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
         "lost_chars": F.when(F.col("n_lines_removed") == 0, 0).otherwise(F.col("word_chars") - F.length(F.array_join(F.array_remove(F.split(F.array_join("__k", " "), WHITE, -1), ""), ""))).cast("long"),
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
     })
-    return judged.withColumns({
-        # an id is not deterministic, so a filter on `kept` stays above, instead of repeating all of this for each mention
-        "kept": ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars")) & (F.monotonically_increasing_id() >= 0),
-        "cleaned": F.when(F.col(text).isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")),
-    }).drop("__t", "__w", "__n", "__b", "__m", "__s", "__l", "__k", "__e", "__r")
+    results = [F.col(c) for c in ADDED[:-2]] + [
+        (~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept"),
+        F.when(F.col(text).isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")).alias("cleaned"),
+    ]
+    # an array of one struct, exploded, gives each row once: a filter on the verdict stays above it, instead of being
+    # pushed below, where each mention of a column is replaced by all that it is made of
+    rows = judged.select(*[F.col(f"`{c}`") for c in base.columns if c != "__t"], F.explode(F.array(F.struct(*results))).alias("__x"))
+    return rows.select(*[F.col(f"`{c}`") for c in base.columns if c != "__t"], "__x.*")
+
+
+def cleaned_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **settings) -> DataFrame:
+    """The documents that are kept, their text without the lines that fail, all other columns as they are.
+
+    `n_chars`, where there is such a column, becomes the number of the characters left.
+    """
+    kept = quality_rules(packed(docs, keep=[text]), "c0", **settings).where("kept").select(F.col("cleaned").alias("c0"), "rest")
+    out = unpacked(kept, docs.columns, [text])
+    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
 
 
 #: What op7 returns.

@@ -12,9 +12,10 @@ No piece has a marker behind another character, so the best segmentation of a te
 its units (a run of markers and what follows up to the next), one after another. Different units of a
 batch are segmented together: each step of the walk through the trie is one numpy operation.
 
-Defined cases. Null and empty texts have no ids and decode to an empty text. Long units are
-cut nowhere: units of over `LONG` bytes are walked one by one. Repeated rows are encoded each.
-Other columns are carried through; the columns added here replace any of the same name.
+Defined cases. Null and empty texts have no ids and decode to an empty text. Long texts are taken
+whole, and long units are cut nowhere: those of over `LONG` bytes are walked one by one, in time
+and memory that grow with their length. Repeated rows are encoded each. Other columns are carried
+through; the columns added here replace any of the same name. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MARK = "▁"
 LONG = 64
 #: Different units of which a task keeps the ids; it forgets all when there are more.
 CACHED_UNITS = 500_000
-#: A line feed is in no piece, so it is a unit by itself.
+#: A line feed is in no piece (`Pieces` makes sure), so it is a unit by itself.
 UNITS = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 ADDED = {"ids": "array<int>", "n_tokens": "long", "n_byte_tokens": "long", "ids_crc32": "long", "decoded_same": "boolean"}
@@ -106,8 +107,11 @@ class Pieces:
         keys = {p.encode(): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "normal"}
         if any(MARK in p.decode().lstrip(MARK) for p in keys):
             raise ValueError("a piece has a marker behind another character")
+        if any(b"\n" in p for p in keys):
+            raise ValueError("a piece has a line feed")
         self.longest = max(map(len, keys))
         self.trie = DoubleArray(keys)
+        self.plain = None
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         self.lengths = np.array([*map(len, self.text)], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -119,17 +123,47 @@ class Pieces:
         out: list = [None] * len(units)
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
         for at in range(0, len(order), 8192):
-            part = order[at : at + 8192]
-            if len(units[part[-1]]) > LONG:
-                short = [i for i in part if len(units[i]) <= LONG]
-                groups = [short] * bool(short) + [[i] for i in part if len(units[i]) > LONG]
-            else:
-                groups = [part]
-            for group in groups:
+            group = [i for i in order[at : at + 8192] if len(units[i]) <= LONG]
+            if group:
                 for i, ids in zip(group, self._together([units[i] for i in group]), strict=True):
                     out[i] = np.array(ids, np.int32)
+        for i in order:
+            if out[i] is None:
+                out[i] = np.array(self._alone(units[i]), np.int32)
         return out
 
+    def _alone(self, unit: bytes) -> list[int]:
+        """Viterbi over one unit of any length, in plain steps through the trie."""
+        if self.plain is None:
+            self.plain = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score)]
+        base, check, values, scores = self.plain
+        n, none = len(unit), float("-inf")
+        best, last, back = [0.0] + [none] * n, [-1] * (n + 1), [0] * (n + 1)
+        for s in range(n):
+            here = best[s]
+            if here == none:
+                continue
+            lead = unit[s]
+            e = s + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            if here + self.penalty > best[e]:
+                best[e], last[e], back[e] = here + self.penalty, -2, s
+            state = 0
+            for e in range(s, n):
+                after = base[state] + unit[e] + 1
+                if check[after] != state:
+                    break
+                state = after
+                value = values[state]
+                if value >= 0 and here + scores[value] > best[e + 1]:
+                    best[e + 1], last[e + 1], back[e + 1] = here + scores[value], value, s
+        ids: list[int] = []
+        e = n
+        while e:
+            s = back[e]
+            ids += [last[e]] if last[e] != -2 else [int(self.byte_id[b]) for b in reversed(unit[s:e])]
+            e = s
+        return ids[::-1]
+
     def _together(self, units: list[bytes]) -> list[list[int]]:
         """Viterbi over all units at once, by the start of the last piece."""
         import numpy as np

@@ -12,9 +12,14 @@ groups give each close pair once (in the first choice of blocks that it shares),
 a tree of links by breadth-first search, never all pairs. Equal fingerprints are one row
 before that, so copies cost nothing more.
 
+Rows of one fingerprint and fingerprints of one component may be a third of all: they are joined
+to their class without meeting in one task (`common.join_to_one`).
+
 Defined cases. Null, empty and wordless texts have fingerprint zero, linked like any other.
-Fewer words than a shingle are one shingle. A null doc_id comes after all others. Repeated rows
-are rows of their own. Other columns are ignored, and carried by `drop_near_copies`.
+Fewer words than a shingle are one shingle; a long text is hashed whole, 64 K shingles at a time.
+Of a component the row with the least doc_id stays, then the first read; a null doc_id comes
+after all others. Repeated rows are rows of their own. Other columns are ignored, and carried by
+`drop_near_copies`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import partitions, read, shared_path
-from gridwright.llm.components import components, cut
+from gridwright.llm.common import cut, join_to_one, packed, partitions, read, unpacked
+from gridwright.llm.components import components
 
 SHINGLE = 4
 DISTANCE = 4
@@ -33,6 +38,8 @@ SEED = 42
 SHARED = 3
 #: Groups of more fingerprints than this give a tree of links.
 SMALL = 32
+#: Keyed fingerprints that a task holds at once, about.
+TASK_ROWS = 2_000_000
 
 
 def blocks(distance: int = DISTANCE, shared: int = SHARED) -> list[int]:
@@ -96,9 +103,9 @@ def _fingerprints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """uid, doc_id, fp of every row. No shuffle."""
-    return docs.select("uid", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints(shingle), "uid long, doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """uid, doc_id, fp of rows with uid, doc_id and text. No shuffle."""
+    return docs.select("uid", "doc_id", "text").mapInArrow(_fingerprints(shingle), "uid long, doc_id long, fp long")
 
 
 def tree_of_links(fps, distance: int):
@@ -167,10 +174,11 @@ def _links(distance: int, shared: int):
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, shared: int = SHARED) -> DataFrame:
-    """Links (a, b) of different fingerprints whose components are those of all close pairs."""
+    """Links (a, b) of different fingerprints whose components are those of all close pairs. `fps` is read from files."""
     signed = [m - (1 << 64) if m >> 63 else m for m in choices(distance, shared)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "key"))
-    return keyed.repartition(partitions(fps.sparkSession), "choice", "key").mapInArrow(_links(distance, shared), "a long, b long")
+    n = max(partitions(fps.sparkSession), -(-fps.count() * len(signed) // TASK_ROWS))
+    return keyed.repartition(n, "choice", "key").mapInArrow(_links(distance, shared), "a long, b long")
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -178,29 +186,31 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumn("uid", F.monotonically_increasing_id())
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """uid, doc_id, fingerprint, component_id, and kept: true for one row of each component. `docs` needs `uid`."""
-    rows = cut(fingerprints(docs, text, doc_id, shingle), "fingerprints")
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """uid, doc_id, fp, component_id, keep_uid of `rows` (uid, doc_id, fp), which are read from files."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     known = cut(rows.groupBy("fp").agg(least), "distinct-fingerprints")
     roots = components(links(known.select("fp"), distance))
-    rooted = known.join(roots, known["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.uid").alias("keep_uid"))
-    return rows.join(classes, "fp").select(
-        "uid", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept")
-    )
+    rooted = cut(known.join(roots, known["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted-fingerprints")
+    named = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    classes = join_to_one(rooted.select("fp", "root"), named, "root").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep_uid"))
+    return join_to_one(rows, cut(classes, "fingerprint-classes"), "fp")
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row, and kept: true for one row of each component."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = _classes(cut(fingerprints(numbered, shingle), "fingerprints"), distance)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` that stay, all columns."""
-    spark = docs.sparkSession
-    path = shared_path(spark, "near-input")
-    with_uid(docs).write.option("compression", "zstd").parquet(path)
-    numbered = spark.read.parquet(path)
-    dropped = near_groups(numbered, text, doc_id, shingle, distance).where(~F.col("kept")).select("uid")
-    return numbered.join(dropped, "uid", "left_anti").select(*docs.columns)
+    """The rows of `docs` that stay, all columns as they are."""
+    numbered = cut(packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), keep=[text]), "near-input")
+    rows = cut(fingerprints(numbered.withColumnRenamed("c0", "text"), shingle), "fingerprints")
+    dropped = _classes(rows, distance).where("uid <> keep_uid").select("uid")
+    return unpacked(numbered.join(dropped, "uid", "left_anti"), docs.columns, [text])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(with_uid(read(spark, sf_dir, "documents"))).select("doc_id", "fingerprint", "component_id")
+    return near_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

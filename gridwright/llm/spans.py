@@ -4,20 +4,30 @@ A window is `length` consecutive tokens of one document. It is a duplicate if th
 also start in a document with a smaller doc_id. Finding these among all documents takes four
 steps, each on bounded pieces of data:
 
-1. Documents are dealt into packs by the hash of their doc_id. Every window chooses one of its
+1. Documents are dealt into packs by a hash of doc_id and text. Every window chooses one of its
    runs of `gram` tokens, the one with the least hash, by its content alone: equal windows in
    any documents choose equal runs, their anchors. A pack sends each different anchor's hash
-   once to its bucket.
-2. A bucket tells each pack which of its anchors occur in another document too.
+   once to its bucket, with the number of its places.
+2. A bucket tells each pack which of its anchors occur in another document too, and which of
+   them are heavy: in so many places that no one bucket should get them all.
 3. For those alone, a pack sends segments: the tokens of all windows that chose an anchor, to
-   the anchor's bucket. Equal segments of a pack go once, with the least doc_id; the others are
+   the anchor's bucket; of a heavy anchor, each window by itself, to the window's own bucket.
+   Equal segments of a pack, byte for byte, go once, with the least doc_id; the others are
    duplicates already. So a passage in a third of all documents costs a segment for each pack.
 4. A bucket has all windows with its anchors, from all documents. An operator's own method
    (`matcher`) says which are duplicates; ranges of tokens go back to the packs, where the
    documents lose them.
 
+Hashes only choose where tokens meet; that tokens are equal is decided on their bytes alone.
 Only fingerprints, segments and ranges are shuffled, and each document's text once: Spark reuses
-that exchange. Packs and buckets grow in number with the input, so that each fits one task.
+that exchange. A pack is hashed twice (steps 1 and 3), so that nothing of it need be kept. Packs
+and buckets grow in number with the input, so that each fits one task; `pack_bytes` is theirs.
+
+Defined cases, of both operators. Null text has no tokens. A document shorter than a window
+loses nothing. A null doc_id counts as greater than all others. Rows with one doc_id don't
+remove each other's tokens, repeated rows included. A long text is one document of one pack,
+never cut: that pack's memory grows with it. Other columns are ignored, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +37,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import partitions, text_bytes
+from gridwright.llm.common import gather, partitions, text_bytes
 
-#: Bytes of text of a pack, about.
+#: Bytes of text of a pack, about. A pack sends a blob to each bucket at most: raise it with the executors' memory.
 PACK_BYTES = 6 << 20
+#: Segments of one anchor, in all packs, from which on it is heavy.
+HEAVY = 1 << 15
 FACTOR = 0x5851F42D4C957F2D
 
 BLOB = "pack int, bucket int, data binary"
 LAST = (1 << 63) - 1
+#: The low bits of an anchor's hash on its way: the logarithm of its places, and whether two documents have it.
+LOW = 0x7F
 
 
 def pressed(data: bytes) -> bytes:
@@ -130,22 +144,26 @@ class Finder:
     bytes of runs of tokens and their sizes; `matcher(doc_ids, contents, sizes)` the runs of windows
     of segments that are duplicates; `digest(...)` the result's rows from the tokens that stay."""
 
-    def __init__(self, length: int, gram: int, slice_: int, tokens: Callable, hashes: Callable, content: Callable, matcher: Callable, digest: Callable, digests: str):
+    def __init__(self, length: int, gram: int, slice_: int, tokens: Callable, hashes: Callable, content: Callable, matcher: Callable, digest: Callable, digests: str, pack_bytes: int = PACK_BYTES, heavy: int = HEAVY):
         self.length, self.gram, self.slice = length, gram, slice_
         self.tokens, self.hashes, self.content, self.matcher, self.digest = tokens, hashes, content, matcher, digest
-        self.digests = digests
+        self.digests, self.pack_bytes, self.heavy = digests, pack_bytes, heavy
 
     def _anchors(self, context, sizes):
         return Anchors(lambda a, b: self.hashes(context, a, b), sizes, self.length, self.gram, self.slice)
 
+    def packs(self, docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int]:
+        """The documents with their packs, and the number of buckets."""
+        # a pack sends a blob to each bucket, so that neither may be more than tasks or memory ask for
+        least, size = partitions(docs.sparkSession), -(-text_bytes(docs, text) // self.pack_bytes)
+        dealt = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(max(2 * least, size))).cast("int")
+        return docs.select(dealt.alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")), max(least, size)
+
     def find(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """A row of `digests` for each row of `docs`."""
         import pyarrow as pa
 
-        # a pack sends a blob to each bucket, so that neither may be more than tasks or memory ask for
-        least, size = partitions(docs.sparkSession), -(-text_bytes(docs, text) // PACK_BYTES)
-        n_packs, n = max(2 * least, size), max(least, size)
-        packs = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_packs)).cast("int").alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+        packs, n = self.packs(docs, text, doc_id)
         finder = self  # what the tasks get
 
         def sent(key, table):
@@ -160,15 +178,33 @@ class Finder:
         def matched(key, table):
             return pa.Table.from_batches(finder._match(key[0].as_py(), table))
 
-        def reduced(key, table, ranges):
-            return pa.Table.from_batches(finder._reduce(table, ranges))
-
-        by_pack = packs.groupBy("pack")
-        anchors = by_pack.applyInArrow(sent, BLOB)
+        anchors = packs.groupBy("pack").applyInArrow(sent, BLOB)
         flags = anchors.groupBy("bucket").applyInArrow(shared, BLOB)
-        parts = by_pack.cogroup(flags.groupBy("pack")).applyInArrow(segments, BLOB)
+        parts = packs.groupBy("pack").cogroup(flags.groupBy("pack")).applyInArrow(segments, BLOB)
         ranges = parts.groupBy("bucket").applyInArrow(matched, BLOB)
-        return by_pack.cogroup(ranges.groupBy("pack")).applyInArrow(reduced, self.digests)
+        return self.reduced(packs, ranges)
+
+    def every_segment(self, packs: DataFrame, n: int) -> DataFrame:
+        """The segments of all anchors, also of those that no other document has: what a family that grows must keep."""
+        import pyarrow as pa
+
+        finder = self
+
+        def segments(key, table):
+            return pa.Table.from_batches(finder._send_segments(key[0].as_py(), table, None, n))
+
+        return packs.groupBy("pack").applyInArrow(segments, BLOB)
+
+    def reduced(self, packs: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The digests of the packs' documents without the tokens of `ranges`."""
+        import pyarrow as pa
+
+        finder = self
+
+        def reduce(key, table, own):
+            return pa.Table.from_batches(finder._reduce(table, own))
+
+        return packs.groupBy("pack").cogroup(ranges.groupBy("pack")).applyInArrow(reduce, self.digests)
 
     def _read(self, table):
         """(doc_ids, the same as numbers, sizes, context) of a pack, in an order that its rows alone decide."""
@@ -181,16 +217,17 @@ class Finder:
         return ids, np.array([LAST if i is None else i for i in ids], np.int64), sizes, context
 
     def _unique(self, anchors, ids):
-        """Different hashes of a pack, and whether each is in two documents; the lowest bit makes room for that."""
+        """Different hashes of a pack, each anchor's place among them, and their low bits: LOW has the number of places, by its logarithm, and whether two documents have them."""
         import numpy as np
 
-        hashes = anchors.hash & ~np.uint64(1)
-        which, place = np.unique(hashes, return_inverse=True)
+        hashes = anchors.hash & ~np.uint64(LOW)
+        which, place, count = np.unique(hashes, return_inverse=True, return_counts=True)
         owner = ids[anchors.doc]
         low, high = np.full(len(which), LAST), np.full(len(which), -LAST)
         np.minimum.at(low, place, owner)
         np.maximum.at(high, place, owner)
-        return which, place, low != high
+        told = np.ceil(np.log2(count)).astype(np.uint64) << np.uint64(1) | (low != high)
+        return which, place, told
 
     def _blobs(self, pack: int, items):
         import pyarrow as pa
@@ -203,10 +240,10 @@ class Finder:
         import numpy as np
 
         _, ids, sizes, context = self._read(table)
-        which, _, twice = self._unique(self._anchors(context, sizes), ids)
+        which, _, told = self._unique(self._anchors(context, sizes), ids)
         bucket = self._bucket(which, n)
         order = np.argsort(bucket, kind="stable")
-        sent = (which | twice.astype(np.uint64))[order]
+        sent = (which | told)[order]
         found, starts = np.unique(bucket[order], return_index=True)
         yield from self._blobs(pack, [(int(b), part.tobytes()) for b, part in zip(found, np.split(sent, starts[1:]), strict=True)] if len(sent) else [])
 
@@ -218,61 +255,108 @@ class Finder:
         return ((mixed(hashes) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
     def _share(self, bucket: int, table):
-        """To each pack, a bit for each anchor that it sent: whether another document has it."""
+        """To each pack, two bits for each anchor that it sent: whether another document has it, and whether it is heavy."""
         import numpy as np
+        import pyarrow as pa
 
         packs, blobs = table.column("pack").to_pylist(), table.column("data").to_pylist()
         hashes = np.frombuffer(b"".join(blobs), np.uint64)
-        _, place = np.unique(hashes >> np.uint64(1), return_inverse=True)
-        flag = (hashes & np.uint64(1)).astype(np.int64)
-        several = (np.bincount(place, 1 + flag)[place] > 1) if len(hashes) else np.empty(0, bool)
-        sizes = [len(b) // 8 for b in blobs]
-        out = []
-        for p, bits in zip(packs, np.split(several, np.cumsum(sizes)[:-1]), strict=True):
-            out.append((p, np.packbits(bits).tobytes()))
-        import pyarrow as pa
+        _, place = np.unique(hashes & ~np.uint64(LOW), return_inverse=True)
+        told = hashes & np.uint64(LOW)
+        several = np.bincount(place, 1 + (told & np.uint64(1)).astype(np.int64))[place] > 1 if len(hashes) else np.empty(0, bool)
+        heavy = np.bincount(place, np.exp2((told >> np.uint64(1)).astype(float)))[place] >= self.heavy if len(hashes) else np.empty(0, bool)
+        cuts = np.cumsum([len(b) // 8 for b in blobs])[:-1]
+        out = [np.packbits(np.concatenate([a, b])).tobytes() for a, b in zip(np.split(several, cuts), np.split(heavy, cuts), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["pack", "bucket", "data"])
+
+    def _told(self, bucket, flags):
+        """What the buckets say of a pack's different anchors: (in several documents, heavy)."""
+        import numpy as np
 
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["pack", "bucket", "data"])
+        said = dict(zip(flags.column("bucket").to_pylist(), flags.column("data").to_pylist(), strict=True))
+        several, heavy = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
+        order = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[order], return_index=True)
+        for b, part in zip(found, np.split(order, starts[1:]), strict=True) if len(order) else ():
+            bits = np.unpackbits(np.frombuffer(said[int(b)], np.uint8), count=2 * len(part)).view(bool)
+            several[part], heavy[part] = bits[: len(part)], bits[len(part) :]
+        return several, heavy
+
+    def _windows(self, context, start, windows):
+        """Hashes of the windows of some segments, one segment after another."""
+        import numpy as np
+
+        out, at = [], 0
+        sizes = windows + self.length - 1
+        while at < len(start):  # some segments at a time
+            end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), self.slice, side="right")) + at)
+            tokens = np.concatenate([self.hashes(context, int(s), int(s + k)) for s, k in zip(start[at:end], sizes[at:end], strict=True)])
+            first = np.cumsum(sizes[at:end]) - sizes[at:end]
+            out.append(rolled(tokens, self.length)[gather(np.arange(len(tokens)), first, windows[at:end])])
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def _same(self, context, start, stop, head):
+        """Whether each run of tokens is, byte for byte, that of its head (places among the same runs)."""
+        import numpy as np
+
+        same = np.ones(len(start), bool)
+        others = np.flatnonzero(head != np.arange(len(start)))
+        for at in range(0, len(others), 1 << 14):
+            i = others[at : at + (1 << 14)]
+            a, n = self.content(context, start[i], stop[i])
+            b, m = self.content(context, start[head[i]], stop[head[i]])
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            alike = np.flatnonzero(n == m)
+            ok = np.zeros(len(i), bool)
+            if len(alike):
+                begin = lambda sizes: (np.cumsum(sizes) - sizes)[alike]
+                equal = gather(a, begin(n), n[alike]) == gather(b, begin(m), m[alike])
+                ok[alike] = np.logical_and.reduceat(equal, np.cumsum(n[alike]) - n[alike])
+            same[i] = ok
+        return same
 
     def _send_segments(self, pack: int, table, flags, n: int):
         """Segments to buckets. A blob of segments: how many (u4), then compressed their doc_ids (i8), starts
         in their document (i8), places of the document in its pack (u4), sizes of content (u4), and contents.
-        Ranges that are known already go to a bucket of their own, below 0, which passes them on."""
+        Ranges that are known already go to a bucket of their own, below 0, which passes them on. Without
+        `flags` all segments go."""
         import numpy as np
 
         _, ids, sizes, context = self._read(table)
         anchors = self._anchors(context, sizes)
         which, place, _ = self._unique(anchors, ids)
         bucket = self._bucket(which, n)
-        order = np.argsort(bucket, kind="stable")
-        told = dict(zip(flags.column("bucket").to_pylist(), flags.column("data").to_pylist(), strict=True))
-        several = np.zeros(len(which), bool)
-        found, starts = np.unique(bucket[order], return_index=True)
-        for b, part in zip(found, np.split(order, starts[1:]), strict=True) if len(order) else ():
-            several[part] = np.unpackbits(np.frombuffer(told[int(b)], np.uint8), count=len(part)).view(bool)
+        several, heavy = self._told(bucket, flags) if flags is not None else (np.ones(len(which), bool), np.zeros(len(which), bool))
         take = np.flatnonzero(several[place]) if len(place) else np.empty(0, np.int64)
         if not len(take):
             yield from self._blobs(pack, [])
             return
-        start, windows, doc = anchors.start[take], anchors.windows[take], anchors.doc[take]
-        stop = start + windows + self.length - 1
+        start, windows, doc, goes = anchors.start[take], anchors.windows[take], anchors.doc[take], bucket[place[take]]
         # equal segments have equal first and last windows, as together these hold all its tokens
         key = mixed(anchors.first[take] * np.uint64(3) + mixed(anchors.last[take] + windows.astype(np.uint64)))
+        if (apart := heavy[place[take]]).any():
+            own = self._windows(context, start[apart], windows[apart])
+            each = gather(np.arange(int(windows[apart].max())), np.zeros(int(apart.sum()), np.int64), windows[apart])
+            split = lambda kept, part: np.concatenate([kept[~apart], part])
+            start, doc = split(start, np.repeat(start[apart], windows[apart]) + each), split(doc, np.repeat(doc[apart], windows[apart]))
+            key, goes = split(key, mixed(own + np.uint64(1))), split(goes, self._bucket(own, n))
+            windows = split(windows, np.ones(len(own), np.int64))
+        stop = start + windows + self.length - 1
         owner = ids[doc]
         by = np.lexsort((start, owner, key))
+        start, stop, doc, owner, goes, key = start[by], stop[by], doc[by], owner[by], goes[by], key[by]
         new = np.ones(len(by), bool)
-        new[1:] = key[by][1:] != key[by][:-1]
-        head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = by[owner[head] < owner[by]]
+        new[1:] = key[1:] != key[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
         offset = (np.cumsum(sizes) - sizes)[doc]
-        known = np.stack([doc[again], (start - offset)[again], (stop - offset)[again]]).astype(np.int64)
-        # of the least document every occurrence goes, as each has its own range
-        send = by[owner[head] == owner[by]]
-        at = bucket[place[take[send]]]
-        send = send[np.argsort(at, kind="stable")]
-        at = np.sort(at)
+        # a later document's segment that is its head's is a duplicate; of the head's own document every occurrence goes, as each has its own range
+        again = (owner[head] < owner) & self._same(context, start, stop, head)
+        known = np.stack([doc, start - offset, stop - offset])[:, again].astype(np.int64)
+        send = np.flatnonzero(~again)
+        send = send[np.argsort(goes[send], kind="stable")]
         out = []
-        found, starts = np.unique(at, return_index=True)
+        found, starts = np.unique(goes[send], return_index=True)
         for b, part in zip(found, np.split(send, starts[1:]), strict=True):
             data, lengths = self.content(context, start[part], stop[part])
             body = owner[part].astype("<i8").tobytes() + (start - offset)[part].astype("<i8").tobytes() + doc[part].astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + data
@@ -281,33 +365,46 @@ class Finder:
             out.append((-1 - pack, pressed(known.tobytes())))
         yield from self._blobs(pack, out)
 
-    def _match(self, bucket: int, table):
+    @staticmethod
+    def received(packs, blobs):
+        """The segments of blobs: doc_ids, starts, places, sizes of content, packs, and contents."""
         import numpy as np
+
+        ids, starts, places, lengths, data, origin = [], [], [], [], [], []
+        for p, blob in zip(packs, blobs, strict=True):
+            m = int.from_bytes(blob[:4], "little")
+            body = unpressed(blob[4:])
+            ids.append(np.frombuffer(body, "<i8", m))
+            starts.append(np.frombuffer(body, "<i8", m, 8 * m))
+            places.append(np.frombuffer(body, "<u4", m, 16 * m))
+            lengths.append(np.frombuffer(body, "<u4", m, 20 * m))
+            data.append(body[24 * m :])
+            origin.append(np.full(m, p))
+        if not blobs:
+            return *(np.empty(0, np.int64) for _ in range(5)), b""
+        ids, starts, places, lengths, origin = (np.concatenate(x) for x in (ids, starts, places, lengths, origin))
+        return ids, starts, places, lengths.astype(np.int64), origin, b"".join(data)
+
+    def answers(self, starts, places, origin, segment, first, count):
+        """(pack, blob) of the ranges of tokens that runs of windows (segment, first window, windows) cover."""
+        import numpy as np
+
+        begin = starts[segment] + first
+        rows = np.stack([places[segment], begin, begin + count + self.length - 1]).astype(np.int64)
+        p = origin[segment]
+        order = np.argsort(p, kind="stable")
+        found, cuts = np.unique(p[order], return_index=True)
+        return [(int(x), pressed(np.ascontiguousarray(rows[:, part]).tobytes())) for x, part in zip(found, np.split(order, cuts[1:]), strict=True)] if len(p) else []
+
+    def _match(self, bucket: int, table):
         import pyarrow as pa
 
         packs, blobs = table.column("pack").to_pylist(), table.column("data").to_pylist()
         if bucket < 0:
             out = list(zip(packs, blobs, strict=True))
         else:
-            ids, starts, places, lengths, data, origin = [], [], [], [], [], []
-            for p, blob in zip(packs, blobs, strict=True):
-                m = int.from_bytes(blob[:4], "little")
-                body = unpressed(blob[4:])
-                ids.append(np.frombuffer(body, "<i8", m))
-                starts.append(np.frombuffer(body, "<i8", m, 8 * m))
-                places.append(np.frombuffer(body, "<u4", m, 16 * m))
-                lengths.append(np.frombuffer(body, "<u4", m, 20 * m))
-                data.append(body[24 * m :])
-                origin.append(np.full(m, p))
-            ids, starts, places, lengths, origin = (np.concatenate(x) for x in (ids, starts, places, lengths, origin))
-            # (segment, first window, windows) of runs of duplicate windows
-            segment, first, count = self.matcher(ids, b"".join(data), lengths.astype(np.int64))
-            begin = starts[segment] + first
-            rows = np.stack([places[segment], begin, begin + count + self.length - 1]).astype(np.int64)
-            p = origin[segment]
-            order = np.argsort(p, kind="stable")
-            found, cuts = np.unique(p[order], return_index=True)
-            out = [(int(x), pressed(np.ascontiguousarray(rows[:, part]).tobytes())) for x, part in zip(found, np.split(order, cuts[1:]), strict=True)] if len(p) else []
+            ids, starts, places, lengths, origin, data = self.received(packs, blobs)
+            out = self.answers(starts, places, origin, *self.matcher(ids, data, lengths))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["pack", "bucket", "data"])
 
     def _reduce(self, table, ranges):

@@ -2,17 +2,20 @@
 
 A window of `LENGTH` words whose words also start in a document with a smaller doc_id is a
 duplicate, and the words that such windows cover are removed. `spans.Finder` brings together,
-in one bucket, all windows of all documents that may be equal; there their segments, in order of
-doc_id, are the indexed reference block, and each segment is factored against it: the longest
-match with an earlier document from a place on is a factor. Windows inside a factor are
-duplicates. Those that cross its end are looked up one by one, as the parse goes on from the
-first of them, so a window that lies across two factors is found too.
+in one bucket, all windows of all documents that may be equal: the bucket's segments are its
+reference block. Its words are numbered by their bytes, and a suffix array over these numbers
+indexes the block. For every place it gives the longest match with an earlier document: of all
+suffixes of such documents, the closest before it and the closest behind it in the order of the
+array share the most words with it.
 
-Words are compared by 64 bits of hash each, so a window's match rests on 13 of them.
+Each segment is then factored greedily: from a place on, the longest match is a factor. A factor
+of `LENGTH` words or more is a duplicate span, and the parse goes on from the first window that
+crosses its end, so that a window across two factors is found too. A shorter factor has no
+window, and the parse goes on with the next word.
 
-Defined cases. Null text has no words. A document shorter than a window loses nothing. A null
-doc_id counts as greater than all others. Rows with one doc_id don't remove each other's words.
-Repeated words overlap freely; windows are judged on the input. Other columns are ignored.
+Words are compared by their bytes; hashes only choose which segments meet.
+
+Defined cases: those of `spans`. Repeated words overlap freely; windows are judged on the input.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from gridwright.llm.common import gather, read
-from gridwright.llm.spans import FACTOR, Finder, mixed, rolled
+from gridwright.llm.spans import FACTOR, PACK_BYTES, Finder, mixed
 
 LENGTH = 13
 GRAM = 5
@@ -98,43 +101,87 @@ def _digest(ids, removed, sizes, base, context):
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
+def ranks_of(numbers, end):
+    """Ranks of the first 1, 2, 4, … words of each suffix, and their order; a suffix stops at its `end`.
+
+    Prefix doubling: the order of twice as many words is that of pairs of ranks. Equal ranks mean
+    equal words, or equal suffixes that stop.
+    """
+    import numpy as np
+
+    n = len(numbers)
+    most = int((end - np.arange(n)).max(initial=1))
+    ranks, size = [numbers.astype(np.int64) + 1], 1
+    while size < most:
+        behind = np.arange(n) + size
+        low = np.where(behind < end, ranks[-1][np.minimum(behind, n - 1)], 0)
+        _, rank = np.unique(ranks[-1] * np.int64(n + 1) + low, return_inverse=True)
+        ranks.append(rank.astype(np.int64) + 1)
+        size *= 2
+    return ranks
+
+
+def _closest(order, doc, step: int):
+    """For each place of the array the closest one before (step -1) or behind (1) it with a smaller document, -1 if there is none."""
+    import numpy as np
+
+    n = len(order)
+    owner = doc[order]
+    at = np.arange(n) + step
+    open_ = np.flatnonzero((at >= 0) & (at < n))
+    open_ = open_[owner[at[open_]] >= owner[open_]]
+    while len(open_):  # what a place jumped over has no smaller document either, so jumps add up
+        at[open_] = at[at[open_]]
+        inside = (at[open_] >= 0) & (at[open_] < n)
+        open_ = open_[inside]
+        open_ = open_[owner[at[open_]] >= owner[open_]]
+    return np.where((at >= 0) & (at < n), at, -1)
+
+
+def longest_earlier(numbers, doc, end):
+    """How many words each suffix shares with that of an earlier document that shares the most."""
+    import numpy as np
+
+    n = len(numbers)
+    if not n:
+        return np.empty(0, np.int64)
+    ranks = ranks_of(numbers, end)
+    order = np.lexsort((doc, ranks[-1]))
+    most = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        found = _closest(order, doc, step)
+        has = found >= 0
+        a, b = order[has], order[found[has]]
+        left, size = np.minimum(end[a] - a, end[b] - b), np.zeros(len(a), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):  # the largest power of two first
+            rank = ranks[level]
+            on = size < left
+            i, j = np.minimum(a + size, n - 1), np.minimum(b + size, n - 1)
+            same = on & (rank[i] == rank[j])
+            size = np.where(same, np.minimum(size + (1 << level), left), size)
+        most[a] = np.maximum(most[a], size)
+    return most
+
+
 def parse(ids, data: bytes, lengths, length: int = LENGTH):
     """Runs (segment, first window, windows) of duplicate windows among segments of documents `ids`."""
     import numpy as np
+    import pyarrow as pa
 
     by = np.argsort(ids, kind="stable")
-    block = np.frombuffer(gather(np.frombuffer(data, np.uint8), (np.cumsum(lengths) - lengths)[by], lengths[by]), np.uint8)
-    starts, ends = places_in(block)
-    words = hash_words(block, starts, ends)
+    block = gather(np.frombuffer(data, np.uint8), (np.cumsum(lengths) - lengths)[by], lengths[by])
+    _, ends = places_in(block)
     bounds = np.searchsorted(ends, np.concatenate([[0], np.cumsum(lengths[by])]))
     begin, end, doc = bounds[:-1], bounds[1:], ids[by]
-    # the index: of each window of the block, the first place with the same words
-    hashes = rolled(words, length)
-    windows = end - begin - length + 1
-    places = gather(np.arange(len(words)), begin, windows)
-    order = np.argsort(hashes[places], kind="stable")
-    ordered = hashes[places][order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    source = np.zeros(len(words), np.int64)
-    source[places[order]] = places[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    segment_of = np.repeat(np.arange(len(by)), end - begin)
+    sizes = end - begin
+    # different words by their bytes
+    numbers = pa.array(block.tobytes().split(b" ")[:-1], pa.large_binary()).dictionary_encode().indices.to_numpy()
+    most = longest_earlier(numbers, np.repeat(doc, sizes), np.repeat(end, sizes))
     out = []
-    active, cursor = np.arange(len(by)), begin.copy()
+    active, cursor = np.flatnonzero(sizes >= length), begin.copy()
     while len(active):
         at = cursor[active]
-        ref = source[at]
-        ref_segment = segment_of[ref]
-        hit = doc[ref_segment] < doc[active]
-        size = np.zeros(len(active), np.int64)
-        going = np.flatnonzero(hit)
-        while len(going):  # the longest match from here
-            a, r = at[going] + size[going], ref[going] + size[going]
-            inside = (a < end[active[going]]) & (r < end[ref_segment[going]])
-            going, a, r = going[inside], a[inside], r[inside]
-            same = words[a] == words[r]
-            going = going[same]
-            size[going] += 1
+        size = most[at]
         factor = size >= length
         count = np.where(factor, size - length + 1, 1)
         out.append((by[active[factor]], (at - begin[active])[factor], count[factor]))
@@ -143,9 +190,9 @@ def parse(ids, data: bytes, lengths, length: int = LENGTH):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
 
 
-def word_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def word_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pack_bytes: int = PACK_BYTES, **more) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of `docs`."""
-    return Finder(LENGTH, GRAM, SLICE, _tokens, _hashes, _content, parse, _digest, DIGESTS).find(docs, text, doc_id)
+    return Finder(LENGTH, GRAM, SLICE, _tokens, _hashes, _content, parse, _digest, DIGESTS, pack_bytes, **more).find(docs, text, doc_id)
 
 
 def op2_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def test_extendible_index_splits_and_chains():
     for key in (0, 1, 2, 3, 4, 8, 12, 16):
         for text in (b"a", b"b", b"a"):
             index.insert(key, text)["entries"].append(key)
-    found = [(r["key"], r["text"], len(r["entries"])) for _, _, r in index.records()]
+    found = [(r["key"], r["text"], len(r["entries"])) for _, _, _, page in index.pages() for r in page]
     assert sorted(found) == sorted((k, t, n) for k in (0, 1, 2, 3, 4, 8, 12, 16) for t, n in ((b"a", 2), (b"b", 1)))
     assert index.depth >= 3 and len(index.directory) == 1 << index.depth
     for at, (depth, bucket) in enumerate(index.directory):
