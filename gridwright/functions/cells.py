@@ -7,7 +7,7 @@ value. Plain, non-breaking and narrow spaces all count as thousands separators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
@@ -37,7 +37,11 @@ def is_blank(raw: Column) -> Column:
 
 def _digits(raw: Column) -> Column:
     """A number's text with a point for the decimal comma and nothing else but digits."""
-    s = F.regexp_replace(F.regexp_replace(stripped(raw), SPACES, ""), "%+$", "")
+    return _digits_of(stripped(raw))
+
+
+def _digits_of(text: Column) -> Column:
+    s = F.regexp_replace(F.regexp_replace(text, SPACES, ""), "%+$", "")
     commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
     return F.when((commas == 1) & ~F.contains(s, F.lit(".")), F.replace(s, F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
 
@@ -71,6 +75,52 @@ def cell_kind(raw: Column) -> Column:
     return F.when(is_blank(raw), "blank").when(looks_date(raw), "date").when(looks_numeric(raw), "number").otherwise("text")
 
 
+def typed(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """`df` with `kind` and `num` (null for what is no number). The stripped text and its digits are columns of their own first, computed once."""
+    bare = df.withColumn("__s", stripped(F.col(raw)))
+    digits = bare.withColumn("__d", _digits_of(F.col("__s")))
+    numeric = F.coalesce(F.col("__d").rlike(NUMBER), F.lit(False))
+    blank = F.col(raw).isNull() | (F.col("__s") == "") | F.lower("__s").isin(V.ERROR_LITERALS)
+    # a text without a digit is no date
+    dated = F.col("__s").rlike("[0-9]") & (F.col("__s").rlike(DAY_FIRST) | F.col("__s").rlike(YEAR_FIRST) | F.col("__s").rlike(MONTH_YEAR))
+    kind = F.when(blank, "blank").when(dated, "date").when(numeric, "number").otherwise("text")
+    return digits.withColumn("kind", kind).withColumn("num", F.when(F.col("kind") == "number", F.col("__d").try_cast("double"))).drop("__s", "__d")
+
+
+def clean_text(raw: Column) -> Column:
+    """The text of a cell without space around it; null for what only says that there is none."""
+    s = F.trim(raw)
+    return F.when(~F.lower(s).isin(V.NULLISH), s)
+
+
+def journal_text(raw: Column) -> Column:
+    return F.coalesce(stripped(raw), F.lit(""))
+
+
+def journal_number(raw: Column) -> Column:
+    """An amount of a journal: two decimals, 0 for anything that is no number."""
+    return F.round(F.coalesce(coerce_number(raw), F.lit(0.0)), 2)
+
+
+def json_safe(value: Column, kind: str) -> Column:
+    """A value as JSON can hold it: no NaN or infinity, dates as ISO text, blanks as null."""
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if kind == "date":
+        return F.date_format(value, "yyyy-MM-dd")
+    if kind.startswith("timestamp"):
+        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    if kind == "string":
+        return F.when(~is_blank(value), value)
+    return value
+
+
+def fact_number(value: Column) -> Column:
+    """A number as a fact sheet shows it: whole with separators of thousands, else two decimals; a dash for none."""
+    whole = value == F.floor(value)
+    return F.coalesce(F.when(whole, F.format_number(value, 0)).otherwise(F.format_number(value, 2)), F.lit("–"))
+
+
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 

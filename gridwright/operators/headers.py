@@ -39,10 +39,11 @@ def header_blocks(kinds: DataFrame, heads: DataFrame) -> DataFrame:
 
 def header_names(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """(region, col, name): layers joined by /, group labels spread to the right, banners left out, names made unique."""
-    heads = cells.join(blocks, "region").where(F.col("row").between(F.col("header_row"), F.col("last_row")))
-    columns = cells.join(blocks, "region").where(F.col("row") >= F.col("header_row")).select("region", "col").distinct()
-    # a region's columns by its header rows, three at most
-    layers = blocks.select("region", "last_row", F.explode(F.sequence("header_row", "last_row")).alias("row"))
+    # a region's columns by its header rows, a few; `rows` names them where they aren't one after another
+    rows = F.col("rows") if "rows" in blocks.columns else F.sequence("header_row", "last_row")
+    layers = blocks.select("region", "last_row", F.explode(rows).alias("row"))
+    heads = cells.join(layers.select("region", "row"), ["region", "row"])
+    columns = cells.join(blocks.select("region", "header_row"), "region").where(F.col("row") >= F.col("header_row")).select("region", "col").distinct()
     grid = columns.join(layers, "region").join(heads.select("region", "row", "col", F.trim("raw").alias("own")), ["region", "row", "col"], "left")
     right = W.partitionBy("region", "row").orderBy("col").rowsBetween(W.unboundedPreceding, W.currentRow)
     spread = grid.withColumn("label", F.when(F.col("row") < F.col("last_row"), F.last("own", ignorenulls=True).over(right)).otherwise(F.col("own")))

@@ -86,18 +86,28 @@ def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
     Which row is used up decides what the next can match, so a month is walked in order; months
     are independent tasks.
     """
+    import numpy as np
     import pandas as pd
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Free rows are found by their amounts, sorted once for either currency; of those near enough the first in order is used up."""
         order = ["d", "j", "seq"]
-        free = list(right.sort_values(order)[["outU", "outC"]].fillna(0.0).itertuples(index=False, name=None))
+        free = right.sort_values(order)[["outU", "outC"]].fillna(0.0).to_numpy(float)
+        is_free = np.ones(len(free), bool)
+        sorted_ = [(np.argsort(free[:, k], kind="stable"), np.sort(free[:, k])) for k in (0, 1)]
         lost = []
         for row in left[left.outU.fillna(0) > 0].sort_values(order).itertuples(index=False):
-            hit = next((i for i, (u, c) in enumerate(free) if abs(u - row.outU) < V.MATCH_USD or abs(c - row.outU * rate) < V.MATCH_CDF), None)
-            if hit is None:
+            hit = len(free)
+            for k, x, most in ((0, row.outU, V.MATCH_USD), (1, row.outU * rate, V.MATCH_CDF)):
+                places, amounts = sorted_[k]
+                near = places[np.searchsorted(amounts, x - most) : np.searchsorted(amounts, x + most, side="right")]
+                near = near[is_free[near]]
+                near = near[abs(free[near, k] - x) < most]
+                hit = min(hit, int(near.min(initial=hit)))
+            if hit == len(free):
                 lost.append((row.month, row.j, row.seq, row.outU))
             else:
-                free.pop(hit)
+                is_free[hit] = False
         return pd.DataFrame(lost, columns=["month", "j", "seq", "out_usd"])
 
     keyed = lambda df: df.select(F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("d"), "j", "seq", "outC", "outU").groupBy("month")

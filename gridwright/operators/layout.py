@@ -1,4 +1,4 @@
-"""Sheets as cells (sheet, row, col, raw): layout, headers, and extraction of tables.
+"""Sheets as cells (sheet, row, col, raw): tables as sheets, shapes, inventories and traces. `orient` finds tables on sheets.
 
 Cells that are blank don't exist. Rows and columns keep their place in the sheet throughout, so
 any value can be traced to where it stands.
@@ -11,16 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
-from gridwright.functions.cells import bare_month, cell_kind, coerce_date, coerce_number, is_blank, year_value
+from gridwright.functions.cells import is_blank, typed
+from gridwright.sources.scratch import written
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """`df` with `rec`, from 0, in order: ranges are numbered by themselves and start where those before them end."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    """`df` with `rec`, from 0, in order: ranges are numbered by themselves and start where those before them end.
+
+    The ranges are written once, so that their sizes and their rows are those of one run.
+    """
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftrightunsigned("__id", 33)
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     # a row for each partition
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return ranged.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("rec", F.col("start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))).drop("__id", "__part", "start")
 
 
@@ -34,7 +38,7 @@ def encode(df: DataFrame, sheet: str, order: list[str], top: int = 0, left: int
 
 
 def with_kinds(cells: DataFrame) -> DataFrame:
-    return cells.where(~is_blank(F.col("raw"))).withColumn("kind", cell_kind(F.col("raw")))
+    return typed(cells).where("kind <> 'blank'").drop("num")
 
 
 def bounding_boxes(cells: DataFrame) -> DataFrame:
@@ -58,102 +62,13 @@ def inventory(cells: DataFrame) -> DataFrame:
 
 
 def islands(cells: DataFrame, along: str = "col", least: int = 2) -> DataFrame:
-    """(sheet, island, first, last): runs of columns (or rows) that aren't blank, as wide as `least`."""
+    """(sheet, island, first, last): runs of columns (or rows) that aren't blank, as wide as `least`. The window has a row for each column (or row) of a sheet."""
     places = cells.select("sheet", F.col(along).cast("long").alias("p")).distinct()
     grouped = places.withColumn("g", F.col("p") - F.row_number().over(W.partitionBy("sheet").orderBy("p")))
     runs = grouped.groupBy("sheet", "g").agg(F.min("p").alias("first"), F.max("p").alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
     return runs.select("sheet", F.row_number().over(W.partitionBy("sheet").orderBy("first")).alias("island"), "first", "last")
 
 
-def with_panels(cells: DataFrame, least: int = 2) -> DataFrame:
-    """Cells whose sheet has several panels side by side get a region of each; others one region."""
-    found = islands(cells, "col", least)
-    several = found.withColumn("n", F.max("island").over(W.partitionBy("sheet"))).where("n >= 2").select(F.col("sheet").alias("s"), "island", "first", "last")
-    joined = cells.join(several, (F.col("sheet") == F.col("s")) & F.col("col").between(F.col("first"), F.col("last")), "left")
-    return joined.withColumn("region", F.concat_ws("#", "sheet", F.coalesce("island", F.lit(1)))).drop("s", "island", "first", "last")
-
-
-def axis(kinds: DataFrame, scan: int = V.SCAN_ROWS) -> DataFrame:
-    """(region, axis, row): the row of dates, or else of growing years, or else of bare months, that heads a cross-tab."""
-    tops = kinds.groupBy("region").agg(F.min("row").alias("r0"))
-    near = kinds.join(tops, "region").where(F.col("row") < F.col("r0") + scan)
-    valued = near.withColumn("year", year_value(F.col("raw"))).withColumn("month", bare_month(F.col("raw")))
-    w = W.partitionBy("region", "row").orderBy("col")
-    grows = valued.where("year is not null").withColumn("before", F.lag("year").over(w)).groupBy("region", "row").agg(F.min(F.coalesce(F.col("year") > F.col("before"), F.lit(True))).alias("grows"))
-    rows = valued.groupBy("region", "row").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "date").alias("date"), F.count("year").alias("year"), F.count("month").alias("month"), F.min("col").alias("c0"))
-    joined = rows.join(grows, ["region", "row"], "left")
-    options = F.array(
-        F.struct(F.lit(1).alias("rank"), F.lit("date").alias("axis"), ((F.col("date") >= V.DATE_RUN) & (F.col("date") >= V.AXIS_SHARE * F.col("filled"))).alias("fits"), F.col("date").alias("n")),
-        F.struct(F.lit(2).alias("rank"), F.lit("year").alias("axis"), ((F.col("year") >= V.DATE_RUN) & (F.col("year") >= V.AXIS_SHARE * F.col("filled")) & F.coalesce("grows", F.lit(False))).alias("fits"), F.col("year").alias("n")),
-        F.struct(F.lit(3).alias("rank"), F.lit("month").alias("axis"), (F.col("month") >= V.DATE_RUN).alias("fits"), F.col("month").alias("n")),
-    )
-    fits = joined.select("region", "row", F.explode(options).alias("o")).where("o.fits")
-    return fits.groupBy("region").agg(F.min_by(F.struct("o.axis", "row"), F.struct("o.rank", -F.col("o.n"), "row")).alias("a")).select("region", "a.axis", "a.row")
-
-
-def form_score(kinds: DataFrame) -> DataFrame:
-    """The share of a region's rows with two cells at most."""
-    rows = kinds.groupBy("region", "row").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("region").agg(F.round(F.avg((F.col("n") <= 2).cast("double")), 4).alias("form_score"))
-
-
-def classify(cells: DataFrame) -> DataFrame:
-    """(region, orientation, axis, header_row): matrix, form, tidy or unknown, in this order."""
-    kinds = with_kinds(cells)
-    axes = axis(kinds)
-    head = axes.withColumnRenamed("row", "head")
-    period = kinds.join(head, "region").where(F.col("row") == F.col("head")).where(
-        ((F.col("axis") == "date") & (F.col("kind") == "date")) | ((F.col("axis") == "year") & year_value(F.col("raw")).isNotNull()) | ((F.col("axis") == "month") & bare_month(F.col("raw")).isNotNull())
-    ).select("region", "head", "col")
-    body = kinds.join(head.select("region", "head"), "region").where(F.col("row") > F.col("head"))
-    inner = body.join(period.drop("head"), ["region", "col"]).groupBy("region").agg(F.avg((F.col("kind") == "number").cast("double")).alias("interior"))
-    labels = body.join(period.groupBy("region").agg(F.min("col").alias("first")), "region").where(F.col("col") < F.col("first")).groupBy("region", "col").agg(F.avg((F.col("kind") == "text").cast("double")).alias("t")).where("t >= 0.5").groupBy("region").agg(F.count(F.lit(1)).alias("n_labels"))
-    tidy = header_rows(kinds.drop("sheet").withColumnRenamed("region", "sheet")).withColumnRenamed("sheet", "region")
-    last = kinds.groupBy("region").agg(F.max("row").alias("r1"))
-    facts = last.join(axes.select("region", "axis", F.col("row").alias("axis_row")), "region", "left").join(inner, "region", "left").join(labels, "region", "left").join(form_score(kinds), "region", "left").join(tidy, "region", "left")
-    matrix = F.coalesce((F.col("interior") >= V.INTERIOR_SHARE) & (F.col("n_labels") >= 1), F.lit(False))
-    has_rows = F.coalesce(F.col("header_row") < F.col("r1"), F.lit(False))
-    orientation = F.when(matrix, "matrix").when(F.col("form_score") >= 0.6, "form").when(has_rows, "tidy").otherwise("unknown")
-    typed = facts.withColumn("orientation", orientation)
-    return typed.select("region", "orientation", F.when(F.col("orientation") == "matrix", F.col("axis")).alias("axis"), F.when(F.col("orientation") == "matrix", F.col("axis_row")).when(F.col("orientation") == "tidy", F.col("header_row")).alias("header_row"))
-
-
-def tidy_facts(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, rec, ord, name, raw, num, iso) of tidy regions; names are made unique."""
-    heads = regions.where("orientation = 'tidy'").select("region", "header_row")
-    placed = cells.join(heads, "region")
-    base = placed.where("row = header_row").select("region", "col", F.trim("raw").alias("base"))
-    k = F.row_number().over(W.partitionBy("region", "base").orderBy("col"))
-    names = base.withColumn("k", k).select("region", "col", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws(".", "base", F.col("k") - 1)).alias("name"))
-    body = placed.where("row > header_row").join(names, ["region", "col"], "left")
-    return body.select("region", (F.col("row") - F.col("header_row") - 1).alias("rec"), F.col("col").alias("ord"), F.coalesce("name", F.concat(F.lit("col_"), F.col("col") + 1)).alias("name"), "raw", coerce_number(F.col("raw")).alias("num"), coerce_date(F.col("raw")).cast("string").alias("iso"))
-
-
-def with_bands(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cells of unknown regions cut into bands of rows, two rows at least; the others as they are."""
-    unknown = regions.where("orientation = 'unknown'").select("region")
-    cut = cells.join(unknown, "region", "left_semi")
-    bands = islands(cut.drop("sheet").withColumnRenamed("region", "sheet"), "row").withColumn("n", F.max("island").over(W.partitionBy("sheet"))).where("n >= 2").select(F.col("sheet").alias("r"), "island", "first", "last")
-    joined = cells.join(bands, (F.col("region") == F.col("r")) & F.col("row").between(F.col("first"), F.col("last")), "left")
-    return joined.withColumn("region", F.when(F.col("island").isNotNull(), F.concat_ws("/", "region", "island")).otherwise(F.col("region"))).drop("r", "island", "first", "last")
-
-
-def matrix_facts(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, label, period, value, n_cells) of cross-tabs: labels are joined by /, repeated cells are summed."""
-    heads = regions.where("orientation = 'matrix'").select("region", "axis", "header_row")
-    placed = cells.join(heads, "region")
-    head = F.col("row") == F.col("header_row")
-    iso = coerce_date(F.col("raw")).cast("string")
-    period = F.when(F.col("axis") == "date", iso).when(F.col("axis") == "year", year_value(F.col("raw")).cast("string")).otherwise(F.lpad(bare_month(F.col("raw")).cast("string"), 2, "0"))
-    periods = placed.where(head).withColumn("period", period).where("period is not null").select("region", "col", "period")
-    first = periods.groupBy("region").agg(F.min("col").alias("first"))
-    body = placed.where(F.col("row") > F.col("header_row"))
-    label = body.join(first, "region").where("col < first").groupBy("region", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.trim("raw").alias("t")))), lambda x: x["t"]), " / ").alias("label"))
-    values = body.join(periods, ["region", "col"]).withColumn("num", coerce_number(F.col("raw"))).where("num is not null").join(label, ["region", "row"], "left")
-    named = values.withColumn("label", F.coalesce("label", F.concat(F.lit("series "), F.col("row"))))
-    return named.groupBy("region", "label", "period").agg(F.sum(F.col("num").cast("decimal(18,2)")).cast("double").alias("value"), F.count(F.lit(1)).alias("n_cells"))
-
-
 def filled_down(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """`value` as the last that stood above it, and whether it is a ghost: not there itself."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -169,6 +84,6 @@ def trace(cells: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def excerpt(cells: DataFrame, row: int, col: int) -> DataFrame:
-    """The neighbourhood of a cell: two rows and one column around it, and the first column."""
+    """The neighbourhood of a cell: two rows and one column around it, and the first column; so never more than five rows of four cells."""
     near: Column = F.col("row").between(row - 2, row + 2) & (F.col("col").between(col - 1, col + 1) | (F.col("col") == 0))
     return cells.where(near)

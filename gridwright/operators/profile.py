@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
-from gridwright.functions.cells import FOLD, cell_kind, coerce_date, coerce_number, stripped
+from gridwright.functions.cells import FOLD, coerce_date, coerce_number, stripped, typed
 
 
 def long_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,12 +27,14 @@ def exact_sum(c: Column, scale: int = 2) -> Column:
 
 def column_profile(cells: DataFrame) -> DataFrame:
     """Kinds, fill, type and number statistics of each column, from (name, raw)."""
-    typed = cells.withColumn("kind", cell_kind(F.col("raw"))).withColumn("num", F.when(F.col("kind") == "number", coerce_number(F.col("raw"))))
-    counted = typed.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("blank", "number", "date", "text")],
-        F.min("num").alias("min_value"), F.max("num").alias("max_value"), exact_sum(F.col("num")).alias("sum_value"),
-        F.count_if(F.col("num") == 0).alias("n_zero"), F.count_if(F.col("num") < 0).alias("n_negative"),
+    # each different value is typed once, however many rows have it
+    different = typed(cells.groupBy("name", "raw").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counted = different.groupBy("name").agg(
+        F.sum("n").alias("n_rows"),
+        *[of(F.col("kind") == k).alias(f"n_{k}") for k in ("blank", "number", "date", "text")],
+        F.min("num").alias("min_value"), F.max("num").alias("max_value"), F.sum(F.col("num").cast("decimal(18,2)") * F.col("n")).cast("double").alias("sum_value"),
+        of(F.col("num") == 0).alias("n_zero"), of(F.col("num") < 0).alias("n_negative"),
     )
     filled = F.col("n_rows") - F.col("n_blank")
     share = lambda k: F.col(f"n_{k}") >= V.DOMINANT * filled
@@ -118,6 +120,16 @@ def top_drivers(pairs: DataFrame, target: str, most: int = 5) -> DataFrame:
     return mine.orderBy(F.desc(F.abs("r")), "driver").limit(most)
 
 
+def numeric_columns(cells: DataFrame, most: int = 15) -> DataFrame:
+    """(ord, name, n_parsed) of the columns that count as numeric, the first `most`: three values and a twentieth of all rows at least can be read.
+
+    `cells`: ord, name, raw.
+    """
+    counted = cells.groupBy("ord", "name").agg(F.count(coerce_number(F.col("raw"))).alias("n_parsed"), F.count(F.lit(1)).alias("n_rows"))
+    fits = counted.where(F.col("n_parsed") >= F.greatest(F.lit(3.0), 0.05 * F.col("n_rows")))
+    return fits.orderBy("ord").limit(most).select("ord", "name", "n_parsed")
+
+
 def target_column(names: DataFrame) -> DataFrame:
     """Of (ord, name), the first name of a target, else the last."""
     hit = F.col("name").rlike(FOLD + V.TARGET_NAME)

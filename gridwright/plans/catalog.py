@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
-from gridwright.operators import audit, journal, layout, profile, series, story
+from gridwright.operators import audit, journal, layout, orient, profile, series, story
 from gridwright.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,12 +97,13 @@ def a1_references(spark, sf_dir):
 
 # Profiles
 
-LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def _line_cells(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
-    shaped = [F.col(c).cast("decimal(18,2)").cast("string").alias(c) for c in LINE[:4]] + ["l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")]
+    shaped = [F.col(c).cast("decimal(18,2)").cast("string").alias(c) for c in LINE_NUMBERS] + ["l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")]
     return profile.long_text(lines.select(*shaped), LINE)
 
 
@@ -116,21 +117,29 @@ def _other_profile(c: str, kind: str) -> str:
     return f"SELECT '{c}' AS name, count(*) AS n_rows, 0::BIGINT AS n_blank, {counts}, NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS sum_value, 0::BIGINT AS n_zero, 0::BIGINT AS n_negative, 1.0::DOUBLE AS fill, NULL::DOUBLE AS mean_value, '{kind}' AS dtype FROM lineitem"
 
 
-@query(" UNION ALL ".join([*map(_numeric_profile, LINE[:4]), _other_profile("l_returnflag", "text"), _other_profile("l_shipdate", "date")]))
+PROFILE_SQL = " UNION ALL ".join([*map(_numeric_profile, LINE_NUMBERS), _other_profile("l_returnflag", "text"), _other_profile("l_linestatus", "text"), _other_profile("l_shipdate", "date")])
+
+
+@query(PROFILE_SQL)
 def column_profile(spark, sf_dir):
     return profile.column_profile(_line_cells(spark, sf_dir))
 
 
-@query("SELECT 6::BIGINT AS n_columns, 1.0::DOUBLE AS cell_fill, 4::BIGINT AS number_columns, 1::BIGINT AS date_columns, 1::BIGINT AS text_columns, 0::BIGINT AS mixed_columns, 0::BIGINT AS empty_columns")
+@query(f"""SELECT count(*) AS n_columns, round((sum(n_rows) - sum(n_blank))::DOUBLE / sum(n_rows), 4) AS cell_fill, count(*) FILTER (dtype = 'number') AS number_columns, count(*) FILTER (dtype = 'date') AS date_columns,
+count(*) FILTER (dtype = 'text') AS text_columns, count(*) FILTER (dtype = 'mixed') AS mixed_columns, count(*) FILTER (dtype = 'empty') AS empty_columns FROM ({PROFILE_SQL})""")
 def table_summary(spark, sf_dir):
     return profile.table_summary(profile.column_profile(_line_cells(spark, sf_dir)))
 
 
-@query("""WITH v AS (SELECT 'p_type' AS name, p_type AS raw FROM part UNION ALL SELECT 'p_brand', p_brand FROM part),
+PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@query(f"""WITH v AS (SELECT unnest([{", ".join(f"{{'name': '{c}', 'raw': {c}::{'DECIMAL(18,2)::VARCHAR' if c == 'p_retailprice' else 'VARCHAR'}}}" for c in PART)}], recursive := true) FROM part),
 c AS (SELECT name, raw, count(*) AS n FROM v GROUP BY ALL)
 SELECT name, raw, n, row_number() OVER (PARTITION BY name ORDER BY n DESC, raw)::INT AS rank FROM c QUALIFY rank <= 5""")
 def top_values(spark, sf_dir):
-    return profile.top_values(profile.long_text(read(spark, sf_dir, "part"), ["p_type", "p_brand"]))
+    part = read(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
+    return profile.top_values(profile.long_text(part, PART))
 
 
 @query("""WITH v AS (SELECT unnest([{'name': 'l_orderkey', 'raw': l_orderkey::VARCHAR}, {'name': 'l_linenumber', 'raw': l_linenumber::VARCHAR}, {'name': 'l_returnflag', 'raw': l_returnflag}], recursive := true) FROM lineitem),
@@ -159,10 +168,13 @@ def duplicate_rows(spark, sf_dir):
     return profile.duplicate_rows(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT 'one' AS name, 1::BIGINT AS n_distinct UNION ALL SELECT 'none', 0")
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(f"SELECT name, n_distinct FROM (SELECT '{n}' AS name, count(DISTINCT {e}) AS n_distinct FROM customer) WHERE n_distinct <= 1" for n, e in [*((c, c) for c in CUSTOMER), ("one", "'x'"), ("none", "NULL"), ("one_in_many", "CASE WHEN c_custkey = 1 THEN 'y' END")]))
 def constant_columns(spark, sf_dir):
-    flagged = read(spark, sf_dir, "customer").withColumns({"one": F.lit("x"), "none": F.lit(None).cast("string")})
-    return profile.constant_columns(profile.long_text(flagged, ["c_mktsegment", "one", "none"]))
+    flagged = read(spark, sf_dir, "customer").withColumns({"one": F.lit("x"), "none": F.lit(None).cast("string"), "one_in_many": F.when(F.col("c_custkey") == 1, "y")})
+    return profile.constant_columns(profile.long_text(flagged, [*CUSTOMER, "one", "none", "one_in_many"]))
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -229,40 +241,47 @@ def insights_ranked(spark, sf_dir):
     return profile.insights(missing, twice, shapes, top_drivers(spark, sf_dir), split)
 
 
-# Audit. The tables hold no relation of their own, so lines get a unit price, and one amount in a hundred is planted tenfold.
+# Audit. The tables hold no relation of their own, so every line gets a unit price and a duty; one amount in a hundred is planted tenfold, one duty in ninety twice as high.
 
-AUDITED = ["qty", "unit", "amount", "l_tax"]
+AUDITED = ["qty", "unit", "amount", "rate", "duty", "one"]
 
 
 def _audited(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 0").groupBy("l_orderkey").agg(F.max(F.struct("l_quantity", "l_extendedprice", "l_tax")).alias("x")).select("l_orderkey", "x.*")
-    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
-    amount = F.round(F.col("l_quantity") * unit, 2) * F.when(F.col("l_orderkey") % 100 == 7, 10).otherwise(1)
-    return lines.select("l_orderkey", F.col("l_quantity").alias("qty"), unit.alias("unit"), F.round(amount, 2).alias("amount"), "l_tax")
-
-
-AUDITED_SQL = """SELECT l_orderkey, x.l_quantity AS qty, round(x.l_extendedprice / x.l_quantity, 2) AS unit,
-round(round(x.l_quantity * round(x.l_extendedprice / x.l_quantity, 2), 2) * CASE WHEN l_orderkey % 100 = 7 THEN 10 ELSE 1 END, 2) AS amount, x.l_tax AS l_tax
-FROM (SELECT l_orderkey, max({'l_quantity': l_quantity, 'l_extendedprice': l_extendedprice, 'l_tax': l_tax}) AS x FROM lineitem WHERE l_quantity > 0 GROUP BY l_orderkey)"""
-
-
-@query(f"""SELECT l_orderkey AS row_key, 'amount' AS target, 'qty' AS a, 'unit' AS b, round(qty * unit, 2) AS expected, amount AS actual, round(amount - qty * unit, 2) AS delta
-FROM ({AUDITED_SQL}) WHERE abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount))""")
+    """Every line with a quantity, under a key of its own."""
+    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # in whole cents, so that no rounding depends on binary fractions
+    cents = lines.select(key.alias("row_key"), "l_orderkey", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("p"), F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    priced = cents.withColumn("u", F.expr("(2 * p + q) div (2 * q)")).withColumn("m", F.expr("q * u * CASE WHEN l_orderkey % 100 = 7 THEN 10 ELSE 1 END"))
+    duty = F.expr("(2 * m * (d + 5) + 100) div 200 * CASE WHEN l_orderkey % 90 = 11 THEN 2 ELSE 1 END")
+    money = lambda c, name: (c / 100.0).cast("double").alias(name)
+    return priced.select("row_key", "l_orderkey", F.col("q").cast("double").alias("qty"), money(F.col("u"), "unit"), money(F.col("m"), "amount"), money(F.col("d") + 5, "rate"), money(duty, "duty"), F.lit(1.0).alias("one"))
+
+
+AUDITED_SQL = """SELECT row_key, l_orderkey, q::DOUBLE AS qty, u / 100.0::DOUBLE AS unit, m / 100.0::DOUBLE AS amount, (d + 5) / 100.0::DOUBLE AS rate, ((2 * m * (d + 5) + 100) // 200 * CASE WHEN l_orderkey % 90 = 11 THEN 2 ELSE 1 END) / 100.0::DOUBLE AS duty FROM (
+SELECT *, q * u * CASE WHEN l_orderkey % 100 = 7 THEN 10 ELSE 1 END AS m FROM (SELECT *, (2 * p + q) // (2 * q) AS u FROM (
+SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS row_key, l_orderkey, l_quantity::BIGINT AS q, round(l_extendedprice * 100)::BIGINT AS p, round(l_discount * 100)::BIGINT AS d
+FROM lineitem WHERE l_quantity > 0)))"""
+BROKEN_SQL = f"""SELECT row_key, 'amount' AS target, 'qty' AS a, 'unit' AS b, qty * unit AS expected, amount AS actual, amount - qty * unit AS delta FROM ({AUDITED_SQL}) WHERE abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount))
+UNION ALL SELECT row_key, 'duty', 'amount', 'rate', amount * rate, duty, duty - amount * rate FROM ({AUDITED_SQL}) WHERE abs(amount * rate - duty) > greatest(0.01, 0.01 * abs(duty))"""
+
+
+@query(f"SELECT row_key, target, a, b, round(expected, 4) AS expected, actual, round(delta, 4) AS delta FROM ({BROKEN_SQL})")
 def product_audit(spark, sf_dir):
     rows = _audited(spark, sf_dir)
-    bad = audit.product_mismatches(rows, "l_orderkey", AUDITED, audit.products(rows, AUDITED).where("target = 'amount'"))
-    return bad.withColumns({"expected": F.round("expected", 2), "delta": F.round("delta", 2)})
+    bad = audit.product_mismatches(rows, "row_key", AUDITED, audit.products(rows, AUDITED))
+    return bad.withColumns({"expected": F.round("expected", 4), "delta": F.round("delta", 4)})
 
 
-@query(f"""WITH t AS ({AUDITED_SQL}), bad AS (SELECT l_orderkey, amount - qty * unit AS delta FROM t WHERE abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount))),
-listed AS (SELECT l_orderkey FROM bad ORDER BY abs(delta) DESC, l_orderkey LIMIT 10)
-SELECT 'amount=qty*unit' AS relation, (SELECT count(*) FROM t) AS n_checked, (SELECT count(*) FROM t) - (SELECT count(*) FROM bad) AS n_matched, (SELECT count(*) FROM bad) AS n_mismatched,
-(SELECT round(sum(abs(delta)::DECIMAL(18,4))::DOUBLE, 2) FROM bad) AS delta_total, (SELECT string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) FROM listed) AS listed, 'mismatch' AS status, 'high' AS confidence""")
+@query(f"""WITH n AS (SELECT count(*) AS n FROM ({AUDITED_SQL})), bad AS (SELECT target || '=' || a || '*' || b AS relation, row_key, delta FROM ({BROKEN_SQL})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY abs(round(delta, 4)) DESC, row_key) AS k FROM bad)
+SELECT relation, n AS n_checked, n - count(*) AS n_matched, count(*) AS n_mismatched, round(sum(abs(delta::DECIMAL(18,4)))::DOUBLE, 2) AS delta_total, string_agg(row_key, ',' ORDER BY row_key) FILTER (k <= 10) AS listed, 'mismatch' AS status, 'high' AS confidence
+FROM ranked, n GROUP BY relation, n""")
 def product_findings(spark, sf_dir):
     rows = _audited(spark, sf_dir)
-    found = audit.products(rows, AUDITED).where("target = 'amount'")
+    found = audit.products(rows, AUDITED)
     named = F.concat(F.col("target"), F.lit("="), F.col("a"), F.lit("*"), F.col("b"))
-    bad = audit.product_mismatches(rows, "l_orderkey", AUDITED, found).withColumn("relation", named)
+    bad = audit.product_mismatches(rows, "row_key", AUDITED, found).withColumn("relation", named).withColumn("delta", F.round("delta", 4))
     out = audit.findings(bad, found.select(named.alias("relation"), "n_checked", "n_matched"))
     return out.withColumn("listed", F.array_join("listed", ","))
 
@@ -292,37 +311,51 @@ def row_sum_relations(spark, sf_dir):
 
 
 def _totalled(spark, sf_dir):
-    """Balances by nation with a row for each region's total and one for all."""
+    """Balances by nation with a row for each region's total, of which one is planted twice as high, and one for all."""
     base = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cube = base.rollup("n_regionkey", "n_name").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"), F.count(F.lit(1)).cast("double").alias("customers"))
     order = [F.col("n_regionkey").asc_nulls_last(), F.col("n_name").asc_nulls_last()]
     from pyspark.sql import Window as W
 
-    ranked = cube.withColumn("rec", F.row_number().over(W.orderBy(*order)))
+    wrong = F.when((F.col("n_regionkey") == 2) & F.col("n_name").isNull(), 2).otherwise(1)
+    ranked = cube.withColumn("rec", F.row_number().over(W.orderBy(*order))).withColumn("balance", F.col("balance") * wrong)
     label = F.when(F.col("n_regionkey").isNull(), "Grand total").when(F.col("n_name").isNull(), "Total region").otherwise(F.col("n_name"))
     return ranked.select("rec", label.alias("label"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("num")) for c in ("balance", "customers")])).alias("x")).select(F.lit("r").alias("region"), "rec", "label", "x.*")
 
 
-@query()
+#: The sheet that `_totalled` makes, and what its rows of totals should hold: a region's own sum, or that of all nations.
+TOTALLED_SQL = """WITH n AS (SELECT n_regionkey AS r, n_name AS nation, sum(c_acctbal::DECIMAL(18,2)) AS balance, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+sums AS (SELECT r, 'section' AS base, sum(balance)::DOUBLE AS balance, sum(customers)::DOUBLE AS customers, count(*) AS n FROM n GROUP BY r UNION ALL SELECT NULL, 'grand', sum(balance)::DOUBLE, sum(customers)::DOUBLE, count(*) FROM n),
+placed AS (SELECT *, (sum(n + 1) FILTER (r IS NOT NULL) OVER (ORDER BY r NULLS LAST ROWS UNBOUNDED PRECEDING) + CASE WHEN r IS NULL THEN 1 ELSE 0 END)::BIGINT AS rec FROM sums),
+t AS (SELECT rec, base, unnest([{'column': 'balance', 'expected': balance, 'actual': CASE WHEN r = 2 THEN 2 * balance ELSE balance END}, {'column': 'customers', 'expected': customers, 'actual': customers}], recursive := true) FROM placed)"""
+
+
+@query(f"""{TOTALLED_SQL} SELECT 'r' AS region, rec, base, "column", round(expected, 2) AS expected, round(actual, 2) AS actual FROM t""")
 def totals_rows(spark, sf_dir):
     return audit.totals_rows(_totalled(spark, sf_dir)).withColumns({"expected": F.round("expected", 2), "actual": F.round("actual", 2)})
 
 
-@query()
+@query(f"""{TOTALLED_SQL} SELECT 'r' AS region, rec, count(*) AS n_checked, count(*) FILTER (hit) AS n_matched, CASE WHEN bool_and(hit) THEN 'ok' ELSE 'mismatch' END AS status, round(sum(CASE WHEN hit THEN 0 ELSE abs(actual - expected) END), 2) AS delta_total
+FROM (SELECT *, abs(expected - actual) <= greatest(0.01, 0.01 * abs(actual)) AS hit FROM t) GROUP BY rec""")
 def column_sum_check(spark, sf_dir):
     return audit.column_sum_check(audit.totals_rows(_totalled(spark, sf_dir)))
 
 
 @query(f"""WITH t AS ({AUDITED_SQL}), b AS (
-  SELECT 'product' AS relation, 'amount' AS col, l_orderkey AS row_key FROM t WHERE abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount))
-  UNION ALL SELECT 'copy', 'unit', l_orderkey FROM t WHERE l_orderkey % 200 = 7)
-SELECT relation, col AS "column", row_key, count(*) OVER (PARTITION BY row_key) AS n_breaking, count(*) OVER (PARTITION BY row_key) < 2 AND NOT (relation = 'product' AND row_key % 300 = 7) AS suggest FROM b""")
+  SELECT target || '=' || a || '*' || b AS relation, target AS col, row_key FROM ({BROKEN_SQL})
+  UNION ALL SELECT 'copy', 'unit', row_key FROM t WHERE qty > 48),
+ok AS (SELECT row_key FROM t WHERE abs(amount * rate - duty) <= greatest(0.01, 0.01 * abs(duty)))
+SELECT relation, col AS "column", row_key, n_breaking, n_breaking < 2 AND NOT (relation = 'amount=qty*unit' AND row_key IN (SELECT row_key FROM ok)) AS suggest
+FROM (SELECT *, count(*) OVER (PARTITION BY row_key) AS n_breaking FROM b)""")
 def cross_examine(spark, sf_dir):
+    """Rows that break a product, or were copied wrongly; an amount that the duty agrees with is not suggested."""
     rows = _audited(spark, sf_dir)
-    product = product_audit(spark, sf_dir).select(F.lit("product").alias("relation"), F.col("target").alias("column"), "row_key")
-    copied = rows.where("l_orderkey % 200 = 7").select(F.lit("copy").alias("relation"), F.lit("unit").alias("column"), F.col("l_orderkey").alias("row_key"))
-    confirmed = rows.where("l_orderkey % 300 = 7").select(F.lit("other").alias("relation"), F.lit("amount").alias("column"), F.col("l_orderkey").alias("row_key"))
-    return audit.cross_examine(product.unionByName(copied), confirmed)
+    found = audit.products(rows, AUDITED)
+    named = F.concat(F.col("target"), F.lit("="), F.col("a"), F.lit("*"), F.col("b")).alias("relation")
+    broken = audit.product_mismatches(rows, "row_key", AUDITED, found).select(named, F.col("target").alias("column"), "row_key")
+    copied = rows.where("qty > 48").select(F.lit("copy").alias("relation"), F.lit("unit").alias("column"), "row_key")
+    agreed = rows.where(C.close(F.col("amount") * F.col("rate"), F.col("duty"))).select(F.lit("duty=amount*rate").alias("relation"), F.lit("amount").alias("column"), "row_key")
+    return audit.cross_examine(broken.unionByName(copied), agreed)
 
 
 @query("""WITH f AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY ALL),
@@ -333,14 +366,14 @@ def finding_ids(spark, sf_dir):
     return audit.finding_ids(found.withColumn("none", F.lit("")), ["a", "none"]).drop("none")
 
 
-@query(f"""WITH f AS (SELECT l_orderkey::VARCHAR AS finding_id, CASE WHEN abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount)) THEN 'mismatch' ELSE 'ok' END AS status, l_orderkey % 3 = 0 AS decided FROM ({AUDITED_SQL}))
-SELECT count(*) AS n_total, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok' AND NOT decided) AS n_open, count(*) FILTER (status <> 'ok' AND NOT decided)::DOUBLE AS at_stake, max(finding_id) FILTER (decided) AS last_decided FROM f""")
+@query(f"""WITH f AS (SELECT row_key AS finding_id, CASE WHEN abs(qty * unit - amount) > greatest(0.01, 0.01 * abs(amount)) THEN 'mismatch' ELSE 'ok' END AS status, l_orderkey % 3 = 0 AS decided, abs(round(amount - qty * unit, 2)::DECIMAL(18,2)) AS delta FROM ({AUDITED_SQL}))
+SELECT count(*) AS n_total, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok' AND NOT decided) AS n_open, coalesce(sum(delta) FILTER (status <> 'ok' AND NOT decided), 0)::DOUBLE AS at_stake, max(finding_id) FILTER (decided) AS last_decided FROM f""")
 def findings_rollup(spark, sf_dir):
     rows = _audited(spark, sf_dir)
-    bad = ~C.close(F.col("qty") * F.col("unit"), F.col("amount"))
-    found = rows.select(F.col("l_orderkey").cast("string").alias("finding_id"), F.when(bad, "mismatch").otherwise("ok").alias("status"), F.lit(1.0).alias("delta_total"))
-    decisions = rows.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").cast("string").alias("finding_id"), F.lit("accepted").alias("decision"), F.col("l_orderkey").cast("string").alias("decided_at"))
-    return audit.rollup(found, decisions)
+    expected = F.col("qty") * F.col("unit")
+    found = rows.select(F.col("row_key").alias("finding_id"), F.when(C.close(expected, F.col("amount")), "ok").otherwise("mismatch").alias("status"), F.abs(F.round(F.col("amount") - expected, 2).cast("decimal(18,2)")).alias("delta_total"))
+    decisions = rows.where("l_orderkey % 3 = 0").select(F.col("row_key").alias("finding_id"), F.lit("accepted").alias("decision"), F.col("row_key").alias("decided_at")).distinct()
+    return audit.rollup(found, decisions).withColumn("at_stake", F.col("at_stake").cast("double"))
 
 
 # Stories
@@ -465,23 +498,32 @@ def role_tags(spark, sf_dir):
     return series.tag_roles(spark.createDataFrame([("c", *x) for x in labels], "chart string, label string, total double")).select("chart", "label", "role")
 
 
-@query("""WITH s AS (SELECT DISTINCT year(o_orderdate)::INT AS period FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998),
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS period FROM orders), s AS (SELECT period FROM y WHERE period > (SELECT min(period) FROM y) AND period < (SELECT max(period) FROM y)),
 f AS (SELECT year(l_shipdate)::INT AS period, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS v FROM lineitem GROUP BY 1)
 SELECT period, CASE WHEN period = 1997 THEN NULL ELSE v END AS aligned FROM s LEFT JOIN f USING (period)""")
 def period_align(spark, sf_dir):
-    spine = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("period")).where("period between 1996 and 1998").distinct()
+    spine = _full_years(spark, sf_dir)
     return series.align(spine, _ship_years(spark, sf_dir))
 
 
+def _full_years(spark, sf_dir):
+    """The years of orders but for the first and the last, which may be incomplete. A row for each year."""
+    from pyspark.sql import Window as W
+
+    years = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("period")).distinct()
+    every = W.partitionBy(F.lit(0).alias("all"))
+    return years.withColumns({"lo": F.min("period").over(every), "hi": F.max("period").over(every)}).where("period > lo and period < hi").select("period")
+
+
 def _ship_years(spark, sf_dir):
     """Quantities by year of shipping, with 1997 twice."""
     sums = read(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("period")).agg(profile.exact_sum(F.col("l_quantity")).alias("value"))
     return sums.unionByName(sums.where("period = 1997"))
 
 
-@query("SELECT count(DISTINCT year(l_shipdate)) AS n_outside FROM lineitem WHERE year(l_shipdate) NOT BETWEEN 1996 AND 1998")
+@query("WITH y AS (SELECT DISTINCT year(o_orderdate) AS period FROM orders) SELECT count(DISTINCT year(l_shipdate)) AS n_outside FROM lineitem WHERE NOT (year(l_shipdate) > (SELECT min(period) FROM y) AND year(l_shipdate) < (SELECT max(period) FROM y))")
 def period_outside(spark, sf_dir):
-    spine = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("period")).where("period between 1996 and 1998").distinct()
+    spine = _full_years(spark, sf_dir)
     return series.outside(spine, _ship_years(spark, sf_dir))
 
 
@@ -573,10 +615,10 @@ def outlook_runrate(spark, sf_dir):
 
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def roundtrip_extract_tidy(spark, sf_dir):
-    cells = layout.with_panels(layout.encode(read(spark, sf_dir, "nation"), "nation", ["n_nationkey"], top=0))
-    facts = layout.tidy_facts(cells, layout.classify(cells))
-    wide = facts.groupBy("rec").agg(*[F.max(F.when(F.col("name") == c, F.col("raw"))).alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")])
-    return wide.drop("rec")
+    regions, cells = orient.orient(layout.encode(read(spark, sf_dir, "nation"), "nation", ["n_nationkey"], top=0))
+    facts = orient.tidy_tables(cells, regions)
+    wide = facts.groupBy("row").agg(*[F.max(F.when(F.col("name") == c, F.col("raw"))).alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")])
+    return wide.drop("row")
 
 
 @query("SELECT o_orderpriority AS label, year(o_orderdate)::VARCHAR AS period, count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2")
@@ -587,8 +629,8 @@ def roundtrip_extract_matrix(spark, sf_dir):
     if not years:
         return spark.createDataFrame([], "label string, period string, value double")
     table = orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(*[F.nullif(F.count_if(F.year("o_orderdate") == int(y)), F.lit(0)).alias(y) for y in years])
-    cells = layout.with_panels(layout.encode(table, "matrix", ["priority"]))
-    return layout.matrix_facts(cells, layout.classify(cells)).select("label", "period", "value")
+    regions, cells = orient.orient(layout.encode(table, "matrix", ["priority"]))
+    return orient.cross_tab_facts(cells, regions).select("label", "period", "value")
 
 
 def _side_by_side(spark, sf_dir):

@@ -3,7 +3,6 @@
 import io
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
@@ -98,37 +97,20 @@ def test_cross_examination(spark):
 
 def grid(spark, rows, sheet="s"):
     cells = [(sheet, i, j, str(v)) for i, row in enumerate(rows) for j, v in enumerate(row) if v is not None]
-    return layout.with_panels(spark.createDataFrame(cells, "sheet string, row long, col int, raw string"))
-
-
-@pytest.mark.parametrize(
-    ("rows", "want"),
-    [
-        ([["Rapport"], ["PARCELLE", "ANNEE", "HA"], ["A", "x", 4], ["B", "y", 5]], ("tidy", None, 1)),
-        ([["METRIC", "01/01/2025", "01/02/2025", "01/03/2025"], ["Ventes", 1, 2, 3], ["Stock", 4, 5, 6]], ("matrix", "date", 0)),
-        ([[None, "2019-2021", 2025, 2026, 2027], ["a", 1, 2, 3, 4], ["b", 5, None, 6, 7]], ("matrix", "year", 0)),
-        ([[None, "Janvier", "Février", "Mars"], ["a", 1, 2, 3], ["b", 4, 5, 6]], ("matrix", "month", 0)),
-        ([["Nom", "X"], ["Adresse", "Y"], ["Ville", "Z"]], ("form", None, None)),
-        ([[1, 2, 3, 4], [5, 6, 7, 8]], ("unknown", None, None)),
-    ],
-)
-def test_layout(spark, rows, want):
-    got = layout.classify(grid(spark, rows)).first()
-    assert (got.orientation, got.axis, got.header_row) == want
-
-
-def test_matrix_and_panels(spark):
-    cells = grid(spark, [[None, 2025, 2026, 2027], ["North", 1, 2, 3], ["South", 4, None, "5 000,5"]])
-    got = {(r.label, r.period): r.value for r in layout.matrix_facts(cells, layout.classify(cells)).collect()}
-    assert got == {("North", "2025"): 1.0, ("North", "2026"): 2.0, ("North", "2027"): 3.0, ("South", "2025"): 4.0, ("South", "2027"): 5000.5}
+    return spark.createDataFrame(cells, "sheet string, row long, col int, raw string")
+
+
+def test_islands(spark):
     beside = grid(spark, [["a", "b", None, "c", "d", "e"], ["x", 1, None, "y", 2, 3], ["z", 4, None, "w", 5, 6]])
-    assert {r.region for r in beside.select("region").distinct().collect()} == {"s#1", "s#2"}
     assert [(r["first"], r["last"]) for r in layout.islands(beside).orderBy("island").collect()] == [(0, 1), (3, 5)]
+    above = grid(spark, [[1, 2, 3], [4, 5, 6], [None], [7, 8, 9], [1, 2, 3], [None], [1]])
+    assert [(r["first"], r["last"]) for r in layout.islands(above, "row").orderBy("island").collect()] == [(0, 1), (3, 4)]
 
 
 def test_headers_of_several_rows(spark):
     cells = grid(spark, [["Région", "2025", None, "2026", None], [None, "HA", "T", "HA", "T"], ["Nord", 1, 2, 3, 4], ["Sud", 5, 6, 7, 8]])
-    heads = spark.createDataFrame([("s#1", 0)], "region string, header_row long")
+    cells = cells.withColumn("region", F.col("sheet"))
+    heads = spark.createDataFrame([("s", 0)], "region string, header_row long")
     from gridwright.operators.headers import header_blocks, header_names
 
     blocks = header_blocks(layout.with_kinds(cells), heads)
@@ -136,13 +118,6 @@ def test_headers_of_several_rows(spark):
     assert [r.name for r in header_names(cells, blocks).orderBy("col").collect()] == ["Région", "2025 / HA", "2025 / T", "2026 / HA", "2026 / T"]
 
 
-def test_bands(spark):
-    cells = grid(spark, [[1, 2, 3], [4, 5, 6], [None], [7, 8, 9], [1, 2, 3]])
-    unknown = spark.createDataFrame([("s#1", "unknown")], "region string, orientation string")
-    got = layout.with_bands(cells, unknown).groupBy("region").agg(F.min("row").alias("a"), F.max("row").alias("b"))
-    assert sorted(tuple(r) for r in got.collect()) == [("s#1/1", 0, 1), ("s#1/2", 3, 4)]
-
-
 def test_mapping_and_report(spark):
     from gridwright.operators import mapping, report
 
