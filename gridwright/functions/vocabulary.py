@@ -77,7 +77,7 @@ UNMAPPED = "UNMAPPED"
 # Layout
 DATE_RUN, AXIS_SHARE, INTERIOR_SHARE, SCAN_ROWS = 3, 0.6, 0.5, 15
 YEAR_MIN, YEAR_MAX, YEAR_COVERAGE = 1990, 2100, 0.7
-HEADER_SCAN, HEADER_SPAN, BANNER_SHARE = 25, 3, 0.8
+HEADER_SCAN, BANNER_SHARE = 25, 0.8
 # Profiles
 DOMINANT, DISTINCT_CAP, TOP_VALUES = 0.6, 1000, 5
 # Audit

@@ -188,3 +188,47 @@ def rollup(found: DataFrame, decisions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_total"), F.count_if(~bad).alias("n_ok"), F.count_if(bad & (F.col("decision") == "open")).alias("n_open"),
         F.round(F.coalesce(F.sum(F.when(bad & (F.col("decision") == "open"), F.col("delta_total"))), F.lit(0.0)), 2).alias("at_stake"), F.max("decided_at").alias("last_decided"),
     )
+
+
+def run_checks(df: DataFrame, key: str, columns: list[str], numeric: list[bool], totals: Column | None = None) -> DataFrame:
+    """All relations of one table and what breaks them, those that don't hold first, by the size of what is wrong.
+
+    (relation, rule, target, n_checked, n_matched, n_mismatched, delta_total, listed, status, confidence)
+    """
+    numbers = [c for c, n in zip(columns, numeric, strict=True) if n]
+    data = df if totals is None else df.where(~totals)
+    found = products(data, numbers)
+    named = F.concat(F.col("target"), F.lit("="), F.col("a"), F.lit("*"), F.col("b"))
+    broken = product_mismatches(data, key, numbers, found).select(named.alias("relation"), "row_key", "delta")
+    relations = found.select(named.alias("relation"), F.lit("product").alias("rule"), "target", "n_checked", "n_matched")
+    sums = row_sums(df, columns, numeric, totals)
+    for r in sums.collect():  # as many as the columns of a table at most
+        relation = f"{r.target}={r.parts}"
+        bad = row_sum_mismatches(data, key, r.target, r.parts.split("+")).select(F.lit(relation).alias("relation"), "row_key", "delta")
+        broken = broken.unionByName(bad)
+    summed = F.concat(F.col("target"), F.lit("="), F.col("parts"))
+    relations = relations.unionByName(sums.select(summed.alias("relation"), F.lit("row sum").alias("rule"), "target", "n_checked", "n_matched"))
+    out = findings(broken.withColumn("delta", F.round("delta", 4)), relations)
+    return out.orderBy((F.col("status") == "ok").cast("int"), F.desc("delta_total"), "relation")
+
+
+def with_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Findings with their stable ids, the decision on each (open where there is none) and their bucket.
+
+    `found`: sheet, panel, target, formula, status, delta_total. `decisions`: finding_id, decision.
+    """
+    keyed = found.withColumns({"__panel": F.coalesce(F.col("panel").cast("string"), F.lit("-"))})
+    ids = finding_ids(keyed, ["sheet", "__panel", "target", "formula"]).drop("__panel")
+    bucket = F.when(F.col("status").isin("mismatch", "ok"), F.col("status")).otherwise("unverified")
+    return ids.join(decisions, "finding_id", "left").withColumns({"decision": F.coalesce("decision", F.lit("open")), "bucket": bucket})
+
+
+def open_findings(decided: DataFrame) -> DataFrame:
+    """How many findings still need an eye: those that don't hold, or are unverified, and aren't decided."""
+    return decided.agg(F.count_if((F.col("bucket") != "ok") & (F.col("decision") == "open")).alias("n_open"))
+
+
+def deliverable_status(decided: DataFrame) -> DataFrame:
+    """None where nothing was checked, flagged where a decision says so, else reconciled."""
+    n = F.count(F.lit(1))
+    return decided.agg(F.when(n == 0, None).when(F.count_if(F.col("decision") == "flagged") > 0, "flagged").otherwise("reconciled").alias("status"))

@@ -112,3 +112,57 @@ def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
 
     keyed = lambda df: df.select(F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("d"), "j", "seq", "outC", "outU").groupBy("month")
     return keyed(head).cogroup(keyed(site)).applyInPandas(walk, "month string, j string, seq long, out_usd double")
+
+
+# Fixed: the sheets of a workbook of journals, the row of their header, and their columns.
+SITE_SHEET, HEAD_SHEET, HEADER_ROW = "JC Consolidé", "JC DGO", 9
+COLUMNS = {"Libellés": "label", "Code Interne": "code", "Entrées CDF": "inC", "Sorties CDF": "outC", "Entrées USD": "inU", "Sorties USD": "outU", "Solde CDF": "balC", "Solde USD": "balU"}
+SEVERITIES = ["BLOCKER", "HIGH", "MED", "LOW"]
+
+
+def matches_contract(cells: DataFrame) -> DataFrame:
+    """(path, is_journal): whether a workbook has both journals."""
+    return cells.groupBy("path").agg((F.count_distinct(F.when(F.trim("sheet").isin(SITE_SHEET, HEAD_SHEET), F.trim("sheet"))) == 2).alias("is_journal"))
+
+
+def parsed(cells: DataFrame) -> DataFrame:
+    """(j, seq, d, month, code, label, inC, outC, inU, outU, balC, balU) from the cells of both journals.
+
+    The header's names say what a column is; a row counts if its date can be read, and `seq` is
+    its place among the rows below the header.
+    """
+    from gridwright.functions.cells import coerce_date, journal_number, journal_text
+
+    tag = F.when(F.trim("sheet") == SITE_SHEET, "site").when(F.trim("sheet") == HEAD_SHEET, "dgo")
+    own = cells.withColumn("j", tag).where("j is not null")
+    names = own.where(F.col("row") == HEADER_ROW).select("j", "col", F.trim("raw").alias("name"))
+    body = own.where(F.col("row") > HEADER_ROW).join(F.broadcast(names), ["j", "col"])
+    value = lambda name: F.max(F.when(F.col("name") == name, F.col("raw")))
+    rows = body.groupBy("j", "row").agg(value("Dates").alias("date"), *[value(n).alias(c) for n, c in COLUMNS.items()])
+    shaped = {c: journal_text(F.col(c)) if c in ("label", "code") else journal_number(F.col(c)) for c in COLUMNS.values()}
+    dated = rows.withColumn("d", coerce_date(F.col("date"))).where("d is not null")
+    return dated.select("j", (F.col("row") - HEADER_ROW - 1).alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("month"), *[v.alias(c) for c, v in shaped.items()])
+
+
+def destinations(spend: DataFrame, head_out: DataFrame) -> DataFrame:
+    """(kind, usd, pct) of all that was paid out: by kind of code, and by the head office's own journal, the largest first.
+
+    `spend`: kind, usd. `head_out`: usd.
+    """
+    kinds = spend.groupBy("kind").agg(F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))
+    every = kinds.unionByName(head_out.agg(F.lit("dgo").alias("kind"), F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))).where("usd <> 0")
+    # a row for each kind
+    total = F.sum("usd").over(W.partitionBy(F.lit(0).alias("all")))
+    shares = every.withColumn("pct", F.round((100 * F.col("usd") / total).cast("double"), 1))
+    return shares.select("kind", F.col("usd").cast("double").alias("usd"), "pct").orderBy(F.desc("usd"), "kind")
+
+
+def exceptions(found: DataFrame) -> DataFrame:
+    """(n, n_high, at_stake_usd) of findings with `severity` and `usd`."""
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("HIGH", "BLOCKER")).alias("n_high"), F.coalesce(F.sum(F.abs(F.col("usd").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("at_stake_usd"))
+
+
+def gravest_first(found: DataFrame, most: int = 200) -> DataFrame:
+    """The gravest findings, by severity and then by what is at stake."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return found.orderBy(F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank), F.desc(F.abs("usd")), "subject").limit(most)

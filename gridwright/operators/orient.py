@@ -177,7 +177,9 @@ def orient(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     torn = (F.col("whole") == "unknown") | ((F.col("whole") != "matrix") & (F.coalesce("n_months", F.lit(0)) >= 2))
     way = F.when(F.col("n_panels") >= 2, "panel").when(torn & (F.col("n_bands") >= 2), "band").otherwise("sheet")
     regions = written(every.join(sheets.select("sheet", way.alias("way")), ["sheet", "way"]), "sheet-regions-chosen")
-    return regions, placed.join(regions.select("region", "way"), ["region", "way"])
+    boxes = regions.select(F.col("sheet").alias("__s"), "region", "r0", "r1", "c0", "c1")
+    inside = (F.col("sheet") == F.col("__s")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    return regions, kinds.join(boxes, inside).drop("__s", "r0", "r1", "c0", "c1")
 
 
 def sheet_orientations(regions: DataFrame) -> DataFrame:

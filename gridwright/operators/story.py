@@ -135,3 +135,52 @@ def gap_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """A row for each staple that the data can't give: (requires, reason)."""
     found = df.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
     return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("requires"), (F.col(k) == 0).alias("lacking")) for k in checks])).alias("x")).where("x.lacking").select("x.requires", F.concat(F.lit("no rows for "), F.col("x.requires")).alias("reason"))
+
+
+def headline_value(df: DataFrame, measure: str, kind: str) -> DataFrame:
+    """(measure, metric, value): the sum of an amount, the mean of anything else."""
+    value = exact_sum(F.col(measure)) if kind == "amount" else F.round(F.avg(F.col(measure)), 4)
+    return df.agg(F.lit(measure).alias("measure"), F.lit("sum" if kind == "amount" else "mean").alias("metric"), value.alias("value"))
+
+
+def change_means(df: DataFrame, dim: str, measures: list[str], most: int = 2, members: int = MEMBERS) -> DataFrame:
+    """(measure, member, mean_value, n) of measures of change, two at most, the highest means first: changes aren't summed."""
+    long = df.where(F.col(dim).isNotNull()).select(F.col(dim).cast("string").alias("member"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures[:most]])).alias("x")).select("member", "x.*")
+    means = long.groupBy("measure", "member").agg(F.round(F.avg("v"), 4).alias("mean_value"), F.count("v").alias("n"))
+    rank = F.row_number().over(W.partitionBy("measure").orderBy(F.desc("mean_value"), "member"))
+    return means.withColumn("rank", rank).where(F.col("rank") <= members)
+
+
+def matrix_story(facts: DataFrame, most_series: int = 24, most: int = MOVERS) -> DataFrame:
+    """(metric, rank, entity, value, headline) of a cross-tab by date, from (label, period, value).
+
+    Of its largest series, totals are left out, as they hold the others; stocks are levels, of
+    which the lowest latest ones count; of the others, what each gained since the month before.
+    """
+    size = facts.groupBy("label").agg(F.sum(F.abs(F.col("value").cast("decimal(18,2)"))).alias("size"))
+    ranked = size.orderBy(F.desc("size"), "label").limit(most_series).select("label")
+    shown = facts.join(F.broadcast(ranked), "label").withColumn("stock", F.col("label").rlike(FOLD + V.INVENTORY))
+    levels = shown.where("stock and value is not null").groupBy(F.col("label").alias("entity")).agg(F.round(F.max_by("value", "period"), 4).alias("value"))
+    low = levels.orderBy("value", "entity").limit(most).select(F.lit("low_stock").alias("metric"), F.row_number().over(W.orderBy("value", "entity")).alias("rank"), "entity", "value", F.lit(None).cast("double").alias("headline"))
+    flows = shown.where(~F.col("stock") & ~F.col("label").rlike(FOLD + V.DERIVED_SERIES) & F.col("value").isNotNull())
+    months = flows.groupBy(F.col("label").alias("entity"), F.substring("period", 1, 7).alias("month")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v"))
+    last = W.partitionBy("entity").orderBy(F.desc("month"))
+    newest = months.withColumns({"k": F.row_number().over(last), "before": F.lead("v").over(last)}).where("k = 1 and before is not null")
+    deltas = newest.select("entity", F.round(F.col("v") - F.col("before"), 4).alias("value"), F.round("v", 4).alias("headline"))
+    side = lambda name, *order: deltas.orderBy(*order).limit(most).select(F.lit(name).alias("metric"), F.row_number().over(W.orderBy(*order)).alias("rank"), "entity", "value", "headline")
+    return low.unionByName(side("gained", F.desc("value"), "entity")).unionByName(side("lost", "value", "entity"))
+
+
+def suggestions(metrics: DataFrame, most: int = 6) -> DataFrame:
+    """(rank, question): questions that a story's metrics can answer, from (story, metric, measure, grain)."""
+    what = F.coalesce("measure", "story")
+    text = (
+        F.when(F.col("metric") == "trend", F.concat(F.lit("How is "), what, F.lit(" trending?")))
+        .when(F.col("metric") == "movers", F.concat(F.lit("Which "), F.coalesce("grain", F.lit("series")), F.lit(" is performing best, and which worst?")))
+        .when(F.col("metric") == "low_stock", F.concat(F.lit("Is stock of "), what, F.lit(" running out?")))
+        .when(F.col("metric").startswith("by_"), F.concat(F.lit("How is "), what, F.lit(" split by "), F.coalesce("grain", F.substring("metric", 4, 60)), F.lit("?")))
+        .when(F.col("metric") == "headline", F.concat(F.lit("What is the total "), what, F.lit("?")))
+    )
+    order = F.when(F.col("metric") == "trend", 0).when(F.col("metric") == "movers", 1).when(F.col("metric") == "low_stock", 2).when(F.col("metric").startswith("by_"), 3).otherwise(4)
+    asked = metrics.withColumns({"question": text, "o": order}).where("question is not null").groupBy("question").agg(F.min(F.struct("o", "story")).alias("at"))
+    return asked.orderBy("at", "question").limit(most).select(F.row_number().over(W.orderBy("at", "question")).alias("rank"), "question")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
-from gridwright.operators import audit, journal, layout, orient, profile, series, story
+from gridwright.operators import audit, journal, layout, orient, profile, report, series, story
+from gridwright.sources import workbook
 from gridwright.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,27 +589,21 @@ def mapping_identities(spark, sf_dir):
 
 @query(f"SELECT round(sum(opex::DECIMAL(18,2))::DOUBLE / sum(volume::DECIMAL(18,2))::DOUBLE, 4) AS blended, count(*) AS n FROM ({YEARLY_SQL}) WHERE year <> 1998")
 def blended_unit_cost(spark, sf_dir):
-    y = _yearly(spark, sf_dir).withColumn("opex", F.when(F.col("year") != 1998, F.col("opex")))
-    both = y.where("opex is not null and volume is not null")
-    return both.agg(F.round(profile.exact_sum(F.col("opex")) / profile.exact_sum(F.col("volume")), 4).alias("blended"), F.count(F.lit(1)).alias("n"))
+    return report.blended_unit_cost(_yearly(spark, sf_dir).withColumn("opex", F.when(F.col("year") != 1998, F.col("opex"))))
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS role, sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 1997)::DOUBLE AS a, sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 1996)::DOUBLE AS p FROM orders GROUP BY 1)
 SELECT role, round(100 * (a / p), 4) AS pct, CASE WHEN 100 * (a / p) < 70 THEN 'bad' WHEN 100 * (a / p) < 100 THEN 'warn' ELSE 'good' END AS state FROM t""")
 def kpi_tiles(spark, sf_dir):
     year = lambda y: profile.exact_sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice")))
-    sums = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("role")).agg(year(1997).alias("a"), year(1996).alias("p"))
-    pct = 100 * F.try_divide("a", "p")
-    return sums.select("role", F.round(pct, 4).alias("pct"), F.when(pct < 70, "bad").when(pct < 100, "warn").otherwise("good").alias("state"))
+    return report.tiles(read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("role")).agg(year(1997).alias("actual"), year(1996).alias("plan")))
 
 
 @query("""WITH t AS (SELECT sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 1996)::DOUBLE AS plan, sum(o_totalprice::DECIMAL(18,2)) FILTER (year(o_orderdate) = 1997 AND month(o_orderdate) <= 5)::DOUBLE AS done FROM orders)
-SELECT plan AS plan_total, done AS actual_total, 7 AS remaining, round((plan - done) / 7, 1) AS required FROM t""")
+SELECT plan AS plan_total, done AS actual_total, 7::BIGINT AS remaining, round((plan - done) / 7, 1) AS required FROM t""")
 def outlook_runrate(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders")
-    plan = profile.exact_sum(F.when(F.year("o_orderdate") == 1996, F.col("o_totalprice")))
-    done = profile.exact_sum(F.when((F.year("o_orderdate") == 1997) & (F.month("o_orderdate") <= 5), F.col("o_totalprice")))
-    return orders.agg(plan.alias("plan_total"), done.alias("actual_total"), F.lit(7).alias("remaining")).withColumn("required", F.round((F.col("plan_total") - F.col("actual_total")) / F.col("remaining"), 1))
+    months = read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("month")).agg(profile.exact_sum(F.col("o_totalprice")).alias("value"))
+    return report.outlook(months.where("y = 1996").select("month", "value"), months.where("y = 1997 and month <= 5").select("month", "value"))
 
 
 # Layout: tables become sheets and are found again
@@ -755,8 +750,8 @@ def upload_stats(spark, sf_dir):
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1")
 def content_dedupe(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return workbook.content_dedupe(files).withColumnRenamed("path", "doc_id")
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")

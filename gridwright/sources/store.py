@@ -55,3 +55,28 @@ class Store:
         """Whether a request is among the first `most` of its sender within the time before it."""
         w = W.partitionBy(by).orderBy(at).rangeBetween(-seconds, 0)
         return requests.withColumn("allowed", F.count(F.lit(1)).over(w) <= most)
+
+    def cascade(self, analyses: DataFrame, tables: list[str]) -> None:
+        """Delete analyses with all that hangs on them: the rows of `tables` with their analysis_id."""
+        for table in ["analyses", *tables]:
+            self.delete(table, ["analysis_id"], analyses)
+
+    @staticmethod
+    def published(before: DataFrame, analyses: DataFrame) -> DataFrame:
+        """Publications of `analyses` (analysis_id, at): a version more than before, or the first, with a token that only these decide."""
+        last = before.select("analysis_id", F.col("version").alias("was"))
+        joined = analyses.join(last, "analysis_id", "left").withColumn("version", F.coalesce(F.col("was") + 1, F.lit(1)))
+        token = F.substring(F.sha2(F.concat_ws("|", "analysis_id", F.col("version").cast("string"), F.col("at").cast("string")), 256), 1, 32)
+        return joined.select("analysis_id", "version", F.col("at").alias("published_at"), token.alias("token"), F.lit(True).alias("is_open"))
+
+    @staticmethod
+    def opens(published: DataFrame, log: DataFrame) -> DataFrame:
+        """(analysis_id, n_opens, last_opened) of the open publications, from a log of (token, at)."""
+        hits = published.where("is_open").join(log, "token", "left")
+        return hits.groupBy("analysis_id").agg(F.count("at").alias("n_opens"), F.max("at").alias("last_opened"))
+
+    @staticmethod
+    def portal(deliverables: DataFrame, client: str) -> DataFrame:
+        """What a client sees: their open deliverables, those in a group first, by group, and the newest first."""
+        own = deliverables.where((F.col("client_id") == client) & F.col("is_open"))
+        return own.orderBy(F.col("grp").isNull(), "grp", F.desc("published_at"), "deliverable_id")

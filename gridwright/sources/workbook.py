@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.sources.delimited import MISSING
@@ -151,3 +152,69 @@ def content_dedupe(files: DataFrame) -> DataFrame:
 def merge_engagement(actuals: DataFrame, plans: DataFrame) -> DataFrame:
     """The cells of two workbooks together; sheets of the plan are renamed."""
     return actuals.unionByName(plans.withColumn("sheet", F.concat(F.lit("PLAN · "), F.col("sheet"))))
+
+
+#: Fixed limits of what is taken: bytes of a file, and rows times columns of all its sheets.
+MOST_BYTES, MOST_CELLS = 25 << 20, 1_500_000
+
+
+def refusals(files: DataFrame) -> DataFrame:
+    """(path, reason) of files that aren't taken: empty ones and those over MOST_BYTES. `files`: path, length."""
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large")
+    return files.withColumn("reason", reason).where("reason is not null").select("path", "reason")
+
+
+def too_many_cells(cells: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """(path, n_cells) of workbooks whose sheets span more than `most` cells, blank ones counted."""
+    boxes = cells.groupBy("path", "sheet").agg(((F.max("row") + 1) * (F.max("col") + 1)).cast("long").alias("n"))
+    return boxes.groupBy("path").agg(F.sum("n").alias("n_cells")).where(F.col("n_cells") > most)
+
+
+def sheet_names(sheets: DataFrame, longest: int = 31, most: int = 99) -> DataFrame:
+    """(path, sheet_ord, sheet, name): names of `longest` characters at most, each once in a workbook, whatever their case.
+
+    Those that are taken get a number, 2 to `most`, behind their first characters; null beyond. A
+    numbered name that is another's own is passed over, by sheets in order.
+    """
+    cut = sheets.withColumn("base", F.substring("sheet", 1, longest))
+    k = F.row_number().over(W.partitionBy("path", F.lower("base")).orderBy("sheet_ord"))
+    taken = F.collect_set(F.lower("base")).over(W.partitionBy("path"))
+    numbered = F.transform(F.sequence(F.lit(2), F.lit(most)), lambda i: F.concat(F.substring("base", 1, longest - 3), F.lit(" "), i.cast("string")))
+    free = F.filter(numbered, lambda n: ~F.array_contains(F.col("taken"), F.lower(n)))
+    named = cut.withColumns({"k": k, "taken": taken})
+    return named.select("path", "sheet_ord", "sheet", F.when(F.col("k") == 1, F.col("base")).otherwise(F.get(free, F.col("k") - 2)).alias("name"))
+
+
+def _any_cells(batches):
+    """Cells of files of any kind: by their extension, and else as a workbook, and else as text."""
+    import pandas as pd
+
+    from gridwright.sources.delimited import grid, sheet_name
+
+    names = ["path", "sheet", "sheet_ord", "row", "col", "raw", "error"]
+
+    def text_cells(content: bytes, path: str):
+        for i, line in enumerate(grid(content, path)):
+            for j, value in enumerate(line):
+                if value.strip() not in MISSING:
+                    yield sheet_name(path), 0, i, j, value
+
+    for batch in batches:
+        for path, content in zip(batch.path, batch.content, strict=True):
+            kind = path.lower().rpartition(".")[2]
+            readers = [text_cells] if kind in ("csv", "tsv", "txt") else [book_cells] if kind in ("xlsx", "xlsm", "xlsb", "xls", "ods") else [book_cells, text_cells]
+            rows, error = [], None
+            for reader in readers:
+                try:
+                    rows, error = [(path, *cell, None) for cell in reader(content, path)], None
+                    break
+                except Exception as e:  # the next reader tries, and the last one's error is the file's
+                    error = f"{type(e).__name__}: {e}"
+            if error:
+                rows = [(path, None, None, None, None, None, error)]
+            yield pd.DataFrame(rows, columns=names).astype({"sheet_ord": "Int32", "row": "Int64", "col": "Int32"})
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of every file under a path, whatever its extension; a task for each file, a row with `error` for one that no reader takes."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_any_cells, CELLS)
