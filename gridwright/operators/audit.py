@@ -16,6 +16,10 @@ from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, close, short_hash
 
 
+#: Candidates that one pass over a table counts.
+CANDIDATES = 500
+
+
 def _flag(c: Column) -> Column:
     return F.sum(F.coalesce(c, F.lit(False)).cast("int"))
 
@@ -31,20 +35,35 @@ def _value(columns: list[str], name: Column) -> Column:
 def products(df: DataFrame, columns: list[str]) -> DataFrame:
     """Relations target = a x b that hold in most rows: (target, a, b, n_checked, n_matched)."""
     columns = columns[: V.PRODUCT_COLUMNS]
-    plain = df.agg(*[F.min(F.coalesce(F.col(c).cast("double").isin(0.0, 1.0), F.lit(True))).alias(c) for c in columns]).first()
-    usable = [c for c in columns if plain[c] is False]
-    candidates = [(t, a, b) for t in columns for a, b in combinations(usable, 2) if t not in (a, b)]
+    v = {c: F.col(c).cast("double") for c in columns}
+    plain = df.agg(*[F.struct(F.min(F.coalesce(v[c].isin(0.0, 1.0), F.lit(True))).alias("plain"), F.min(F.abs(v[c])).alias("low"), F.max(F.abs(v[c])).alias("high")).alias(c) for c in columns]).first()
+    usable = [c for c in columns if plain[c]["plain"] is False]
+
+    def possible(t: str, a: str, b: str) -> bool:
+        """Whether any value of t can be a product of values of a and b, by their bounds."""
+        low, high = plain[a]["low"] * plain[b]["low"], plain[a]["high"] * plain[b]["high"]
+        slack = 1 + 2 * V.TOLERANCE
+        return low <= plain[t]["high"] * slack + V.TOLERANCE and plain[t]["low"] <= high * slack + V.TOLERANCE
+
+    candidates = [(t, a, b) for t in columns if plain[t]["low"] is not None for a, b in combinations(usable, 2) if t not in (a, b) and possible(t, a, b)]
     schema = "target string, a string, b string, n_checked long, n_matched long"
     if not candidates:
         return df.sparkSession.createDataFrame([], schema)
-    v = {c: F.col(c).cast("double") for c in columns}
-    checked = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), (v[t].isNotNull() & v[a].isNotNull() & v[b].isNotNull()).alias("support"),
-            close(v[a] * v[b], v[t]).alias("hit"), (close(v[a] * v[b], v[t]) & (v[t] != 0)).alias("real"),
-        ) for i, (t, a, b) in enumerate(candidates)
-    ]))
-    counts = df.select(checked.alias("x")).groupBy("x.i").agg(_flag(F.col("x.support")).alias("n_checked"), _flag(F.col("x.hit")).alias("n_matched"), _flag(F.col("x.real")).alias("n_real"))
+
+    def counted(part: list[tuple[int, tuple[str, str, str]]]) -> DataFrame:
+        checked = F.explode(F.array(*[
+            F.struct(
+                F.lit(i).alias("i"), (v[t].isNotNull() & v[a].isNotNull() & v[b].isNotNull()).alias("support"),
+                close(v[a] * v[b], v[t]).alias("hit"), (close(v[a] * v[b], v[t]) & (v[t] != 0)).alias("real"),
+            ) for i, (t, a, b) in part
+        ]))
+        return df.select(checked.alias("x")).groupBy("x.i").agg(_flag(F.col("x.support")).alias("n_checked"), _flag(F.col("x.hit")).alias("n_matched"), _flag(F.col("x.real")).alias("n_real"))
+
+    # a row becomes CANDIDATES structs at most at a time
+    every = list(enumerate(candidates))
+    counts = counted(every[:CANDIDATES])
+    for at in range(CANDIDATES, len(every), CANDIDATES):
+        counts = counts.unionByName(counted(every[at : at + CANDIDATES]))
     names = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(columns.index(t)).alias("t"), F.array_sort(F.array(*map(F.lit, (t, a, b)))).alias("set")) for t, a, b in candidates])
     held = counts.where((F.col("n_checked") >= V.SUPPORT_ROWS) & (F.col("n_matched") >= F.greatest(F.lit(V.PRODUCT_HITS), V.SUPPORT_SHARE * F.col("n_checked"))) & (F.col("n_real") >= V.PRODUCT_HITS))
     named = held.withColumn("c", F.get(names, F.col("i")))
@@ -151,9 +170,11 @@ def column_sum_check(totals: DataFrame) -> DataFrame:
 
 def findings(mismatches: DataFrame, relations: DataFrame) -> DataFrame:
     """A finding for each relation, with its largest mismatches. Both have `relation`."""
-    listed = W.partitionBy("relation").orderBy(F.desc(F.abs("delta")), "row_key")
-    ranked = mismatches.withColumn("k", F.row_number().over(listed))
-    bad = ranked.groupBy("relation").agg(F.count(F.lit(1)).alias("n_mismatched"), F.round(F.sum(F.abs(F.col("delta").cast("decimal(18,4)"))).cast("double"), 2).alias("delta_total"), F.array_sort(F.collect_list(F.when(F.col("k") <= V.LISTED, F.col("row_key")))).alias("listed"))
+    order = W.partitionBy("relation").orderBy(F.desc(F.abs("delta")), "row_key")
+    # the limit on the rank goes below the shuffle, so a task sends the largest of what it holds
+    largest = mismatches.withColumn("k", F.row_number().over(order)).where(F.col("k") <= V.LISTED).groupBy("relation").agg(F.array_sort(F.collect_list("row_key")).alias("listed"))
+    sums = mismatches.groupBy("relation").agg(F.count(F.lit(1)).alias("n_mismatched"), F.round(F.sum(F.abs(F.col("delta").cast("decimal(18,4)"))).cast("double"), 2).alias("delta_total"))
+    bad = sums.join(largest, "relation")
     joined = relations.join(bad, "relation", "left").withColumns({"n_mismatched": F.coalesce("n_mismatched", F.lit(0)), "delta_total": F.coalesce("delta_total", F.lit(0.0))})
     return joined.withColumns({
         "status": F.when(F.col("n_mismatched") == 0, "ok").otherwise("mismatch"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, short_hash
+from gridwright.sources.scratch import written
 
 AMOUNTS = ["inC", "outC", "inU", "outU"]
 
@@ -27,16 +28,32 @@ def unknown_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return lost.groupBy(F.col("k").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outU").cast("decimal(18,2)")).cast("double").alias("out_usd"))
 
 
+def _with_previous(rows: DataFrame, columns: list[str], by: str = "j", order: str = "seq") -> DataFrame:
+    """`rows` with `previous`, a struct of the columns of the row before it in its journal.
+
+    A journal may be a third of all rows, so rows are dealt in ranges of it. Within a range the
+    row before is beside its own; a range's first row takes the last one of the range before,
+    from a table with a row for each journal and range.
+    """
+    ranged = written(rows.repartitionByRange(by, order).withColumn("__part", F.spark_partition_id()), "journal-ranges")
+    inside = W.partitionBy(by, "__part").orderBy(order)
+    ends = ranged.groupBy(by, "__part").agg(F.max_by(F.struct(*columns), order).alias("__end"))
+    before = ends.select(by, "__part", F.lag("__end").over(W.partitionBy(by).orderBy("__part")).alias("__before"))
+    beside = ranged.withColumns({"__n": F.row_number().over(inside), "__beside": F.lag(F.struct(*columns)).over(inside)})
+    joined = beside.join(before, [by, "__part"])
+    return joined.withColumn("previous", F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__beside"))).drop("__part", "__n", "__beside", "__before")
+
+
 def out_of_order(rows: DataFrame) -> DataFrame:
-    w = W.partitionBy("j").orderBy("seq")
-    return rows.withColumn("previous", F.lag("d").over(w)).where("d < previous")
+    found = _with_previous(rows, ["d"]).where(F.col("d") < F.col("previous.d"))
+    return found.withColumn("previous", F.col("previous.d"))
 
 
 def balance_breaks(rows: DataFrame, into: str = "inC", out: str = "outC", balance: str = "bal", most: float = 1.0) -> DataFrame:
     """Rows whose balance isn't the one before plus what came in less what went out."""
-    w = W.partitionBy("j").orderBy("seq")
-    expected = F.lag(balance).over(w) + F.col(into) - F.col(out)
-    return rows.withColumn("expected", expected).where(F.abs(F.col(balance) - F.col("expected")) > most).withColumn("expected", F.round("expected", 2))
+    expected = F.col(f"previous.{balance}") + F.col(into) - F.col(out)
+    found = _with_previous(rows, [balance]).withColumn("expected", expected).where(F.abs(F.col(balance) - F.col("expected")) > most)
+    return found.withColumn("expected", F.round("expected", 2)).drop("previous")
 
 
 def duplicates(rows: DataFrame, *parts: Column) -> DataFrame:

@@ -67,9 +67,11 @@ def distinct_capped(cells: DataFrame, cap: int = V.DISTINCT_CAP) -> DataFrame:
     return n.select("name", F.when(F.col("n") <= cap, F.col("n")).alias("n_distinct"), (F.col("n") > cap).alias("capped"))
 
 
-def date_stats(cells: DataFrame) -> DataFrame:
+def date_stats(cells: DataFrame, cap: int = V.DISTINCT_CAP) -> DataFrame:
+    """Dates of each column; how many different ones is null beyond the cap, and `capped` says so."""
     dated = cells.withColumn("d", coerce_date(F.col("raw")))
-    return dated.groupBy("name").agg(F.count("d").alias("n"), F.min("d").cast("string").alias("first_date"), F.max("d").cast("string").alias("last_date"), F.count_distinct("d").alias("n_distinct"))
+    n = F.count_distinct("d")
+    return dated.groupBy("name").agg(F.count("d").alias("n"), F.min("d").cast("string").alias("first_date"), F.max("d").cast("string").alias("last_date"), F.when(n <= cap, n).alias("n_distinct"), (n > cap).alias("capped"))
 
 
 def missingness(cells: DataFrame) -> DataFrame:
