@@ -450,7 +450,23 @@ def schema_classes(spark, sf_dir):
     return story.schema_classes(typed.join(counts, "name"))
 
 
-@query()
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+STOP_SQL = "[" + ", ".join(map(_quoted, V.STOP_WORDS)) + "]"
+INTENT_SQL = ", ".join(f"({_quoted(n)}, {_quoted(asks)}, {_quoted(takes)}, {str(n in V.GENERIC_INTENTS).lower()})" for n, asks, takes in V.INTENTS)
+TOKENS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{3,}}')), lambda t: NOT list_contains(" + STOP_SQL + ", t))"
+
+
+@query(f"""WITH q(question) AS (VALUES ('How is revenue trending over time?'), ('Which region has the most revenue?'), ('Which products are out of stock?'), ('Tell me a joke')),
+s AS (SELECT 0 AS ord, 'orders' AS story, 'Order revenue region ' || string_agg(r_name, ' ' ORDER BY r_name) AS words FROM region UNION ALL SELECT 1, 'stock', 'Stock inventory products'),
+m(story, metric, available) AS (VALUES ('orders', 'headline', true), ('orders', 'trend', true), ('orders', 'by_region', true), ('orders', 'yoy', false), ('stock', 'low_stock', true)),
+i(intent, asks, takes, generic) AS (VALUES {INTENT_SQL}),
+p AS (SELECT question, ord, story, {TOKENS_SQL.format("question")} AS t, {TOKENS_SQL.format("words")} AS v FROM q, s),
+a AS (SELECT question, ord, story, len(list_filter(t, lambda x: list_contains(v, x) OR (len(x) >= 5 AND len(list_filter(v, lambda y: len(y) >= 5 AND left(y, 5) = left(x, 5))) > 0))) AS affinity FROM p),
+h AS (SELECT a.*, takes, NOT generic OR affinity > 0 AS is_open FROM a JOIN i ON regexp_matches(question, asks, 'i')),
+k AS (SELECT DISTINCT question, ord, metric, available FROM h JOIN m USING (story) WHERE regexp_matches(metric, takes, 'i') AND (is_open OR NOT available)),
+n AS (SELECT question, ord, count(*) FILTER (available) AS n, count(*) FILTER (NOT available) AS lacks, string_agg(metric, ',' ORDER BY metric) FILTER (available) AS ids FROM k GROUP BY ALL),
+r AS (SELECT a.*, coalesce(n, 0) AS n, coalesce(lacks, 0) AS lacks, coalesce(ids, '') AS ids FROM a LEFT JOIN n USING (question, ord) QUALIFY row_number() OVER (PARTITION BY question ORDER BY coalesce(n, 0) DESC, affinity DESC, ord) = 1)
+SELECT question, CASE WHEN n > 0 THEN story END AS story, ids AS metrics, CASE WHEN n > 0 AND lacks > 0 THEN 'partial' WHEN n > 0 THEN 'answerable' WHEN lacks > 0 THEN 'unanswerable' ELSE 'unmatched' END AS status FROM r""")
 def brief_match(spark, sf_dir):
     regions = read(spark, sf_dir, "region").agg(F.concat_ws(" ", F.sort_array(F.collect_list("r_name"))).alias("words"))
     stories = regions.select(F.lit(0).alias("ord"), F.lit("orders").alias("story"), F.concat(F.lit("Order revenue region "), F.col("words")).alias("words")).unionByName(spark.createDataFrame([(1, "stock", "Stock inventory products")], "ord int, story string, words string"))
@@ -749,7 +765,12 @@ def journal_tieout(spark, sf_dir):
     return journal.tie_out(_ledger(spark, sf_dir), journal_code_month(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT strftime(d, '%Y-%m') AS month, d, j, seq, outU, 0.0 AS outC FROM ({LEDGER_SQL})),
+h AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY month, d, j, seq) AS k FROM l WHERE seq % 10 = 0 AND outU > 0), s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d, j, seq) AS s FROM l WHERE seq % 10 <> 0),
+c AS MATERIALIZED (SELECT k, list(s ORDER BY s) AS ss FROM h JOIN s ON h.month = s.month AND (abs(s.outU - h.outU) < 0.5 OR abs(s.outC - h.outU * 2250.0) < 1200.0) GROUP BY k),
+z AS MATERIALIZED (SELECT max(k) AS n FROM h), walk AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS hit, []::BIGINT[] AS used UNION ALL
+  SELECT k, hit, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (SELECT w.k + 1 AS k, used, list_filter(ss, lambda x: NOT list_contains(used, x))[1] AS hit FROM walk w LEFT JOIN c ON c.k = w.k + 1 WHERE w.k < (SELECT n FROM z)))
+SELECT month, j, seq, outU AS out_usd FROM h JOIN walk USING (k) WHERE hit IS NULL""")
 def journal_orphans(spark, sf_dir):
     rows = _ledger(spark, sf_dir)
     return journal.orphans(rows.where("seq % 10 = 0"), rows.where("seq % 10 <> 0"), 2250.0)
