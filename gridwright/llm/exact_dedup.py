@@ -8,8 +8,8 @@ Texts are equal when they are the same bytes after white space is deleted. Three
 2. Owner tasks, each with a range of keys, insert their entries into an extendible hash index:
    an overfull bucket splits by the next bit, and the directory doubles when the bucket was as
    deep as it. Entries with one key form a chain, and bytes decide which are equal. Owners grow
-   in number with the bytes of the entries' texts, `OWNER_BYTES` each, and a task holds one at a
-   time. Its buckets are written to the shared folder as pages, a row each: the page's number
+   in number with the bytes of the entries' texts, `OWNERS` for each `TASK_BYTES`, and a task holds
+   one at a time. Its buckets are written to the shared folder as pages, a row each: the page's number
    and depth, the places of its owner's directory that lead to it, and its records with their
    texts.
 3. Lookups go the index's way: a key's owner, the place of the directory that the key's low bits
@@ -35,10 +35,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridwright.llm.common import WHITE_BYTES, packed, partitions, read, shared_path, unpacked
+from gridwright.llm.common import WHITE_BYTES, cut, packed, partitions, read, shared_path, unpacked
 
-#: Bytes of distinct text that an owner's index holds, about.
-OWNER_BYTES = 32 << 20
+#: Bytes of distinct text of a task, about, and the owners among which it is divided.
+TASK_BYTES = 32 << 20
+OWNERS = 8
 #: What the entry table adds to the rows: only heads have the columns from `size` on.
 ADDED = "entry long, key long, sha256 string, head boolean, size long, n long, chars long, least_id long, best_uid long"
 RECORD = "struct<key: bigint, text: binary, keep_uid: bigint, keep_id: bigint, group_size: bigint, entries: array<bigint>>"
@@ -181,7 +182,7 @@ class Index:
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """`rows`, which have a key, with the owner and the page of it."""
-        # a row for each owner: one for OWNER_BYTES of text
+        # a row for each owner, some megabytes of text
         depths = self.pages.groupBy("owner").agg(F.max("directory_depth").alias("directory_depth"))
         at = rows.withColumn("owner", owner_of(F.col("key"), self.owners)).join(depths, "owner")
         mask = F.expr("shiftleft(1L, directory_depth) - 1")
@@ -205,9 +206,10 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     source.mapInArrow(_entries, schema).write.option("compression", "zstd").parquet(table)
     entries = spark.read.schema(schema).parquet(table)
     heads = entries.where("head")
-    n = owners or max(partitions(spark), -(-(heads.agg(F.sum("size")).first()[0] or 0) // OWNER_BYTES))
+    tasks = max(partitions(spark), -(-(heads.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+    n = owners or OWNERS * tasks
     rows = heads.select("entry", "key", F.col("c0").cast("binary").alias("text"), "n", "chars", "least_id", "best_uid", owner_of(F.col("key"), n).alias("owner"))
-    rows.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_owned(capacity), PAGES).write.option("compression", "zstd").parquet(path)
+    rows.repartition(tasks, "owner").sortWithinPartitions("owner").mapInArrow(_owned(capacity), PAGES).write.option("compression", "zstd").parquet(path)
     return entries, Index(spark, path, n)
 
 
@@ -221,7 +223,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 128, owners: int | None = None) -> DataFrame:
     """The rows of `docs` that stay, all columns as they are."""
     entries, index = build_index(docs, text, doc_id, capacity, owners)
-    dropped = index.found(entries.select("uid", "key", "entry")).where("uid <> keep_uid").select("uid")
+    # written, so that Spark knows how few they are and doesn't move the texts to meet them
+    dropped = cut(index.found(entries.select("uid", "key", "entry")).where("uid <> keep_uid").select("uid"), "exact-dropped")
     return unpacked(entries.join(dropped, "uid", "left_anti"), docs.columns, [text])
 
 

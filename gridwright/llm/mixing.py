@@ -38,13 +38,15 @@ SEED = 17
 BLOCK_BITS = 12
 
 
+def _leaf_columns(text: str) -> dict:
+    """domain, lang, source, tokens of a document."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return {"domain": F.regexp_extract(source, r"^[^0-9]*", 0), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "source": source, "tokens": F.size(words_of(F.col(text))).cast("long")}
+
+
 def leaves_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """uid, doc_id, domain, lang, source, tokens of every row of `docs`, which needs `uid`."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(
-        "uid", F.col(doc_id).cast("long").alias("doc_id"), F.regexp_extract(source, r"^[^0-9]*", 0).alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), F.size(words_of(F.col(text))).cast("long").alias("tokens"),
-    )
+    return docs.select("uid", F.col(doc_id).cast("long").alias("doc_id"), *[c.alias(n) for n, c in _leaf_columns(text).items()])
 
 
 def _weighted(nodes: DataFrame, path: list[str], weights: dict[tuple[str, ...], float]) -> DataFrame:
@@ -88,36 +90,58 @@ def budgets(rows: DataFrame, total: int | None = None, share: float = SHARE, epo
     return given.select(*LEVELS, "held", F.floor(F.col("given") + 1e-6).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", total: int | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict[tuple[str, ...], float] | None = None) -> DataFrame:
-    """uid, doc_id, domain, lang, source, tokens, copies (how many epochs take the row, 1 at least). `docs` needs `uid`."""
-    rows = cut(leaves_of(docs, text, doc_id), "leaf-rows")
+def _hashed(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """`rows` with their leaf's plan, and the hash and its range that place them in the order of the epoch that the rest is taken from."""
+    placed = rows.join(plan, LEVELS).withColumn("hash", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id")))
+    return placed.withColumn("block", F.shiftrightunsigned("hash", 64 - BLOCK_BITS))
+
+
+def plans(rows: DataFrame, total: int | None, share: float, epochs: int, seed: int, weights: dict[tuple[str, ...], float] | None) -> DataFrame:
+    """domain, lang, source, whole (epochs), rest (tokens), and where the rest ends: edge (range of the hash, null beyond all) and before (tokens of the ranges before it).
+
+    A row for each leaf, written, so that documents are never shuffled to meet it unless leaves are very many.
+    """
     leaf = cut(budgets(rows, total, share, epochs, weights), "leaf-budgets")
     whole = F.when(F.col("held") > 0, F.floor(F.col("budget") / F.col("held"))).otherwise(epochs).cast("long")
-    planned = leaf.withColumn("whole", F.least(whole, F.lit(epochs).cast("long"))).withColumn("rest", F.when(F.col("held") > 0, F.col("budget") - F.col("whole") * F.col("held")).otherwise(0))
-    placed = rows.join(planned.drop("held", "budget"), LEVELS).withColumn("hash", F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id")))
-    block = F.shiftrightunsigned("hash", 64 - BLOCK_BITS)
-    placed = placed.withColumn("block", block)
-    sums = placed.groupBy(*LEVELS, "block").agg(F.sum("tokens").alias("n"))
+    planned = leaf.withColumn("whole", F.least(whole, F.lit(epochs).cast("long"))).withColumn("rest", F.when(F.col("held") > 0, F.col("budget") - F.col("whole") * F.col("held")).otherwise(0)).drop("held", "budget")
+    sums = _hashed(rows, planned, seed).groupBy(*LEVELS, "rest", "block").agg(F.sum("tokens").alias("n"))
     # a row for each range of a leaf: 4096 at most, whatever the documents
     up_to = W.partitionBy(*LEVELS).orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.select(*LEVELS, "block", "n", F.sum("n").over(up_to).alias("end"))
-    # the rows with their ranges are written once, then read for the ranges that are whole and for those that aren't
-    known = cut(placed.join(ends, [*LEVELS, "block"]).withColumn("before", F.col("end") - F.col("n")), "mix-places")
-    cut_off = (F.col("before") <= F.col("rest")) & (F.col("end") > F.col("rest"))
-    whole_ranges = known.where(~cut_off).withColumn("extra", (F.col("end") <= F.col("rest")).cast("int"))
+    ends = sums.withColumn("end", F.sum("n").over(up_to)).where(F.col("end") > F.col("rest"))
+    edge = ends.groupBy(*LEVELS).agg(F.min("block").alias("edge"), F.min_by(F.col("end") - F.col("n"), "block").alias("before"))
+    return cut(planned.join(edge, LEVELS, "left"), "leaf-plans")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, epochs: int, seed: int) -> DataFrame:
+    """`rows` (uid, doc_id, LEVELS, tokens, and any others) with copies: how many epochs take the row, 1 at least.
+
+    Only rows of the range in which a leaf's rest ends are ordered; all others stay where they are.
+    """
+    known = _hashed(rows, plan, seed)
+    cut_off = F.coalesce(F.col("block") == F.col("edge"), F.lit(False))
+    sure = known.where(~cut_off).withColumn("extra", (F.col("edge").isNull() | (F.col("block") < F.col("edge"))).cast("int"))
     order = W.partitionBy(*LEVELS, "block").orderBy(F.shiftrightunsigned("hash", 1), "hash", "doc_id", "uid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = known.where(cut_off).withColumn("extra", (F.col("before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
-    taken = whole_ranges.unionByName(edge)
-    return taken.select("uid", "doc_id", *LEVELS, "tokens", F.least(F.col("whole") + F.col("extra"), F.lit(epochs).cast("long")).cast("int").alias("copies")).where("copies > 0")
+    ordered = known.where(cut_off).withColumn("extra", (F.col("before") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
+    taken = sure.unionByName(ordered)
+    copies = F.least(F.col("whole") + F.col("extra"), F.lit(epochs).cast("long")).cast("int")
+    return taken.select(*rows.columns, copies.alias("copies")).where("copies > 0")
+
+
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", total: int | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict[tuple[str, ...], float] | None = None) -> DataFrame:
+    """uid, doc_id, domain, lang, source, tokens, copies (how many epochs take the row, 1 at least). `docs` needs `uid`."""
+    rows = cut(leaves_of(docs, text, doc_id), "leaf-rows")
+    return with_copies(rows, plans(rows, total, share, epochs, seed, weights), epochs, seed)
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", total: int | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict[tuple[str, ...], float] | None = None) -> DataFrame:
     """The selected rows of `docs`, all columns as they are, once for each epoch that takes them. `docs` has a lang and a source."""
     top = [F.col(c).alias(c) for c in ("lang", "source")]
     numbered = cut(packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), *top, keep=[text]), "mix-input")
-    chosen = mix(numbered.select("uid", "doc_id", "lang", "source", F.col("c0").alias("text")), **settings).select("uid", "copies")
-    rows = numbered.join(chosen, "uid").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return unpacked(rows, docs.columns, [text])
+    rows = numbered.select("uid", "doc_id", "c0", F.struct("rest").alias("payload"), *[c.alias(n) for n, c in _leaf_columns("c0").items()])
+    known = cut(rows.select("uid", "doc_id", *LEVELS, "tokens"), "leaf-rows")
+    plan = plans(known, total, share, epochs, seed, weights)
+    chosen = with_copies(rows, plan, epochs, seed).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unpacked(chosen.select("c0", "payload.rest"), docs.columns, [text])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

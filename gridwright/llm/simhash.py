@@ -208,7 +208,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """The rows of `docs` that stay, all columns as they are."""
     numbered = cut(packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), keep=[text]), "near-input")
     rows = cut(fingerprints(numbered.withColumnRenamed("c0", "text"), shingle), "fingerprints")
-    dropped = _classes(rows, distance).where("uid <> keep_uid").select("uid")
+    # written, so that Spark knows how few they are and doesn't move the texts to meet them
+    dropped = cut(_classes(rows, distance).where("uid <> keep_uid").select("uid"), "near-dropped")
     return unpacked(numbered.join(dropped, "uid", "left_anti"), docs.columns, [text])
 
 
