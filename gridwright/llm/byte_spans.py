@@ -132,8 +132,9 @@ class Family:
 def scan(ids, data: bytes, lengths, length: int = LENGTH, batch: int = BATCH, family: Family | None = None):
     """Runs (segment, first window, windows) of duplicate windows among segments of documents `ids`.
 
-    With a `family` to grow, all windows enter it. Without, those whose hash no other window has
-    needn't, as they can't match.
+    Equal segments, by their bytes, have one set of suffixes, which enters with the least doc_id;
+    so those of later documents are duplicates as a whole. With a `family` to grow, all windows of
+    the others enter it. Without, those whose hash no other window has needn't, as they can't match.
     """
     import numpy as np
 
@@ -141,6 +142,13 @@ def scan(ids, data: bytes, lengths, length: int = LENGTH, batch: int = BATCH, fa
     starts = np.cumsum(lengths) - lengths
     windows = lengths - length + 1
     by = np.argsort(ids, kind="stable")
+    ordered = ids[by]
+    seen: dict[bytes, int] = {}
+    least = np.array([seen.setdefault(data[s : s + n], d) for s, n, d in zip(starts[by].tolist(), lengths[by].tolist(), ordered.tolist(), strict=True)], np.int64)
+    del seen
+    again = by[least < ordered]
+    out = [(again, np.zeros(len(again), np.int64), windows[again])]
+    by = by[least == ordered]
     part_of = np.repeat(by, windows[by])
     offsets = gather(np.arange(int(windows.max(initial=0))), np.zeros(len(by), np.int64), windows[by])
     places = starts[part_of] + offsets
@@ -160,12 +168,12 @@ def scan(ids, data: bytes, lengths, length: int = LENGTH, batch: int = BATCH, fa
         docs = ids[part_of[at : at + batch]]
         hit[at : at + batch] = family.add(suffixes[places[at : at + batch]], docs) < docs
     part_of, offsets = part_of[hit], offsets[hit]
-    if not len(part_of):
-        return [np.empty(0, np.int64)] * 3
-    new = np.ones(len(part_of), bool)
-    new[1:] = (part_of[1:] != part_of[:-1]) | (offsets[1:] != offsets[:-1] + 1)
-    heads = np.flatnonzero(new)
-    return [part_of[heads], offsets[heads], np.diff(np.append(heads, len(part_of)))]
+    if len(part_of):
+        new = np.ones(len(part_of), bool)
+        new[1:] = (part_of[1:] != part_of[:-1]) | (offsets[1:] != offsets[:-1] + 1)
+        heads = np.flatnonzero(new)
+        out.append((part_of[heads], offsets[heads], np.diff(np.append(heads, len(part_of)))))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def finder(pack_bytes: int = PACK_BYTES, **more) -> Finder:
