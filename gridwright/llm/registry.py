@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridwright.llm import byte_spans, exact_dedup, quality_rules, word_spans
+from gridwright.llm.alignment import op11_alignment
 from gridwright.llm.byte_spans import op9_byte_spans
 from gridwright.llm.exact_dedup import op6_exact_dedup
 from gridwright.llm.mixing import op10_mixing
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_output": op8_token_output,
         "op9_byte_spans": op9_byte_spans,
         "op10_mixing": op10_mixing,
+        "op11_alignment": op11_alignment,
     }
 
 
