@@ -13,6 +13,7 @@ from gridwright.llm.exact_dedup import op6_exact_dedup
 from gridwright.llm.mixing import op10_mixing
 from gridwright.llm.quality_classifier import op1_quality_classifier
 from gridwright.llm.quality_rules import op7_quality_rules
+from gridwright.llm.resampling import op12_resampling
 from gridwright.llm.sentencepieces import op3_sentencepieces
 from gridwright.llm.sharding import op4_sharding
 from gridwright.llm.simhash import op5_simhash
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_spans": op9_byte_spans,
         "op10_mixing": op10_mixing,
         "op11_alignment": op11_alignment,
+        "op12_resampling": op12_resampling,
     }
 
 
