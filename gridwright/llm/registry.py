@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import byte_spans, exact_dedup, quality_rules, word_spans
+from gridwright.llm import byte_spans, exact_dedup, license_scan, quality_rules, word_spans
 from gridwright.llm.alignment import op11_alignment
 from gridwright.llm.byte_spans import op9_byte_spans
 from gridwright.llm.exact_dedup import op6_exact_dedup
+from gridwright.llm.license_scan import op13_license_scan
 from gridwright.llm.mixing import op10_mixing
 from gridwright.llm.quality_classifier import op1_quality_classifier
 from gridwright.llm.quality_rules import op7_quality_rules
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_alignment": op11_alignment,
         "op12_resampling": op12_resampling,
+        "op13_license_scan": op13_license_scan,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op9_byte_spans": byte_spans.ORACLE_SQL,
+        "op13_license_scan": license_scan.ORACLE_SQL,
     }
