@@ -35,8 +35,8 @@ from gridwright.llm.common import gather, pieces, read, shared_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a pack and of a slice, about.
-PACK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
-#: Units of text of which a worker keeps the ids, none of more characters than LONG; beyond, it forgets the older ones.
+PACK_BYTES, SLICE_BYTES = 16 << 20, 2 << 20
+#: Different units of text of which a worker keeps the ids, about, none of more characters than LONG.
 CACHED, LONG = 400_000, 256
 ROWS = "kind int, pack long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<int>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -60,6 +60,7 @@ class Encoders:
 
     def __init__(self, a: str, b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -77,56 +78,89 @@ class Encoders:
         known = config.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and model["type"] == "BPE" and model.get("dropout") is None
         within = [p.replace("▁", " ") for i, p in enumerate(names) if not self.b.is_byte(i)]
         breaks = [c for c in " \t\n" if known and not any(c in p[1:] and p.strip(c) for p in within)]
-        self.unit = re.compile(f"[{''.join(breaks)}]+[^{''.join(breaks)}]*") if " " in breaks else None
-        self.other = re.compile(f"[^\\S{''.join(breaks)}]") if breaks else None
-        self.seen: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.cuts = " " in breaks
+        self.is_break = np.zeros(256, bool)
+        self.is_break[[*map(ord, breaks)]] = True
+        self.other = re.compile(f"[^\\S{''.join(breaks)}]")
+        # of units: the number of A's ids and whether all bytes are the unit's (the lowest bit), A's ids, B's ids, in the newer and the older generation
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def units(self, texts: list[str]):
+        """(units, numbers of units) of texts with their leading spaces: an Arrow array over their bytes."""
+        import numpy as np
+        import pyarrow as pa
 
-    def units(self, text: str) -> list[str]:
-        """Of a text with its leading space."""
-        return [text] if self.unit is None or self.other.search(text) else self.unit.findall(text)
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([*map(len, raw)], dtype=np.int64)
+        breaks = self.is_break[data]
+        breaks[1:] &= ~breaks[:-1]
+        begins = np.concatenate([[0], ends[:-1]])[: len(raw)]
+        for k, t in enumerate(texts):
+            if not self.cuts or self.other.search(t):
+                breaks[begins[k] : ends[k]] = False
+        breaks[begins] = True
+        starts = np.flatnonzero(breaks)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]), np.diff(np.searchsorted(starts, np.append(begins, len(data))))
 
     def _b(self, units: list[str]) -> list[list[int]]:
         """A unit's own space is the one that B adds; before any other character B's space is dropped again."""
         found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return [(ids or [self.space]) if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
 
-    def learn(self, units: list[str]) -> None:
-        """Keep the ids of units, and whether both sides have the unit's own bytes."""
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of new units; what is too long is not kept."""
+        a_bytes, b_bytes, out = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
         for at in range(0, len(units), 4096):
             part = units[at : at + 4096]
             for u, found, b in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), self._b(part), strict=True):
                 a, own = found.ids, u.encode()
-                self.seen[u] = array("I", a).tobytes(), array("I", b).tobytes(), b"".join(map(a_bytes, a)) == own == b"".join(map(b_bytes, b))
+                same = b"".join(map(a_bytes, a)) == own == b"".join(map(b_bytes, b))
+                out.append(array("I", [2 * len(a) + same, *a, *b]).tobytes())
+                if len(u) <= LONG:
+                    self.seen[u] = out[-1]
+        return out
+
+    def known(self, units: list[str]) -> list[bytes]:
+        """The ids of different units. When a generation is full it becomes the older one; what is asked for again moves on to the newer."""
+        if len(self.seen) > CACHED // 2:
+            self.old, self.seen = self.seen, {}
+        found = [*map(self.seen.get, units)]
+        away = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in away:
+            x = self.old.get(units[i])
+            if x is None:
+                new.append(i)
+            else:
+                found[i] = self.seen[units[i]] = x
+        for i, x in zip(new, self.learn([units[i] for i in new]), strict=True):
+            found[i] = x
+        return found
 
     def encode(self, texts: list[str]):
         """(numbers of ids, ids) by A, the same by B, and whether each text's tokens have its bytes."""
         import numpy as np
 
-        split = [self.units(t) for t in texts]
-        flat = [u for units in split for u in units]
-        new = set(flat) - self.seen.keys()
-        if len(self.seen) + len(new) > CACHED:
-            for old in list(self.seen)[: CACHED // 2]:
-                del self.seen[old]
-            new = set(flat) - self.seen.keys()
-        self.learn(list(new))
-        found = [*map(self.seen.__getitem__, flat)]
-        ends = np.cumsum([*map(len, split)], dtype=np.int64)
-        out = []
-        for side in (0, 1):
-            raw = [f[side] for f in found]
-            upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
-            out.append((np.diff(upto[np.concatenate([[0], ends])]), np.frombuffer(b"".join(raw), "<u4")))
-        differ = np.concatenate([[0], np.cumsum(np.fromiter((not f[2] for f in found), np.int64, len(found)))])
-        same = np.diff(differ[np.concatenate([[0], ends])]) == 0
-        for k in np.flatnonzero(~same):  # a unit's bytes differ: the whole text's decide
+        units, n_units = self.units(texts)
+        coded = units.dictionary_encode()
+        found = self.known(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        heads = np.cumsum(sizes) - sizes
+        n_a, same = (flat[heads] >> 1).astype(np.int64), (flat[heads] & 1).astype(bool)
+        which = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(n_units)])
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[which])])[ends])
+        a, b = gather(flat, heads[which] + 1, n_a[which]), gather(flat, (heads + 1 + n_a)[which], (sizes - 1 - n_a)[which])
+        out = (total(n_a), a), (total(sizes - 1 - n_a), b)
+        ok = total(~same) == 0
+        for k in np.flatnonzero(~ok):  # a unit's bytes differ: the whole text's decide
             ids = [x[int(n[:k].sum()) :][: n[k]].tolist() for n, x in out]
-            same[k] = all(b"".join(map(own.__getitem__, x)) == texts[k].encode() for own, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
-        for u in new:
-            if len(u) > LONG:
-                del self.seen[u]
-        return *out, same
+            ok[k] = all(b"".join(map(own.__getitem__, x)) == texts[k].encode() for own, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
+        return *out, ok
 
 
 @cache
