@@ -15,8 +15,8 @@ costs no more memory.
 Defined cases. Null and empty texts have no pieces and get the share of label 1 among the
 fitted texts. Without labels of both classes every score is that share, or 0.5. Equal label rows
 count once; a document labelled both ways teaches nothing, nor do labels without a document or a
-doc_id. Of rows that share a labelled doc_id each teaches by its own text, and each row is scored
-by itself. Scores depend on the text alone, so equal texts tie. Other columns are ignored,
+doc_id. Of rows that share a labelled doc_id the one teaches whose text has the least hash, so that
+the bound holds, and each row is scored by itself. Scores depend on the text alone, so equal texts tie. Other columns are ignored,
 whatever their names. An empty table gives an empty result.
 """
 
@@ -154,8 +154,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     known = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where(F.col("quality") == 0).orderBy(*order).limit(most).unionByName(known.where(F.col("quality") != 0).orderBy(*order).limit(most))
-    # twice `most` ids at most are broadcast, and the texts of these documents come back
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # twice `most` ids at most are broadcast, and one text of each comes back
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "quality")
     return fit([tuple(r) for r in rows.collect()])
 
 

@@ -12,8 +12,9 @@ steps, each on bounded pieces of data:
    them are heavy: in so many places that no one bucket should get them all.
 3. For those alone, a pack sends segments: the tokens of all windows that chose an anchor, to
    the anchor's bucket; of a heavy anchor, each window by itself, to the window's own bucket.
-   Equal segments of a pack, byte for byte, go once, with the least doc_id; the others are
-   duplicates already. So a passage in a third of all documents costs a segment for each pack.
+   Equal segments of a pack, byte for byte, go once, with the least doc_id; those of greater ones
+   are duplicates already, and those of the same take what is said of the first. So a passage in a
+   third of all documents costs a segment for each pack, and a run of one letter next to nothing.
 4. A bucket has all windows with its anchors, from all documents. An operator's own method
    (`matcher`) says which are duplicates; ranges of tokens go back to the packs, where the
    documents lose them.
@@ -41,6 +42,8 @@ from gridwright.llm.common import gather, partitions, text_bytes
 
 #: Bytes of text of a pack, about. A pack sends a blob to each bucket at most: raise it with the executors' memory.
 PACK_BYTES = 6 << 20
+#: Bytes of text for which there is a bucket, about, however many partitions there are.
+BUCKET_BYTES = 6 << 20
 #: Segments of one anchor, in all packs, from which on it is heavy.
 HEAVY = 1 << 15
 FACTOR = 0x5851F42D4C957F2D
@@ -105,12 +108,12 @@ class Anchors:
 
         docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         n = len(docs) - length + 1
-        found = [part for at in range(0, n, slice_) if (part := self._slice(hashes, docs, at, min(slice_, n - at), length, gram))]
+        found = [part for at in range(0, n, slice_) if (part := self._slice(hashes, docs, at, min(slice_, n - at), length, gram, slice_))]
         none = (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         self.hash, self.doc, self.start, self.windows, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
     @staticmethod
-    def _slice(hashes, docs, at: int, n: int, length: int, gram: int):
+    def _slice(hashes, docs, at: int, n: int, length: int, gram: int, slice_: int):
         import numpy as np
 
         within = np.flatnonzero(docs[at : at + n] == docs[at + length - 1 : at + length - 1 + n])
@@ -118,8 +121,8 @@ class Anchors:
             return None
         tokens = hashes(at, at + n + length - 1)
         grams = rolled(tokens, gram)
-        bits = max(1, len(tokens).bit_length())
-        low = np.uint64((1 << bits) - 1)
+        # one width for all slices: equal windows compare the same bits wherever they stand
+        low = np.uint64((1 << (slice_ + length).bit_length()) - 1)
         # the least hash of a window, the first of equals: the place takes the low bits
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width, size = length - gram + 1, 1
@@ -154,10 +157,10 @@ class Finder:
 
     def packs(self, docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int]:
         """The documents with their packs, and the number of buckets."""
-        # a pack sends a blob to each bucket, so that neither may be more than tasks or memory ask for
-        least, size = partitions(docs.sparkSession), -(-text_bytes(docs, text) // self.pack_bytes)
-        dealt = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(max(2 * least, size))).cast("int")
-        return docs.select(dealt.alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")), max(least, size)
+        # a pack sends a blob to each bucket, so that neither may be more than tasks or memory ask for; a bucket's method needs segments enough to work on
+        least, size = partitions(docs.sparkSession), text_bytes(docs, text)
+        dealt = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(max(2 * least, -(-size // self.pack_bytes)))).cast("int")
+        return docs.select(dealt.alias("pack"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")), max(1, -(-size // BUCKET_BYTES))
 
     def find(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """A row of `digests` for each row of `docs`."""
@@ -319,8 +322,9 @@ class Finder:
     def _send_segments(self, pack: int, table, flags, n: int):
         """Segments to buckets. A blob of segments: how many (u4), then compressed their doc_ids (i8), starts
         in their document (i8), places of the document in its pack (u4), sizes of content (u4), and contents.
-        Ranges that are known already go to a bucket of their own, below 0, which passes them on. Without
-        `flags` all segments go."""
+        What a pack tells itself goes to a bucket of its own, below 0, which passes it on: ranges that are
+        known already, and which segments are copies of one in a document of the same doc_id (start in
+        the pack, that of the first, tokens). Without `flags` all segments go."""
         import numpy as np
 
         _, ids, sizes, context = self._read(table)
@@ -350,10 +354,13 @@ class Finder:
         new[1:] = key[1:] != key[:-1]
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         offset = (np.cumsum(sizes) - sizes)[doc]
-        # a later document's segment that is its head's is a duplicate; of the head's own document every occurrence goes, as each has its own range
-        again = (owner[head] < owner) & self._same(context, start, stop, head)
+        # a later document's segment that is its head's is a duplicate; one of the head's own doc_id fares as the head
+        same = self._same(context, start, stop, head)
+        again = (owner[head] < owner) & same
         known = np.stack([doc, start - offset, stop - offset])[:, again].astype(np.int64)
-        send = np.flatnonzero(~again)
+        alike = (owner[head] == owner) & same & ~new
+        copies = np.stack([start, start[head], stop - start])[:, alike].astype(np.int64)
+        send = np.flatnonzero(~again & ~alike)
         send = send[np.argsort(goes[send], kind="stable")]
         out = []
         found, starts = np.unique(goes[send], return_index=True)
@@ -362,7 +369,9 @@ class Finder:
             body = owner[part].astype("<i8").tobytes() + (start - offset)[part].astype("<i8").tobytes() + doc[part].astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + data
             out.append((int(b), len(part).to_bytes(4, "little") + pressed(body)))
         if known.size:
-            out.append((-1 - pack, pressed(known.tobytes())))
+            out.append((-1 - pack, b"\0" + pressed(np.diff(known, axis=1, prepend=0).tobytes())))  # differences, which repeat where places do
+        if copies.size:
+            out.append((-1 - pack, b"\1" + pressed(np.diff(copies, axis=1, prepend=0).tobytes())))
         yield from self._blobs(pack, out)
 
     @staticmethod
@@ -412,11 +421,25 @@ class Finder:
         import numpy as np
 
         ids, _, sizes, context = self._read(table)
-        rows = [np.frombuffer(unpressed(d), np.int64).reshape(3, -1) for d in ranges.column("data").to_pylist()]
-        edges = np.zeros(int(sizes.sum()) + 1, np.int32)
+        rows, copies = [], []
+        for bucket, data in zip(ranges.column("bucket").to_pylist(), ranges.column("data").to_pylist(), strict=True):
+            if bucket < 0:
+                (copies if data[0] else rows).append(np.cumsum(np.frombuffer(unpressed(data[1:]), np.int64).reshape(3, -1), axis=1))
+            else:
+                rows.append(np.frombuffer(unpressed(data), np.int64).reshape(3, -1))
         base = np.cumsum(sizes) - sizes
+        starts = np.zeros(int(sizes.sum()) + 1, np.int32)  # windows that are duplicates
         if rows:
             place, begin, end = np.concatenate(rows, axis=1)
-            np.add.at(edges, base[place] + begin, 1)
-            np.add.at(edges, base[place] + end, -1)
-        yield self.digest(ids, np.cumsum(edges[:-1], dtype=np.int32) > 0, sizes, base, context)
+            np.add.at(starts, base[place] + begin, 1)
+            np.add.at(starts, base[place] + end - self.length + 1, -1)
+        hit = np.cumsum(starts[:-1], dtype=np.int32) > 0
+        for at, first, tokens in copies:
+            windows = tokens - self.length + 1  # a copy's windows fare as the same windows of the first
+            for k in range(0, len(at), 1 << 14):
+                n = windows[k : k + (1 << 14)]
+                each = gather(np.arange(int(n.max())), np.zeros(len(n), np.int64), n)
+                told = hit[np.repeat(first[k : k + (1 << 14)], n) + each]
+                hit[(np.repeat(at[k : k + (1 << 14)], n) + each)[told]] = True
+        covered = np.concatenate([np.zeros(self.length, np.int64), np.cumsum(hit)])
+        yield self.digest(ids, covered[self.length :] > covered[: len(hit)], sizes, base, context)

@@ -32,7 +32,7 @@ def test_classifier_against_a_plain_loop(spark):
     got = [tuple(r) for r in score(docs, model).collect()]
     assert sorted((d, round(s, 9)) for d, s in got) == sorted((d, round(s, 9)) for d, s in want)
     # what taught: labels of one kind, not held out, and of these the share of good ones
-    taught = [(d, d % 2) for d, _ in rows if crc32(str(d).encode()) % 5 and d not in (4,)]
+    taught = [(d, d % 2) for d in {d for d, _ in rows} if crc32(str(d).encode()) % 5 and d not in (4,)]
     assert abs(model.prior - sum(q for _, q in taught) / len(taught)) < 1e-12
     # what is held out or has no label of its own does not matter
     other = labels.where("crc32(cast(doc_id as string)) % 5 <> 0 and doc_id <> 4")
@@ -77,3 +77,16 @@ def test_chosen_rows_are_the_plain_prefix(spark):
                 want[r.uid] = min(epochs, whole[k] + (left >= 0))
         got = {r.uid: r.copies for r in mix(docs, total=total, epochs=epochs).collect()}
         assert got == {u: c for u, c in want.items() if c}
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A labelled doc_id with 5,000 rows teaches by one of them, whatever their order."""
+    from gridwright.llm import quality_classifier as q
+
+    taken = []
+    monkeypatch.setattr(q, "fit", lambda rows: taken.append(sorted(rows)))
+    rows = [(1, f"text {i}") for i in range(5000)] + [(2, "other"), (2, "other"), (3, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    for n in (2, 7):
+        q.fit_on(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, most=2)
+    assert taken[0] == taken[1] and len(taken[0]) <= 3 and len({d for d, _, _ in taken[0]}) == len(taken[0])

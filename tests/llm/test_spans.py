@@ -31,6 +31,25 @@ def bytes_left(rows, before=()):
         yield str(d), len(raw), sum(gone), hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest()
 
 
+def words_left(rows, length=13):
+    """What word_spans leaves, by all windows of all documents."""
+    import re
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    key = lambda d: (d is None, d or 0)
+    first = {}
+    for (d, _), w in zip(rows, words, strict=True):
+        for i in range(len(w) - length + 1):
+            x = tuple(w[i : i + length])
+            first[x] = min(first.get(x, key(d)), key(d))
+    out = []
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = {i + k for i in range(len(w) - length + 1) if first[tuple(w[i : i + length])] < key(d) for k in range(length)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((str(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
 def documents(seed: int, n: int, first_id: int = 0):
     rng = random.Random(seed)
     common = random.Random(1)
@@ -167,3 +186,55 @@ def test_spans_of_awkward_tables(spark):
     assert got == sorted([("7", len(long), 0), ("8", 190_000, 190_000), ("8", 190_000, 190_000), ("None", 500, 500), ("None", 0, 0), ("9", 0, 0)])
     got = {(str(r.doc_id), r.n_words): r.n_removed for r in word_spans(docs).collect()}
     assert got["7", 40_000] == 0 and all(n - 2 <= got[d, n] <= n for d, n in got if d in ("8", "None") and n)
+
+
+def test_a_run_of_one_letter_is_sent_once():
+    """Equal segments of a document go to a bucket once, however often they stand there."""
+    import pyarrow as pa
+
+    from gridwright.llm.byte_spans import finder
+    from gridwright.llm.spans import unpressed
+
+    at = finder()
+    texts = [b"a" * 1000, b"a" * 200_000, b"ab" * 30_000]
+    table = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": pa.array(texts, pa.binary())})
+    sent = pa.Table.from_batches(at._send_segments(0, table, None, 1))
+    assert 2 * sum(map(len, sent.column("data").to_pylist())) < sum(map(len, texts))
+    bodies = [unpressed(d[4:]) for b, d in zip(sent.column("bucket").to_pylist(), sent.column("data").to_pylist(), strict=True) if b >= 0]
+    assert sum(map(len, bodies)) < sum(map(len, texts))
+
+
+def test_runs_of_equal_tokens(spark):
+    """Documents that repeat themselves, alone and in one another, in one pack and in several."""
+    from gridwright.llm.byte_spans import byte_spans
+    from gridwright.llm.word_spans import word_spans
+
+    texts = ["a" * 700, "a" * 300 + "b" * 120, "ab" * 200, "x" + "a" * 60 + "y" + "ab" * 60, "b" * 500, "b" * 49 + "a" * 49, "one two " * 90, "two one " * 40 + "one " * 40, "one " * 200]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20 + i, t) for i, t in enumerate(texts[::-1])] + [(20, texts[2]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for more in ({}, {"heavy": 1}, {"pack_bytes": 300}):
+        got = byte_spans(docs, **more)
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(bytes_left(rows))
+        found = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in word_spans(docs, **more).collect())
+        assert found == sorted(words_left(rows))
+
+
+def test_slices_of_any_length_choose_alike(monkeypatch):
+    """Equal windows choose equal anchors where hashes tie in their upper bits, in slices of different lengths."""
+    from gridwright.llm import spans
+    from gridwright.llm.spans import Anchors
+
+    rng = np.random.default_rng(4)
+    whole = spans.rolled
+    # hashes that agree in most of their bits, so that what is masked off decides
+    monkeypatch.setattr(spans, "rolled", lambda tokens, n: whole(tokens, n) & np.uint64(0x3FFFF))
+    passages = [rng.integers(0, 4, 50).astype(np.uint64) * np.uint64(7919) for _ in range(60)]
+    short, long = passages[:30], [x for p in passages for x in (p, rng.integers(0, 4, 200).astype(np.uint64))]
+    chosen = []
+    for parts in (short, long):
+        tokens, sizes = np.concatenate(parts), np.array([*map(len, parts)], np.int64)
+        found = Anchors(lambda a, b, t=tokens: t[a:b], sizes, 50, 16, 1 << 14)
+        starts = np.cumsum(sizes) - sizes
+        chosen.append({int(s): int(h) for s, h in zip(found.start, found.hash, strict=True) if s in starts})
+    for i in range(30):
+        assert chosen[0][50 * i] == chosen[1][250 * i]
