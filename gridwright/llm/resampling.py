@@ -44,6 +44,8 @@ SHARE, LEAST = 5, 20
 TABLED = 64
 #: Bytes of lines of a slice, about.
 SLICE_BYTES = 4 << 20
+#: Tasks that add the counts of all tasks.
+SUMS = 8
 
 LINES = "kind int, key binary, n long, buckets binary, counts array<bigint>"
 DOCUMENTS = "uid long, n_words long, across array<int>, lines array<binary>"
@@ -138,7 +140,7 @@ def _line_rows(batches):
 
 
 def _hashed(buckets: int, order: int):
-    """A row (kind 0) for each line with its buckets, and of each task one (kind 1) with the counts of all."""
+    """A row (kind 0) for each line with its buckets, and of each task that has lines one (kind 1) with the counts of all."""
 
     def run(batches):
         import numpy as np
@@ -157,7 +159,8 @@ def _hashed(buckets: int, order: int):
                 data = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
                 none = pa.nulls(len(lines), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), np.int32)), pa.array([key_of(x.encode()) for x in lines.to_pylist()], pa.binary()), pa.array(n), data, none], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names=names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -199,9 +202,23 @@ def parsed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return cut(rows.mapInArrow(_document_rows(buckets, order, keep_text), schema), "resampling-documents")
 
 
+def _added(batches):
+    """The sum of arrays of counts."""
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        for counts in batch.column("counts"):
+            counts = counts.values.to_numpy(zero_copy_only=False)
+            total = counts.copy() if total is None else total + counts
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["counts"])
+
+
 def counted(lines: DataFrame, documents: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Features in each bucket: those of lines, by their occurrences, and those across lines. As many numbers as buckets come to the driver."""
-    inside = lines.where("kind = 1").select(F.posexplode("counts").alias("bucket", "n"))
+    summed = lines.where("kind = 1").select("counts").repartition(SUMS).mapInArrow(_added, "counts array<bigint>")
+    inside = summed.select(F.posexplode("counts").alias("bucket", "n"))
     across = documents.select(F.explode("across").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     out = [0] * buckets
     for r in inside.unionByName(across).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
