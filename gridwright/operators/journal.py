@@ -1,4 +1,8 @@
-"""Rules over cash journals: (j, seq, d, code, label, inC, outC, bal, inU, outU)."""
+"""Rules over cash journals: (j, seq, d, code, label, inC, outC, bal, inU, outU).
+
+Where there is a `path`, it names the workbook, and every rule holds within one: rows, glossaries
+and months of different books never meet.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,16 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, short_hash
-from gridwright.sources.scratch import written
+from gridwright.operators import scans
 
 AMOUNTS = ["inC", "outC", "inU", "outU"]
 
 
+def book(*frames: DataFrame) -> list[str]:
+    """The column that names the workbook, where all frames have it."""
+    return ["path"] if all("path" in f.columns for f in frames) else []
+
+
 def zero_rows(rows: DataFrame) -> DataFrame:
     return rows.where(" and ".join(f"coalesce({a}, 0) = 0" for a in AMOUNTS))
 
@@ -23,25 +32,16 @@ def transfers_as_spend(rows: DataFrame) -> DataFrame:
 
 def unknown_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Codes that the glossary doesn't have, whatever their case: (code, n, out_usd)."""
-    known = codes.select(F.lower("code").alias("k")).distinct()
-    lost = rows.where(F.col("code").isNotNull()).withColumn("k", F.lower("code")).join(known, "k", "left_anti")
-    return lost.groupBy(F.col("k").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outU").cast("decimal(18,2)")).cast("double").alias("out_usd"))
+    own = book(rows, codes)
+    known = codes.select(*own, F.lower("code").alias("k")).distinct()
+    lost = rows.where(F.col("code").isNotNull()).withColumn("k", F.lower("code")).join(known, [*own, "k"], "left_anti")
+    return lost.groupBy(*own, F.col("k").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outU").cast("decimal(18,2)")).cast("double").alias("out_usd"))
 
 
-def _with_previous(rows: DataFrame, columns: list[str], by: str = "j", order: str = "seq") -> DataFrame:
-    """`rows` with `previous`, a struct of the columns of the row before it in its journal.
-
-    A journal may be a third of all rows, so rows are dealt in ranges of it. Within a range the
-    row before is beside its own; a range's first row takes the last one of the range before,
-    from a table with a row for each journal and range.
-    """
-    ranged = written(rows.repartitionByRange(by, order).withColumn("__part", F.spark_partition_id()), "journal-ranges")
-    inside = W.partitionBy(by, "__part").orderBy(order)
-    ends = ranged.groupBy(by, "__part").agg(F.max_by(F.struct(*columns), order).alias("__end"))
-    before = ends.select(by, "__part", F.lag("__end").over(W.partitionBy(by).orderBy("__part")).alias("__before"))
-    beside = ranged.withColumns({"__n": F.row_number().over(inside), "__beside": F.lag(F.struct(*columns)).over(inside)})
-    joined = beside.join(before, [by, "__part"])
-    return joined.withColumn("previous", F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__beside"))).drop("__part", "__n", "__beside", "__before")
+def _with_previous(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`rows` with `previous`, a struct of the columns of the row before it in its journal, which may be a third of all rows."""
+    by = [*book(rows), "j"]
+    return scans.previous(scans.ranged(rows, by, ["seq"], "journal-ranges"), by, ["seq"], F.struct(*columns), "previous").drop(scans.PART)
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:
@@ -59,46 +59,49 @@ def balance_breaks(rows: DataFrame, into: str = "inC", out: str = "outC", balanc
 def duplicates(rows: DataFrame, *parts: Column) -> DataFrame:
     """All but the first of rows with the same content; rows of zeros don't count."""
     hashed = rows.where(~F.expr(" and ".join(f"coalesce({a}, 0) = 0" for a in AMOUNTS))).withColumn("row_hash", short_hash(16, *parts))
-    return hashed.withColumn("k", F.row_number().over(W.partitionBy("row_hash").orderBy("d", "j", "seq"))).where("k > 1").drop("k")
+    return hashed.withColumn("k", F.row_number().over(W.partitionBy(*book(rows), "row_hash").orderBy("d", "j", "seq"))).where("k > 1").drop("k")
 
 
 def glossary(cells: DataFrame) -> DataFrame:
-    """(code, label, section, kind) from (row, label, code) of one sheet: rows without a code head sections; a code's first row counts."""
+    """(code, label, section, kind) from (row, label, code) of a sheet of each book: rows without a code head sections; a code's first row counts."""
+    own = book(cells)
     head = F.when(F.col("code").isNull() | (F.trim("code") == ""), F.col("label"))
-    w = W.orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = cells.withColumn("section", F.last(head, ignorenulls=True).over(w)).where(F.trim("code") != "")
+    rows = scans.carried(scans.ranged(cells, own, ["row"], "glossary"), own, ["row"], head, "section").where("trim(code) <> ''")
     kind = F.lit("other")
     for name, pattern in reversed(V.SECTIONS):
         kind = F.when(F.col("section").rlike(FOLD + pattern), name).otherwise(kind)
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy("row"))).where("k = 1")
-    return first.select("code", "label", "section", kind.alias("kind"))
+    first = rows.groupBy(*own, "code").agg(F.min_by(F.struct("label", "section"), "row").alias("x"))
+    return first.select(*own, "code", "x.label", "x.section").withColumn("kind", kind)
 
 
 def pivot_rate(cells: DataFrame) -> DataFrame:
-    """The first number from 500 to 20 000 in the first six rows, row by row: (row, col, num)."""
-    return cells.where("row < 6 and num between 500 and 20000").agg(F.min_by("num", F.struct("row", "col")).alias("rate"))
+    """The first number from 500 to 20 000 in the first six rows, row by row, of each book: (row, col, num)."""
+    return cells.where("row < 6 and num between 500 and 20000").groupBy(*book(cells)).agg(F.min_by("num", F.struct("row", "col")).alias("rate"))
 
 
 def code_months(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Spend of every code in every month, 0 where there is none, and of UNMAPPED for the codes that aren't known."""
+    own = book(rows, codes)
     dated = rows.withColumn("month", F.date_format("d", "yyyy-MM"))
-    named = dated.join(codes.select("code", F.lit(True).alias("known")), "code", "left").withColumn("code", F.when(F.col("known"), F.col("code")).otherwise(V.UNMAPPED))
-    sums = named.groupBy("code", "month").agg(F.sum(F.col("outU").cast("decimal(18,2)")).cast("double").alias("out_usd"))
-    # codes and months are a glossary's and a calendar's: the grid is as small
-    grid = codes.select("code").distinct().join(dated.select("month").distinct())
-    every = grid.join(sums, ["code", "month"], "left").select("code", "month", F.coalesce("out_usd", F.lit(0.0)).alias("out_usd"))
-    return every.unionByName(sums.where(F.col("code") == V.UNMAPPED).select("code", "month", "out_usd"))
+    named = dated.join(codes.select(*own, "code", F.lit(True).alias("known")).distinct(), [*own, "code"], "left").withColumn("code", F.when(F.col("known"), F.col("code")).otherwise(V.UNMAPPED))
+    sums = named.groupBy(*own, "code", "month").agg(F.sum(F.col("outU").cast("decimal(18,2)")).cast("double").alias("out_usd"))
+    # codes and months are a glossary's and a calendar's: a book's grid is as small
+    known, months = codes.select(*own, "code").distinct(), dated.select(*own, "month").distinct()
+    grid = known.join(months, own) if own else known.join(months)
+    every = grid.join(sums, [*own, "code", "month"], "left").select(*own, "code", "month", F.coalesce("out_usd", F.lit(0.0)).alias("out_usd"))
+    return every.unionByName(sums.where(F.col("code") == V.UNMAPPED).select(*own, "code", "month", "out_usd"))
 
 
 def tie_out(rows: DataFrame, table: DataFrame, most: float = 1.0) -> DataFrame:
-    """Whether the journal's spend is what the table of codes and months holds."""
-    total = lambda df, c: df.agg(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias("t"))
-    a, b = total(rows, "outU"), total(table, "out_usd")
-    return a.select(F.col("t").alias("journal")).join(b.select(F.col("t").alias("aggregated"))).withColumn("ok", F.abs(F.col("journal") - F.col("aggregated")) <= most)
+    """Whether the journal's spend is what the table of codes and months holds, by book."""
+    own = book(rows, table)
+    total = lambda df, c, name: df.groupBy(*own).agg(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(name))
+    a, b = total(rows, "outU", "journal"), total(table, "out_usd", "aggregated")
+    return (a.join(b, own) if own else a.join(b)).withColumn("ok", F.abs(F.col("journal") - F.col("aggregated")) <= most)
 
 
 def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
-    """Rows of the head office's journal that no row of the site's matches, one to one within a month.
+    """Rows of the head office's journal that no row of the site's matches, one to one within a month of a book.
 
     Which row is used up decides what the next can match, so a month is walked in order; months
     are independent tasks.
@@ -106,6 +109,8 @@ def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    own = book(head, site)
+
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Free rows are found by their amounts, sorted once for either currency; of those near enough the first in order is used up."""
         order = ["d", "j", "seq"]
@@ -122,13 +127,13 @@ def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
                 near = near[abs(free[near, k] - x) < most]
                 hit = min(hit, int(near.min(initial=hit)))
             if hit == len(free):
-                lost.append((row.month, row.j, row.seq, row.outU))
+                lost.append((*(getattr(row, c) for c in own), row.month, row.j, row.seq, row.outU))
             else:
                 is_free[hit] = False
-        return pd.DataFrame(lost, columns=["month", "j", "seq", "out_usd"])
+        return pd.DataFrame(lost, columns=[*own, "month", "j", "seq", "out_usd"])
 
-    keyed = lambda df: df.select(F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("d"), "j", "seq", "outC", "outU").groupBy("month")
-    return keyed(head).cogroup(keyed(site)).applyInPandas(walk, "month string, j string, seq long, out_usd double")
+    keyed = lambda df: df.select(*own, F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("d"), "j", "seq", "outC", "outU").groupBy(*own, "month")
+    return keyed(head).cogroup(keyed(site)).applyInPandas(walk, "".join(f"{c} string, " for c in own) + "month string, j string, seq long, out_usd double")
 
 
 # Fixed: the sheets of a workbook of journals, the row of their header, and their columns.
@@ -143,7 +148,7 @@ def matches_contract(cells: DataFrame) -> DataFrame:
 
 
 def parsed(cells: DataFrame) -> DataFrame:
-    """(j, seq, d, month, code, label, inC, outC, inU, outU, balC, balU) from the cells of both journals.
+    """(path, j, seq, d, month, code, label, inC, outC, inU, outU, balC, balU) from the cells of both journals of each book.
 
     The header's names say what a column is; a row counts if its date can be read, and `seq` is
     its place among the rows below the header.
@@ -152,13 +157,15 @@ def parsed(cells: DataFrame) -> DataFrame:
 
     tag = F.when(F.trim("sheet") == SITE_SHEET, "site").when(F.trim("sheet") == HEAD_SHEET, "dgo")
     own = cells.withColumn("j", tag).where("j is not null")
-    names = own.where(F.col("row") == HEADER_ROW).select("j", "col", F.trim("raw").alias("name"))
-    body = own.where(F.col("row") > HEADER_ROW).join(F.broadcast(names), ["j", "col"])
+    by = [*book(cells), "j"]
+    # a header is as wide as a sheet; headers are as many as books
+    names = own.where(F.col("row") == HEADER_ROW).select(*by, "col", F.trim("raw").alias("name"))
+    body = own.where(F.col("row") > HEADER_ROW).join(names, [*by, "col"])
     value = lambda name: F.max(F.when(F.col("name") == name, F.col("raw")))
-    rows = body.groupBy("j", "row").agg(value("Dates").alias("date"), *[value(n).alias(c) for n, c in COLUMNS.items()])
+    rows = body.groupBy(*by, "row").agg(value("Dates").alias("date"), *[value(n).alias(c) for n, c in COLUMNS.items()])
     shaped = {c: journal_text(F.col(c)) if c in ("label", "code") else journal_number(F.col(c)) for c in COLUMNS.values()}
     dated = rows.withColumn("d", coerce_date(F.col("date"))).where("d is not null")
-    return dated.select("j", (F.col("row") - HEADER_ROW - 1).alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("month"), *[v.alias(c) for c, v in shaped.items()])
+    return dated.select(*by, (F.col("row") - HEADER_ROW - 1).alias("seq"), "d", F.date_format("d", "yyyy-MM").alias("month"), *[v.alias(c) for c, v in shaped.items()])
 
 
 def destinations(spend: DataFrame, head_out: DataFrame) -> DataFrame:
@@ -166,20 +173,26 @@ def destinations(spend: DataFrame, head_out: DataFrame) -> DataFrame:
 
     `spend`: kind, usd. `head_out`: usd.
     """
-    kinds = spend.groupBy("kind").agg(F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))
-    every = kinds.unionByName(head_out.agg(F.lit("dgo").alias("kind"), F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))).where("usd <> 0")
+    own = book(spend, head_out)
+    kinds = spend.groupBy(*own, "kind").agg(F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))
+    every = kinds.unionByName(head_out.groupBy(*own).agg(F.lit("dgo").alias("kind"), F.sum(F.col("usd").cast("decimal(18,2)")).alias("usd"))).where("usd <> 0")
     # a row for each kind
-    total = F.sum("usd").over(W.partitionBy(F.lit(0).alias("all")))
+    total = F.sum("usd").over(W.partitionBy(*own, F.lit(0).alias("all")))
     shares = every.withColumn("pct", F.round((100 * F.col("usd") / total).cast("double"), 1))
-    return shares.select("kind", F.col("usd").cast("double").alias("usd"), "pct").orderBy(F.desc("usd"), "kind")
+    return shares.select(*own, "kind", F.col("usd").cast("double").alias("usd"), "pct").orderBy(*own, F.desc("usd"), "kind")
 
 
 def exceptions(found: DataFrame) -> DataFrame:
-    """(n, n_high, at_stake_usd) of findings with `severity` and `usd`."""
-    return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("HIGH", "BLOCKER")).alias("n_high"), F.coalesce(F.sum(F.abs(F.col("usd").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("at_stake_usd"))
+    """(n, n_high, at_stake_usd) of findings with `severity` and `usd`, by book."""
+    return found.groupBy(*book(found)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("HIGH", "BLOCKER")).alias("n_high"), F.coalesce(F.sum(F.abs(F.col("usd").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("at_stake_usd"))
 
 
 def gravest_first(found: DataFrame, most: int = 200) -> DataFrame:
-    """The gravest findings, by severity and then by what is at stake."""
+    """The `most` gravest findings of each book, by severity and then by what is at stake."""
+    own = book(found)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return found.orderBy(F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank), F.desc(F.abs("usd")), "subject").limit(most)
+    order = [F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank), F.desc(F.abs("usd")), F.col("subject")]
+    if not own:
+        return found.orderBy(*order).limit(most)
+    # the limit on the rank goes below the shuffle
+    return found.withColumn("k", F.row_number().over(W.partitionBy(*own).orderBy(*order))).where(F.col("k") <= most).drop("k")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import is_blank, typed
+from gridwright.operators import scans
 from gridwright.sources.scratch import written
 
 
@@ -62,17 +63,18 @@ def inventory(cells: DataFrame) -> DataFrame:
 
 
 def islands(cells: DataFrame, along: str = "col", least: int = 2) -> DataFrame:
-    """(sheet, island, first, last): runs of columns (or rows) that aren't blank, as wide as `least`. The window has a row for each column (or row) of a sheet."""
+    """(sheet, island, first, last): runs of columns (or rows) that aren't blank, as wide as `least`. Columns, rows and islands are placed by ranges, so that a sheet of any length is no one task's."""
     places = cells.select("sheet", F.col(along).cast("long").alias("p")).distinct()
-    grouped = places.withColumn("g", F.col("p") - F.row_number().over(W.partitionBy("sheet").orderBy("p")))
-    runs = grouped.groupBy("sheet", "g").agg(F.min("p").alias("first"), F.max("p").alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
-    return runs.select("sheet", F.row_number().over(W.partitionBy("sheet").orderBy("first")).alias("island"), "first", "last")
+    grouped = scans.placed(scans.ranged(places, ["sheet"], ["p"], "places"), ["sheet"], ["p"], "k")
+    runs = grouped.groupBy("sheet", (F.col("p") - F.col("k")).alias("g")).agg(F.min("p").alias("first"), F.max("p").alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
+    found = scans.placed(scans.ranged(runs.drop("g"), ["sheet"], ["first"], "islands"), ["sheet"], ["first"], "k")
+    return found.select("sheet", (F.col("k") + 1).alias("island"), "first", "last")
 
 
 def filled_down(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """`value` as the last that stood above it, and whether it is a ghost: not there itself."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("filled", F.last(value, ignorenulls=True).over(w)).withColumn("is_ghost", F.col(value).isNull() & F.col("filled").isNotNull())
+    """`value` as the last that stood above it, and whether it is a ghost: not there itself. A column of any length is filled by ranges."""
+    filled = scans.carried(scans.ranged(df, [by], [order], "filled-down"), [by], [order], F.col(value), "filled").drop(scans.PART)
+    return filled.withColumn("is_ghost", F.col(value).isNull() & F.col("filled").isNotNull())
 
 
 def trace(cells: DataFrame, refs: DataFrame) -> DataFrame:

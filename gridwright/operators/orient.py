@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import bare_month, coerce_date, typed, year_value
+from gridwright.operators import scans
 from gridwright.operators.headers import header_blocks, header_names
 from gridwright.operators.layout import islands
 from gridwright.sources.scratch import written
@@ -209,9 +210,9 @@ def tidy_tables(cells: DataFrame, regions: DataFrame) -> DataFrame:
     own = body.select("region", "row", "col", "raw", "kind", "num", "iso")
     # every label column in every row that has a cell
     grid = own.select("region", "row").distinct().join(labels.where("is_label").select("region", "col"), "region")
-    above = W.partitionBy("region", "col").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
     value = F.when(F.col("raw").isNotNull(), F.struct("raw", "kind", "num", "iso"))
-    filled = grid.join(own, ["region", "row", "col"], "left").withColumn("v", F.last(value, ignorenulls=True).over(above)).where("v is not null")
+    parts = scans.ranged(grid.join(own, ["region", "row", "col"], "left"), ["region", "col"], ["row"], "sheet-labels")
+    filled = scans.carried(parts, ["region", "col"], ["row"], value, "v").where("v is not null")
     labelled = filled.select("region", "row", "col", "v.*", F.lit(True).alias("is_label"), F.col("raw").isNull().alias("is_ghost"))
     plain = own.join(labels.where("not is_label"), ["region", "col"]).select("region", "row", "col", "raw", "kind", "num", "iso", "is_label", F.lit(False).alias("is_ghost"))
     return plain.unionByName(labelled).join(names, ["region", "col"]).withColumnRenamed("col", "ord")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, coerce_date, coerce_number, stripped, typed
+from gridwright.operators import quantiles as Q
+from gridwright.sources.scratch import written
 
 
 def long_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,19 +91,24 @@ def constant_columns(cells: DataFrame) -> DataFrame:
 
 
 def numeric_summary(values: DataFrame) -> DataFrame:
-    """Exact statistics of (name, value): the skewness is adjusted for bias."""
+    """Exact statistics of (name, value): the skewness is adjusted for bias. Two passes: one for the moments and the median's bracket, one that counts inside it."""
     n = F.count("value").cast("double")
     skew = F.when((n > 2) & (F.stddev_samp("value") > 0), F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2))
-    return values.groupBy("name").agg(
-        F.count("value").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.round(F.avg("value"), 4).alias("mean_value"),
-        F.round(F.median("value"), 4).alias("median_value"), F.round(F.stddev_samp("value"), 4).alias("std_value"), F.round(skew, 3).alias("skew"),
-    )
+    moments = [
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.round(F.avg("value"), 4).alias("mean_value"),
+        F.round(F.stddev_samp("value"), 4).alias("std_value"), F.round(skew, 3).alias("skew"),
+    ]
+    known = written(Q.brackets(values, ["name"], [0.5], *moments), "numeric-summary")
+    middle = Q.from_brackets(values, known, ["name"], [0.5], ["median_value"])
+    # a row for each column
+    return known.join(middle, "name").select("name", "n", "min_value", "max_value", "mean_value", F.round("median_value", 4).alias("median_value"), "std_value", "skew")
 
 
 def iqr_outliers(values: DataFrame, factor: float = 1.5) -> DataFrame:
     """Values beyond the quartiles by `factor` times their distance. Bounds are a row for each column."""
-    q = values.groupBy("name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("value").alias("n"))
-    bounds = q.select("name", "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"), (F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("iqr")).where("n >= 4 and iqr <> 0")
+    known = written(Q.brackets(values, ["name"], [0.25, 0.75]), "quartile-brackets")
+    quartiles = Q.from_brackets(values, known, ["name"], [0.25, 0.75], ["q1", "q3"]).join(known.select("name", "n"), "name")
+    bounds = written(quartiles.withColumn("iqr", F.col("q3") - F.col("q1")).where("n >= 4 and iqr <> 0"), "quartiles")
     out = values.join(bounds, "name").where((F.col("value") < F.col("q1") - factor * F.col("iqr")) | (F.col("value") > F.col("q3") + factor * F.col("iqr")))
     return bounds.join(out.groupBy("name").agg(F.count(F.lit(1)).alias("found")), "name", "left").select("name", "q1", "q3", F.coalesce("found", F.lit(0)).alias("n_outliers"))
 
@@ -140,10 +147,14 @@ def target_column(names: DataFrame) -> DataFrame:
 
 def categorical_breakdown(df: DataFrame, by: str, value: str, members: int = 20, most: int = 10) -> DataFrame:
     """Mean, median and count of a value by member, the highest means first; nothing if there are more members than `members`."""
-    grouped = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("member")).agg(F.round(F.avg(value), 4).alias("mean_value"), F.round(F.median(value), 4).alias("median_value"), F.count(value).alias("n"))
-    n = W.partitionBy(F.lit(0).alias("all"))
-    small = grouped.limit(members + 1).withColumn("n_members", F.count(F.lit(1)).over(n)).where(F.col("n_members") <= members)
-    return small.orderBy(F.desc("mean_value"), "member").limit(most).drop("n_members")
+    values = df.where(F.col(by).isNotNull()).select(F.col(by).alias("member"), F.col(value).cast("double").alias("value"))
+    # one more than the members that are shown is enough to know
+    few = values.select("member").distinct().limit(members + 1).collect()
+    small = values if len(few) <= members else values.where("false")
+    known = written(Q.brackets(small, ["member"], [0.5], F.round(F.avg("value"), 4).alias("mean_value")), "members")
+    middle = Q.from_brackets(small, known, ["member"], [0.5], ["median_value"])
+    shown = known.join(middle, "member").select("member", "mean_value", F.round("median_value", 4).alias("median_value"), "n")
+    return shown.orderBy(F.desc("mean_value"), "member").limit(most)
 
 
 SEVERITY = {"high": 3, "medium": 2, "low": 1}

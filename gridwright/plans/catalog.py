@@ -668,7 +668,7 @@ def bounding_boxes(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('sheet', 1, 0::BIGINT, 2::BIGINT), ('sheet', 2, 5::BIGINT, 6::BIGINT)) t(sheet, island, first, last)")
 def panels(spark, sf_dir):
-    return layout.islands(_side_by_side(spark, sf_dir))
+    return layout.islands(_side_by_side(spark, sf_dir)).select("sheet", F.col("island").cast("int").alias("island"), "first", "last")
 
 
 @query("""SELECT 'nation' AS sheet, count(*) + 1 AS n_rows, 3 AS n_cols, count(*) + 1 AS filled_rows, 3::BIGINT AS filled_cols, 3 * (count(*) + 1) AS n_cells, 1.0::DOUBLE AS fill, 0::BIGINT AS header_row FROM nation
