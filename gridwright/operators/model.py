@@ -1,7 +1,9 @@
 """A business model from series: which sheet leads, what the others add, and what follows by arithmetic.
 
 Series are (chart, ord, sheet, grain, label, period, value): a chart is one table with an axis of
-periods, `ord` its place among all. Charts are as many as tables on sheets.
+periods, `ord` its place in its book. Where there is a `book`, each has a model of its own, and
+nothing of one fills in for another. Series become a row each, with their points, so that after
+one aggregation all is decided over the few rows of a book, which are shuffled once.
 """
 
 from __future__ import annotations
@@ -18,12 +20,23 @@ from gridwright.operators.orient import cross_tab_facts
 ROLES = [name for name, _ in V.ROLES] + ["volume_secondary"]
 
 
-def series_of(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """The series of all cross-tabs, from `orient`'s regions and cells: the address space that roles are pinned in."""
-    charts = regions.where("orientation = 'matrix'").select("region", "sheet", "axis", F.dense_rank().over(W.orderBy("sheet", "r0", "c0")).alias("ord"))
+def book_of(*frames: DataFrame) -> list[str]:
+    """The column that names the book, where all frames have it."""
+    return ["book"] if all("book" in f.columns for f in frames) else []
+
+
+def series_of(cells: DataFrame, regions: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """The series of all cross-tabs, from `orient`'s regions and cells: the address space that roles are pinned in.
+
+    `books`: sheet, book. Without it all sheets are of one book.
+    """
+    tabs = regions.where("orientation = 'matrix'").select("region", "sheet", "axis", "r0", "c0")
+    tabs = tabs.join(books, "sheet") if books is not None else tabs
+    own = book_of(tabs)
+    charts = tabs.withColumn("ord", F.dense_rank().over(W.partitionBy(*own).orderBy("sheet", "r0", "c0")))
     facts = cross_tab_facts(cells, regions)
     grain = F.when(F.col("axis") == "year", "year").otherwise("month")
-    return facts.join(charts, "region").select(F.col("region").alias("chart"), "ord", "sheet", grain.alias("grain"), "label", "period", "value")
+    return facts.join(charts, "region").select(*own, F.col("region").alias("chart"), "ord", "sheet", grain.alias("grain"), "label", "period", "value")
 
 
 def pool(sheet: Column) -> Column:
@@ -31,73 +44,86 @@ def pool(sheet: Column) -> Column:
     return F.when(sheet.rlike(FOLD + V.PLAN_SHEET), "plan").otherwise("actual")
 
 
-def tagged(series: DataFrame) -> DataFrame:
-    """The series that have a role in their chart."""
-    totals = series.groupBy("chart", "label").agg(F.sum(F.abs(F.col("value").cast("decimal(18,2)"))).cast("double").alias("total"))
-    return series.join(S.tag_roles(totals).select("chart", "label", "role"), ["chart", "label"])
+def lines(series: DataFrame) -> DataFrame:
+    """A row for each series, by book (`b`, '' where there is none), with its points in order and its role in its chart, null where it has none."""
+    b = F.col("book") if book_of(series) else F.lit("")
+    points = F.array_sort(F.collect_list(F.struct("period", "value")))
+    total = F.sum(F.abs(F.col("value").cast("decimal(18,2)"))).cast("double")
+    # from here on a book's rows stay together
+    found = series.groupBy(b.alias("b"), "chart", "ord", "sheet", "label").agg(points.alias("points"), total.alias("total")).repartition("b")
+    return S.with_roles(found, ["b", "chart"])
 
 
-def spine(roles: DataFrame) -> DataFrame:
-    """(chart, ord, n_roles): the chart with the most roles, the first of equals."""
-    counted = roles.groupBy("chart", "ord").agg(F.count_distinct("role").alias("n_roles"))
-    return counted.orderBy(F.desc("n_roles"), "ord").limit(1)
+def led(found: DataFrame) -> DataFrame:
+    """`lines` with the book's leading chart, the one with the most roles, the first of equals; its periods and its roles."""
+    chart, whole = W.partitionBy("b", "chart"), W.partitionBy("b")
+    counted = found.withColumn("n_roles", F.size(F.collect_set("role").over(chart)))
+    named = counted.withColumn("lead", F.min(F.struct((-F.col("n_roles")).alias("n"), "ord", "chart")).over(whole)["chart"]).withColumn("own", F.col("chart") == F.col("lead"))
+    periods = F.transform("points", lambda p: p["period"])
+    return named.withColumns({
+        "axis": F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("own"), periods)).over(whole)))),
+        "own_roles": F.collect_set(F.when(F.col("own"), F.col("role"))).over(whole),
+    })
 
 
-def paired_volumes(own: DataFrame, foreign: DataFrame, least: int = 3) -> DataFrame:
-    """(role, chart, label): the spine's volume and the first other with a label of its own that shares `least` periods.
+def paired(found: DataFrame, least: int = 3) -> DataFrame:
+    """`led` with `pair`: the first other volume with a label of its own that shares `least` periods with the leading chart's, and whether it is the larger over these.
 
-    The larger over what both have goes in and is the volume, the smaller comes out of it.
+    The larger goes in and is the volume, the smaller comes out of it. A leading chart that has both needs no pair.
     """
-    mine = own.where("role = 'volume'").select(F.col("chart").alias("my_chart"), F.col("label").alias("my_label"), "period", F.col("value").alias("mine"))
-    both = foreign.where("role = 'volume'").join(mine, "period").where(F.trim("label") != F.trim("my_label")).where("value is not null and mine is not null")
-    sums = both.groupBy("my_chart", "my_label", "chart", "ord", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("value")).alias("v"), F.sum(F.abs("mine")).alias("m")).where(F.col("n") >= least)
-    first = sums.orderBy("ord").limit(1)
-    larger = F.col("v") > F.col("m")
-    row = lambda role, swap: F.struct(F.lit(role).alias("role"), F.when(swap, F.col("chart")).otherwise(F.col("my_chart")).alias("chart"), F.when(swap, F.col("label")).otherwise(F.col("my_label")).alias("label"))
-    return first.select(F.explode(F.array(row("volume", larger), row("volume_secondary", ~larger))).alias("x")).select("x.*")
+    whole = W.partitionBy("b")
+    volume = F.col("role") == "volume"
+    mine = F.max(F.when(F.col("own") & volume, F.struct("points", "label"))).over(whole)
+    of = lambda points, period: F.array_max(F.transform(F.filter(points, lambda q: q["period"] == period), lambda q: q["value"]))
+    both = F.filter(F.transform("points", lambda p: F.struct(p["value"].alias("v"), of(F.col("mine")["points"], p["period"]).alias("m"))), lambda x: x["v"].isNotNull() & x["m"].isNotNull())
+    total = lambda c: F.aggregate(F.transform("both", lambda x: F.abs(x[c])), F.lit(0.0), lambda a, x: a + x)
+    fits = ~F.col("own") & volume & (F.trim("label") != F.trim(F.col("mine")["label"])) & (F.size("both") >= least) & ~F.array_contains("own_roles", "volume_secondary")
+    shared = found.withColumn("mine", mine).withColumn("both", F.when(volume & ~F.col("own") & F.col("mine").isNotNull(), both))
+    return shared.withColumn("pair", F.min(F.when(fits, F.struct("ord", "chart", "label", (total("v") > total("m")).alias("larger")))).over(whole)).drop("mine", "both")
 
 
 def assembled(series: DataFrame, least: int = 3) -> DataFrame:
-    """(role, sheet, label, period, value) on the spine's periods, from the series of one grain and pool.
+    """(role, sheet, label, period, value) on the leading chart's periods, from the series of one grain and pool; with `book`, of each book.
 
-    Roles that the spine lacks come from the other charts in order, joined by equal periods: from
-    one with the same periods, or with values on `least` of them.
+    Roles that it lacks come from the other charts in order, joined by equal periods: from one
+    with the same periods, or with values on `least` of them. A period that a series lacks is null.
     """
-    roles = tagged(series)
-    lead = spine(roles).select("chart")
-    own = roles.join(F.broadcast(lead), "chart", "left_semi")
-    foreign = roles.join(F.broadcast(lead), "chart", "left_anti")
-    axis = series.join(F.broadcast(lead), "chart", "left_semi").select("period").distinct()
-    sizes = axis.agg(F.count(F.lit(1)).alias("n_axis"))
-    lacking = foreign.join(own.select("role").distinct(), "role", "left_anti").where("role <> 'volume_secondary'")
-    near = lacking.join(axis.withColumn("on_axis", F.lit(True)), "period", "left").groupBy("role", "chart", "ord", "label").agg(F.count(F.lit(1)).alias("n_all"), F.count("on_axis").alias("n_on"), F.count(F.when(F.col("on_axis"), F.col("value"))).alias("n_values"))
-    same = (F.col("n_all") == F.col("n_axis")) & (F.col("n_on") == F.col("n_axis"))
-    fits = near.crossJoin(F.broadcast(sizes)).where(same | (F.col("n_values") >= least))
-    added = fits.withColumn("k", F.row_number().over(W.partitionBy("role").orderBy("ord"))).where("k = 1").select("role", "chart", "label")
-    pairs = paired_volumes(own, foreign, least)
-    alone = own.select("role", "chart", "label").distinct()
-    has_pair = alone.where("role = 'volume_secondary'").select(F.lit(1).alias("one"))
-    paired = pairs.join(F.broadcast(has_pair), F.lit(True), "left_anti")
-    chosen = alone.join(paired, "role", "left_anti").unionByName(paired).unionByName(added)
-    values = series.select("chart", "sheet", "label", "period", "value").join(F.broadcast(chosen), ["chart", "label"])
-    named = values.select("role", "sheet", "label").distinct()
-    # a value or a gap for each role and period of the spine; both are few
-    return named.join(axis).join(values.select("role", "period", "value"), ["role", "period"], "left").select("role", "sheet", "label", "period", "value")
+    found = paired(led(lines(series)), least).where("role is not null")
+    on = F.filter("points", lambda p: F.array_contains("axis", p["period"]))
+    same = (F.size("points") == F.size("axis")) & (F.size(on) == F.size("axis"))
+    lacking = ~F.col("own") & ~F.array_contains("own_roles", F.col("role")) & (F.col("role") != "volume_secondary") & (same | (F.size(F.filter(on, lambda p: p["value"].isNotNull())) >= least))
+    first = F.min(F.when(lacking, F.struct("ord", "chart", "label"))).over(W.partitionBy("b", "role"))
+    other = F.struct("ord", "chart", "label")
+    is_pair = (F.col("pair.chart") == F.col("chart")) & (F.col("pair.label") == F.col("label"))
+    role = (
+        F.when(F.col("own") & (F.col("role") == "volume") & F.coalesce(F.col("pair.larger"), F.lit(False)), "volume_secondary")
+        .when(F.col("own"), F.col("role"))
+        .when(F.coalesce(is_pair, F.lit(False)), F.when(F.col("pair.larger"), "volume").otherwise("volume_secondary"))
+        .when(lacking & (first == other), F.col("role"))
+    )
+    chosen = found.withColumn("chosen", role).where("chosen is not null")
+    at = chosen.select("b", F.col("chosen").alias("role"), "sheet", "label", "points", F.explode("axis").alias("period"))
+    value = F.array_max(F.transform(F.filter("points", lambda p: p["period"] == F.col("period")), lambda p: p["value"]))
+    return at.select(*[F.col("b").alias(c) for c in book_of(series)], "role", "sheet", "label", "period", value.alias("value"))
 
 
 def metrics(roles: DataFrame) -> DataFrame:
-    """A row for each period, a column for each role, and what follows from them."""
-    wide = roles.groupBy("period").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ROLES])
+    """A row for each period (of each book), a column for each role, and what follows from them."""
+    wide = roles.groupBy(*book_of(roles), "period").agg(*[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ROLES])
     return S.derived_metrics(wide)
 
 
 def pinned(series: DataFrame, pins: DataFrame) -> DataFrame:
     """The roles as an analyst pinned them: (role, sheet, label) without an error, instead of the tags."""
-    good = pins.where("error is null").select("role", "sheet", "label")
-    return series.join(F.broadcast(good), ["sheet", "label"]).select("role", "sheet", "label", "period", "value")
+    own = book_of(series, pins)
+    good = pins.where("error is null").select(*own, "role", "sheet", "label")
+    return series.join(good, [*own, "sheet", "label"]).select(*own, "role", "sheet", "label", "period", "value")
 
 
 def breakdowns(items: DataFrame, most: int = 6) -> DataFrame:
-    """The regions whose line items are largest in sum: (region, size, rank)."""
-    size = items.groupBy("region").agg(F.sum(F.abs(F.col("value").cast("decimal(18,2)"))).cast("double").alias("size"))
-    return size.orderBy(F.desc("size"), "region").limit(most).withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "region")))
+    """The regions whose line items are largest in sum: (region, size, rank), of each book."""
+    own = book_of(items)
+    size = items.groupBy(*own, "region").agg(F.sum(F.abs(F.col("value").cast("decimal(18,2)"))).cast("double").alias("size"))
+    rank = F.row_number().over(W.partitionBy(*own).orderBy(F.desc("size"), "region"))
+    few = size if own else size.orderBy(F.desc("size"), "region").limit(most)
+    return few.withColumn("rank", rank).where(F.col("rank") <= most)

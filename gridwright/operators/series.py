@@ -25,16 +25,21 @@ def year_column(values: DataFrame, low: int = 1900, high: int = 2100) -> DataFra
     return ratio.where("share >= 0.9 and n >= 3").agg(F.min_by("name", "ord").alias("year_column"))
 
 
-def tag_roles(series: DataFrame) -> DataFrame:
-    """(chart, label, total) with `role`: of each chart the largest series of a role, derived ones only where alone.
+def with_roles(series: DataFrame, by: list[str]) -> DataFrame:
+    """`series` (by, label, total, …) with `role`: of each chart (`by`) the largest series of a role, derived ones only where alone; null for all others.
 
     The next largest of the volumes is volume_secondary.
     """
-    tagged = series.withColumn("role", role(F.col("label"))).where("role is not null").withColumn("derived", F.col("label").rlike(FOLD + V.DERIVED_SERIES))
-    k = F.row_number().over(W.partitionBy("chart", "role").orderBy("derived", F.desc(F.abs("total")), "label"))
-    ranked = tagged.withColumn("k", k)
-    second = (F.col("k") == 2) & (F.col("role") == "volume") & ~F.col("derived")
-    return ranked.where((F.col("k") == 1) | second).select("chart", "label", "total", F.when(second, "volume_secondary").otherwise(F.col("role")).alias("role"))
+    named = series.withColumns({"__role": role(F.col("label")), "__derived": F.col("label").rlike(FOLD + V.DERIVED_SERIES)})
+    k = F.row_number().over(W.partitionBy(*by, "__role").orderBy("__derived", F.desc(F.abs("total")), "label"))
+    second = (F.col("__k") == 2) & (F.col("__role") == "volume") & ~F.col("__derived")
+    tag = F.when(second, "volume_secondary").when(F.col("__k") == 1, F.col("__role"))
+    return named.withColumn("__k", k).withColumn("role", tag).drop("__role", "__derived", "__k")
+
+
+def tag_roles(series: DataFrame) -> DataFrame:
+    """(chart, label, total, role) of the series that have a role in their chart."""
+    return with_roles(series, ["chart"]).where("role is not null").select("chart", "label", "total", "role")
 
 
 def align(spine: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -85,10 +90,11 @@ def split_share(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.withColumn("a_share", ratio(F.col("a_total"), F.col("a_total") + F.col("b_total"), 100))
 
 
-def plan_vs_actual(actual: DataFrame, plan: DataFrame, least: int = 3) -> DataFrame:
-    """(role, period, actual, plan, pct) for roles with three pairs at least and an attainment from 1 to 10 000 %."""
-    pairs = actual.withColumnRenamed("value", "actual").join(plan.withColumnRenamed("value", "plan"), ["role", "period"]).where("actual is not null and plan is not null")
-    per = W.partitionBy("role")
+def plan_vs_actual(actual: DataFrame, plan: DataFrame, by: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(by, role, period, actual, plan, pct) for roles with three pairs at least and an attainment from 1 to 10 000 %."""
+    by = by or []
+    pairs = actual.withColumnRenamed("value", "actual").join(plan.withColumnRenamed("value", "plan"), [*by, "role", "period"]).where("actual is not null and plan is not null")
+    per = W.partitionBy(*by, "role")
     total = 100 * F.try_divide(F.sum(F.col("actual").cast("decimal(18,2)")).over(per).cast("double"), F.sum(F.col("plan").cast("decimal(18,2)")).over(per).cast("double"))
     return pairs.withColumns({"n": F.count(F.lit(1)).over(per), "total_pct": F.round(total, 4)}).where((F.col("n") >= least) & F.col("total_pct").between(1.0, 10000.0)).withColumn("pct", ratio(F.col("actual"), F.col("plan"), 100)).drop("n")
 

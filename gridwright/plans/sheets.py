@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
 from gridwright.operators import audit, journal, layout, mapping, model, orient, profile, report, series, story
 from gridwright.plans.catalog import AUDITED, AUDITED_SQL, BROKEN_SQL, LEDGER_SQL, YEARLY_SQL, _audited, _ledger, _yearly, query, read
 from gridwright.sources import workbook
+from gridwright.sources.scratch import written
 from gridwright.sources.store import Store
 
 # Sheets built from whole tables, and found again
@@ -127,6 +129,24 @@ def journal_parsed(spark, sf_dir):
     return journal.parsed(_journal_cells(spark, sf_dir)).select("j", "seq", F.col("d").cast("string").alias("d"), "code", "outU", "inU")
 
 
+@query("""WITH e AS (SELECT 'book ' || (user_id % 10) AS path, CASE WHEN user_id % 3 = 0 THEN 'dgo' ELSE 'site' END AS j, event_id, ts::DATE AS d, event_type AS code, round(abs(value), 2) AS outU FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY path, j ORDER BY event_id) - 1 AS seq FROM e), p AS (SELECT *, lag(d) OVER (PARTITION BY path, j ORDER BY seq) AS before FROM s)
+SELECT path, j, count(*) AS n, sum(outU::DECIMAL(18,2))::DOUBLE AS out_usd, max(seq) AS last_seq, count(*) FILTER (d < before) AS n_out_of_order FROM p GROUP BY 1, 2""")
+def journal_books(spark, sf_dir):
+    """Events as the journals of ten workbooks: rows, sums and dates out of order of each."""
+    events = read(spark, sf_dir, "events").withColumn("path", F.concat(F.lit("book "), F.col("user_id") % 10))
+    by = Window.partitionBy("path", "j").orderBy("event_id")
+    placed = events.withColumn("j", F.when(F.col("user_id") % 3 == 0, journal.HEAD_SHEET).otherwise(journal.SITE_SHEET)).withColumn("row", F.row_number().over(by) + journal.HEADER_ROW)
+    raws = [F.date_format("ts", "dd/MM/yyyy"), F.col("event_type"), F.round(F.abs("value"), 2).cast("decimal(18,2)").cast("string")]
+    body = placed.select("path", F.col("j").alias("sheet"), "row", F.posexplode(F.array(*raws)).alias("col", "raw"))
+    names = F.posexplode(F.array(F.lit("Dates"), F.lit("Code Interne"), F.lit("Sorties USD"))).alias("col", "raw")
+    heads = body.select("path", "sheet").distinct().select("path", "sheet", F.lit(journal.HEADER_ROW).alias("row"), names)
+    rows = written(journal.parsed(body.unionByName(heads)), "journals-of-books")
+    late = journal.out_of_order(rows).groupBy("path", "j").agg(F.count(F.lit(1)).alias("n_out_of_order"))
+    sums = rows.groupBy("path", "j").agg(F.count(F.lit(1)).alias("n"), profile.exact_sum(F.col("outU")).alias("out_usd"), F.max("seq").alias("last_seq"))
+    return sums.join(late, ["path", "j"], "left").fillna(0, ["n_out_of_order"])
+
+
 @query("SELECT 'book' AS path, count(DISTINCT user_id % 3 = 0) = 2 AS is_journal FROM events")
 def journal_contract(spark, sf_dir):
     return journal.matches_contract(_journal_cells(spark, sf_dir))
@@ -266,6 +286,18 @@ def model_metrics(spark, sf_dir):
     return model.metrics(roles).select("period", "margin", "margin_pct", "volume_ratio", F.round("net_cash", 4).alias("net_cash"))
 
 
+@query("""WITH y AS (SELECT 'book ' || (l_suppkey % 10) AS book, l_suppkey % 10 AS k, year(l_shipdate)::VARCHAR AS period, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS volume FROM lineitem GROUP BY ALL)
+SELECT book, period, round(revenue - CASE WHEN k % 2 = 0 THEN volume END, 4) AS margin, round(CASE WHEN k % 3 = 0 THEN volume / 4 END / volume, 4) AS volume_ratio FROM y""")
+def model_books(spark, sf_dir):
+    """Ten books of two sheets: costs stand in every second, a second volume in every third, and none lends to another."""
+    k = F.col("l_suppkey") % 10
+    y = read(spark, sf_dir, "lineitem").groupBy(k.alias("k"), F.year("l_shipdate").cast("string").alias("period")).agg(profile.exact_sum(F.col("l_extendedprice")).alias("revenue"), profile.exact_sum(F.col("l_quantity")).alias("volume"))
+    row = lambda ord_, sheet, label, value: F.struct(F.lit(sheet).alias("chart"), F.lit(ord_).alias("ord"), F.lit(sheet).alias("sheet"), F.lit("year").alias("grain"), F.lit(label).alias("label"), value.alias("value"))
+    parts = [row(1, "EXPLOITATION", "Chiffre d'affaires", F.col("revenue")), row(1, "EXPLOITATION", "PRODUCTION FFB", F.col("volume")), row(2, "COUTS", "OPEX", F.when(F.col("k") % 2 == 0, F.col("volume"))), row(2, "COUTS", "PRODUCTION CPO", F.when(F.col("k") % 3 == 0, F.col("volume") / 4))]
+    series_ = y.select(F.concat(F.lit("book "), "k").alias("book"), "period", F.explode(F.array(*parts)).alias("x")).select("book", "period", "x.*").where("value is not null")
+    return model.metrics(model.assembled(series_)).select("book", "period", "margin", "volume_ratio")
+
+
 @query(f"SELECT 'revenue' AS role, 'EXPLOITATION' AS sheet, period, revenue AS value FROM ({MODEL_SQL}) UNION ALL SELECT 'volume', 'INVESTISSEMENT', period, out FROM ({MODEL_SQL})")
 def model_pinned(spark, sf_dir):
     """Roles as pinned: one by label and sheet, one by a label that stands once, one that isn't there."""

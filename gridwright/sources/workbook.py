@@ -146,7 +146,12 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 
 def content_dedupe(files: DataFrame) -> DataFrame:
     """One of the files with equal content, the first by path."""
-    return files.withColumn("sha256", F.sha2("content", 256)).groupBy("sha256").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_copies"))
+    return files.select("path", F.sha2("content", 256).alias("sha256")).groupBy("sha256").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_copies"))
+
+
+def first_copies(files: DataFrame) -> DataFrame:
+    """(path, n_copies): the first by path of files with one `sha256`."""
+    return files.groupBy("sha256").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_copies")).select("path", "n_copies")
 
 
 def merge_engagement(actuals: DataFrame, plans: DataFrame) -> DataFrame:
@@ -215,6 +220,11 @@ def _any_cells(batches):
             yield pd.DataFrame(rows, columns=names).astype({"sheet_ord": "Int32", "row": "Int64", "col": "Int32"})
 
 
+def cells_of(files: DataFrame) -> DataFrame:
+    """Cells of files (path, content), whatever their extension; a row with `error` for one that no reader takes."""
+    return files.select("path", "content").mapInPandas(_any_cells, CELLS)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of every file under a path, whatever its extension; a task for each file, a row with `error` for one that no reader takes."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_any_cells, CELLS)
+    """Cells of every file under a path."""
+    return cells_of(spark.read.format("binaryFile").load(path))
