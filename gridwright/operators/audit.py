@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, close, short_hash
-
+from gridwright.operators import scans
+from gridwright.sources.scratch import written
 
 #: Candidates that one pass over a table counts.
 CANDIDATES = 500
@@ -122,42 +123,73 @@ def row_sum_mismatches(df: DataFrame, key: str, target: str, parts: list[str]) -
 def totals_rows(facts: DataFrame) -> DataFrame:
     """Rows that total the rows above them: (region, rec, base, column, expected, actual).
 
-    `facts`: region, rec, column, num, label. The decision at a row resets the sums of its
-    section, so a region is walked in order: one task for each region of a sheet.
+    `facts`: region, rec, column, num, label. A row is held against the sums of its section, which
+    begins behind the last row of totals, and of all rows above but those of totals; so what is
+    decided at a row changes what the next are held against. All rows are decided at once under a
+    guess of which are totals, and decided again under the outcome until nothing changes: the first
+    row that a round decides wrongly stands behind one that the round before did, so the outcome is
+    that of a walk from the top. The guess is right where labels or sums say so, and then two rounds
+    do. No task holds a region: all sums are `scans` over ranges of rows.
+
+    Rows without a number aren't rows. Equal columns of one row are for the caller to name apart.
     """
-    import re
-
-    import pandas as pd
-
-    label = re.compile(V.TOTAL_LABEL, re.IGNORECASE)
-
-    def near(expected: float, actual: float) -> bool:
-        return abs(expected - actual) <= max(V.TOLERANCE, V.TOLERANCE * abs(actual))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = {"section": {}, "grand": {}}
-        seen = {"section": 0, "grand": 0}
-        found = []
-        for rec, part in rows.sort_values("rec").groupby("rec"):
-            part = part[part.num.notna()]
-            if part.empty:
-                continue
-            values = dict(zip(part.column, part.num.astype(float), strict=True))
-            matched = {b: [c for c, v in values.items() if near(sums[b].get(c, 0.0), v)] for b in sums}
-            base = next((b for b in sums if seen[b] >= 2 and sum(values[c] != 0 for c in matched[b]) >= V.TOTAL_HITS and len(matched[b]) >= V.TOTAL_COVERAGE * len(values)), None)
-            if base is None and label.search(str(part.label.iloc[0] or "")):
-                base = max((b for b in sums if seen[b] >= 1), key=lambda b: len(matched[b]), default=None)
-            if base is None:
-                for b in sums:
-                    seen[b] += 1
-                    for c, v in values.items():
-                        sums[b][c] = sums[b].get(c, 0.0) + v
-                continue
-            found += [(rows.region.iloc[0], int(rec), base, c, sums[base].get(c, 0.0), v) for c, v in values.items()]
-            sums["section"], seen["section"] = {}, 0
-        return pd.DataFrame(found, columns=["region", "rec", "base", "column", "expected", "actual"])
-
-    return facts.select("region", "rec", "column", "num", "label").groupBy("region").applyInPandas(walk, "region string, rec long, base string, column string, expected double, actual double")
+    held = facts.where(F.col("num").isNotNull() & ~F.isnan(F.col("num").cast("double")))
+    label = F.coalesce(F.max(F.coalesce(is_total_label(F.col("label")), F.lit(False))), F.lit(False))
+    values = F.array_sort(F.collect_list(F.struct(F.col("column").alias("c"), F.col("num").cast("double").alias("v"))))
+    rows = scans.ranged(held.groupBy("region", "rec").agg(label.alias("labelled"), values.alias("values")), ["region"], ["rec"], "totals-rows")
+    table = written(scans.placed(rows, ["region"], ["rec"], "place"), "totals-places")
+    totals = written(_likely_totals(table), "totals-guess")
+    while True:
+        decided = written(_decided(table, totals), "totals-decided")
+        found = written(decided.where("base is not null").select("region", "rec").distinct(), "totals-found")
+        if not totals.join(found, ["region", "rec"], "left_anti").head(1) and not found.join(totals, ["region", "rec"], "left_anti").head(1):
+            return decided.where("base is not null").select("region", "rec", "base", "column", F.when(F.col("base") == "section", F.col("section_sum")).otherwise(F.col("grand_sum")).alias("expected"), F.col("v").alias("actual"))
+        totals = found
+
+
+def _cents(c: Column) -> Column:
+    return c.cast("decimal(28,6)")
+
+
+def _likely_totals(table: DataFrame) -> DataFrame:
+    """(region, rec) of rows whose label says so, and of those whose values are what the rows since some earlier row add up to.
+
+    With running sums over all rows, totals included, the latter is an equality of two of them: up to
+    the earlier row, and up to this one less its value.
+    """
+    long = table.select("region", "rec", "place", scans.PART, F.explode("values").alias("x")).select("region", "rec", "place", scans.PART, F.col("x.c").alias("column"), F.col("x.v").alias("v"))
+    upto = scans.running(long, ["region", "column"], ["rec"], _cents(F.col("v")), "before")
+    cents = lambda c: F.round(c, 2).cast("decimal(28,2)")
+    ends = upto.groupBy("region", "column", cents(F.col("before") + _cents(F.col("v"))).alias("at")).agg(F.min("place").alias("from"))
+    asked = upto.withColumn("at", cents(F.col("before") - _cents(F.col("v")))).where("v <> 0")
+    hits = asked.join(ends, ["region", "column", "at"], "left").where((F.col("from") < F.col("place") - 1) | (F.col("at") == 0) & (F.col("place") > 1))
+    by_sum = hits.groupBy("region", "rec").agg(F.count(F.lit(1)).alias("n")).join(table.select("region", "rec", F.size("values").alias("size")), ["region", "rec"]).where((F.col("n") >= V.TOTAL_HITS) & (F.col("n") >= V.TOTAL_COVERAGE * F.col("size")))
+    return table.where("labelled").select("region", "rec").unionByName(by_sum.select("region", "rec")).distinct()
+
+
+def _decided(table: DataFrame, totals: DataFrame) -> DataFrame:
+    """A row for each value, with the sums that it is held against if `totals` are the rows of totals, and the base of its row; null where that is none."""
+    flagged = table.join(totals.withColumn("total", F.lit(True)), ["region", "rec"], "left").withColumn("total", F.coalesce("total", F.lit(False)))
+    last = scans.carried(flagged, ["region"], ["rec"], F.when(F.col("total"), F.col("place")), "last", above=True).withColumn("last", F.coalesce("last", F.lit(-1)))
+    counted = scans.running(last, ["region"], ["rec"], (~F.col("total")).cast("long"), "grand_rows").withColumn("section_rows", F.col("place") - F.col("last") - 1)
+    # a row of totals ends its section, so its own values add to nothing that follows in it
+    own = ["region", "rec", "total", "labelled", "last", "grand_rows", "section_rows", scans.PART]
+    long = counted.select(*own, F.explode("values").alias("x")).select(*own, F.col("x.c").alias("column"), F.col("x.v").alias("v"))
+    summed = scans.running(long, ["region", "column", "last"], ["rec"], _cents(F.col("v")), "section_sum")
+    summed = scans.running(summed, ["region", "column"], ["rec"], _cents(F.when(~F.col("total"), F.col("v"))), "grand_sum")
+    summed = summed.withColumns({c: F.col(c).cast("double") for c in ("section_sum", "grand_sum")})
+    row = W.partitionBy("region", "rec")
+    n = F.count(F.lit(1)).over(row)
+    agree = {b: close(F.col(f"{b}_sum"), F.col("v")) for b in ("section", "grand")}
+    matched = {b: F.count_if(hit).over(row) for b, hit in agree.items()}
+    real = {b: F.count_if(hit & (F.col("v") != 0)).over(row) for b, hit in agree.items()}
+    by_value = lambda b: (F.col(f"{b}_rows") >= 2) & (real[b] >= V.TOTAL_HITS) & (matched[b] >= V.TOTAL_COVERAGE * n)
+    by_label = lambda b: F.col("labelled") & (F.col(f"{b}_rows") >= 1)
+    base = (
+        F.when(by_value("section"), "section").when(by_value("grand"), "grand")
+        .when(by_label("section") & (matched["section"] >= matched["grand"]), "section").when(by_label("grand"), "grand")
+    )
+    return summed.select("region", "rec", "column", "v", "section_sum", "grand_sum", base.alias("base"))
 
 
 def column_sum_check(totals: DataFrame) -> DataFrame:

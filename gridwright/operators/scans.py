@@ -38,13 +38,13 @@ def _with_before(rows: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(ends.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(PART).alias("__of"), "__before"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(PART) == F.col("__of")], "left").drop("__of", *[f"__{c}" for c in by])
 
 
-def carried(parts: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """`parts` (of `ranged`) with `name`: the last `value` that isn't null, of this row or of those above it."""
+def carried(parts: DataFrame, by: list[str], order: list[str], value: Column, name: str, above: bool = False) -> DataFrame:
+    """`parts` (of `ranged`) with `name`: the last `value` that isn't null, of this row or of those above it, or only of these (`above`)."""
     last = F.struct(*order)
     marked = parts.withColumn("__value", value)
     ends = marked.groupBy(*by, PART).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), last)).alias("__end"))
     before = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(_above(by)))
-    own = F.last("__value", ignorenulls=True).over(_inside(by, order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = F.last("__value", ignorenulls=True).over(_inside(by, order).rowsBetween(W.unboundedPreceding, -1 if above else W.currentRow))
     return _with_before(marked.withColumn("__own", own), before, by).withColumn(name, F.coalesce("__own", "__before")).drop("__own", "__before", "__value")
 
 

@@ -1,6 +1,8 @@
 """Operators on small sheets with known answers."""
 
 import io
+import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -88,6 +90,60 @@ def test_totals_rows(spark):
     assert status == {2: "ok", 5: "ok", 6: "mismatch"}
 
 
+def walked(table, label):
+    """The plain walk: (rec, base, column, expected) of the rows of totals of one region."""
+    near = lambda e, a: abs(e - a) <= max(0.01, 0.01 * abs(a))
+    sums, seen, out = {"section": {}, "grand": {}}, {"section": 0, "grand": 0}, []
+    for rec, (name, values) in enumerate(table):
+        values = {c: v for c, v in values.items() if v is not None}
+        if not values:
+            continue
+        hits = {b: [c for c, v in values.items() if near(sums[b].get(c, 0.0), v)] for b in sums}
+        base = next((b for b in sums if seen[b] >= 2 and sum(values[c] != 0 for c in hits[b]) >= 2 and len(hits[b]) >= 0.6 * len(values)), None)
+        if base is None and label(name):
+            base = max((b for b in sums if seen[b] >= 1), key=lambda b: len(hits[b]), default=None)
+        if base is None:
+            for b in sums:
+                seen[b] += 1
+                for c, v in values.items():
+                    sums[b][c] = sums[b].get(c, 0.0) + v
+        else:
+            out += [(rec, base, c, round(sums[base].get(c, 0.0), 4)) for c in values]
+            sums["section"], seen["section"] = {}, 0
+    return out
+
+
+def test_totals_rows_against_a_walk(spark):
+    """Sheets with and without labels, wrong totals, gaps, totals of totals: the rows of a walk from the top, from ranges of any size."""
+    rng = random.Random(11)
+    sheets = {}
+    for k in range(12):
+        table, section, grand = [], [0.0] * 3, [0.0] * 3
+        for _ in range(rng.randint(5, 120)):
+            if section[0] and rng.random() < 0.2:
+                wrong = 2 if rng.random() < 0.15 else 1
+                values = {c: round(v * wrong, 2) for c, v in zip("xyz", grand if rng.random() < 0.2 else section, strict=True)}
+                table.append(("Total" if k % 3 == 0 and rng.random() < 0.8 else "row", values))
+                section = [0.0] * 3
+            else:
+                values = {c: round(rng.uniform(-3, 90), 2) if rng.random() < 0.9 else rng.choice([None, 0.0]) for c in "xyz"}
+                table.append((rng.choice(["row", "subtotal of sums", "Somme"]) if k % 4 == 1 else "row", values))
+                section = [a + (values[c] or 0) for a, c in zip(section, "xyz", strict=True)]
+                grand = [a + (values[c] or 0) for a, c in zip(grand, "xyz", strict=True)]
+        sheets[f"s{k}"] = table
+    facts = [(s, i, c, v, name) for s, table in sheets.items() for i, (name, values) in enumerate(table) for c, v in values.items()]
+    frame = spark.createDataFrame(facts, "region string, rec long, column string, num double, label string")
+    label = lambda name: re.search(r"\b(total|totaux|totales?|somme|cumul|sum)\b", name, re.IGNORECASE)
+    want = sorted((s, *x) for s, table in sheets.items() for x in walked(table, label))
+    assert len(want) > 100
+    for apart in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", apart)
+        got = audit.totals_rows(frame).collect()
+        assert sorted((r.region, r.rec, r.base, r.column, round(r.expected, 4)) for r in got) == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert audit.totals_rows(frame.where("false")).count() == 0
+
+
 def test_cross_examination(spark):
     broken = spark.createDataFrame([("p", "amount", 1), ("p", "amount", 2), ("s", "total", 2), ("p", "amount", 3)], "relation string, column string, row_key int")
     confirmed = spark.createDataFrame([("q", "amount", 3), ("p", "amount", 1)], "relation string, column string, row_key int")
