@@ -15,6 +15,7 @@ from gridwright.functions import cells as C
 from gridwright.functions import vocabulary as V
 from gridwright.operators import audit, journal, layout, orient, profile, report, series, story
 from gridwright.sources import workbook
+from gridwright.sources.scratch import written
 from gridwright.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,12 +237,13 @@ UNION ALL SELECT 'driver', driver, CASE WHEN abs(r) >= 0.7 THEN 'high' ELSE 'med
 UNION ALL (SELECT 'category', member, 'medium', 50.0 FROM seg ORDER BY round(m, 4) DESC, member LIMIT 1)""")
 def insights_ranked(spark, sf_dir):
     docs, labels, events = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), read(spark, sf_dir, "events")
-    missing = profile.missingness(profile.long_text(docs.join(labels, "doc_id", "left"), ["quality"])).select("name", F.lit(1000).alias("n_rows"), F.col("pct_missing").alias("pct"))
+    missing = profile.missingness(profile.long_text(docs.join(labels, "doc_id", "left"), ["quality"])).join(docs.agg(F.count(F.lit(1)).alias("n_rows"))).select("name", "n_rows", F.col("pct_missing").alias("pct"))
     twice = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("n_rows"), F.sum(F.col("k") - 1).alias("n"))
     values = profile.long_numbers(events, ["value"])
     shapes = profile.numeric_summary(values).select("name", "n", "skew").join(profile.iqr_outliers(values).select("name", "n_outliers"), "name")
     joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    split = profile.categorical_breakdown(joined, "c_mktsegment", "o_totalprice").select("member", F.lit(1000).alias("n_rows"), "n", "mean_value")
+    n_rows = read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_rows"))
+    split = profile.categorical_breakdown(joined, "c_mktsegment", "o_totalprice").join(n_rows).select("member", "n_rows", "n", "mean_value")
     return profile.insights(missing, twice, shapes, top_drivers(spark, sf_dir), split)
 
 
@@ -272,7 +274,7 @@ UNION ALL SELECT row_key, 'duty', 'amount', 'rate', amount * rate, duty, duty -
 
 @query(f"SELECT row_key, target, a, b, round(expected, 4) AS expected, actual, round(delta, 4) AS delta FROM ({BROKEN_SQL})")
 def product_audit(spark, sf_dir):
-    rows = _audited(spark, sf_dir)
+    rows = written(_audited(spark, sf_dir), "audited")
     bad = audit.product_mismatches(rows, "row_key", AUDITED, audit.products(rows, AUDITED))
     return bad.withColumns({"expected": F.round("expected", 4), "delta": F.round("delta", 4)})
 
@@ -282,7 +284,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY abs(round
 SELECT relation, n AS n_checked, n - count(*) AS n_matched, count(*) AS n_mismatched, round(sum(abs(delta::DECIMAL(18,4)))::DOUBLE, 2) AS delta_total, string_agg(row_key, ',' ORDER BY row_key) FILTER (k <= 10) AS listed, 'mismatch' AS status, 'high' AS confidence
 FROM ranked, n GROUP BY relation, n""")
 def product_findings(spark, sf_dir):
-    rows = _audited(spark, sf_dir)
+    rows = written(_audited(spark, sf_dir), "audited")
     found = audit.products(rows, AUDITED)
     named = F.concat(F.col("target"), F.lit("="), F.col("a"), F.lit("*"), F.col("b"))
     bad = audit.product_mismatches(rows, "row_key", AUDITED, found).withColumn("relation", named).withColumn("delta", F.round("delta", 4))
@@ -371,7 +373,7 @@ SELECT relation, col AS "column", row_key, n_breaking, n_breaking < 2 AND NOT (r
 FROM (SELECT *, count(*) OVER (PARTITION BY row_key) AS n_breaking FROM b)""")
 def cross_examine(spark, sf_dir):
     """Rows that break a product, or were copied wrongly; an amount that the duty agrees with is not suggested."""
-    rows = _audited(spark, sf_dir)
+    rows = written(_audited(spark, sf_dir), "audited")
     found = audit.products(rows, AUDITED)
     named = F.concat(F.col("target"), F.lit("="), F.col("a"), F.lit("*"), F.col("b")).alias("relation")
     broken = audit.product_mismatches(rows, "row_key", AUDITED, found).select(named, F.col("target").alias("column"), "row_key")

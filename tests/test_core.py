@@ -298,3 +298,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_products_of_a_wide_table(spark, monkeypatch):
+    """More candidates than a pass counts, of which the two products are left."""
+    rng = random.Random(7)
+    names = [f"c{i}" for i in range(9)]
+    rows = []
+    for i in range(400):
+        row = {c: round(rng.uniform(1.5, 9), 3) for c in names}
+        row["c3"] = round(row["c0"] * row["c1"], 6) if i % 9 else 1.0
+        row["c7"] = round(row["c4"] * row["c6"], 6)
+        rows.append(tuple(row[c] for c in names))
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    monkeypatch.setattr(audit, "CANDIDATES", 90)
+    found = {(r.target, r.a, r.b): (r.n_checked, r.n_matched) for r in audit.products(table, names).collect()}
+    assert found == {("c3", "c0", "c1"): (400, 355), ("c7", "c4", "c6"): (400, 400)}
+    assert audit.products_left_out([f"c{i}" for i in range(32)]) == ["c30", "c31"]
