@@ -7,8 +7,9 @@ of its words inside repeated three-word windows).
 
 Defined cases. Null text counts as empty: no words, base rules failed, rejected, cleaned text
 null. Lines without a word are neither judged nor counted, and stay. Repeated rows are judged
-one by one. Other columns are carried through; the columns added here replace any of the same
-name. An empty table gives an empty table.
+one by one. A long text is one row, judged whole; equal texts tie, as nothing but the text counts.
+Other columns are carried through with their values, whatever their names; the columns added here
+replace any of the same name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     equal hash, which are few, are then sorted by their words, so the count is exact.
     """
     nothing = F.array().cast("array<string>")
-    base = docs.drop(*ADDED).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    users = [c for c in docs.columns if c not in ADDED]
+    base = packed(docs.select(*[F.col(f"`{c}`") for c in users]), keep=[text]).withColumn("__t", F.coalesce("c0", F.lit("")))
     split = base.withColumns({
         "__w": F.array_remove(F.split("__t", WHITE, -1), ""),
         "__n": F.split("__t", "\n", -1),
@@ -128,12 +130,13 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     })
     results = [F.col(c) for c in ADDED[:-2]] + [
         (~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept"),
-        F.when(F.col(text).isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")).alias("cleaned"),
+        F.when(F.col("c0").isNotNull(), F.array_join(F.coalesce("__k", nothing), "\n")).alias("cleaned"),
     ]
     # an array of one struct, exploded, gives each row once: a filter on the verdict stays above it, instead of being
     # pushed below, where each mention of a column is replaced by all that it is made of
-    rows = judged.select(*[F.col(f"`{c}`") for c in base.columns if c != "__t"], F.explode(F.array(F.struct(*results))).alias("__x"))
-    return rows.select(*[F.col(f"`{c}`") for c in base.columns if c != "__t"], "__x.*")
+    rows = judged.select("c0", "rest", F.explode(F.array(F.struct(*results))).alias("x"))
+    others = [c for c in users if c != text]
+    return rows.select(*[(F.col("c0") if c == text else F.col(f"rest.r{others.index(c)}")).alias(c) for c in users], "x.*")
 
 
 def cleaned_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **settings) -> DataFrame:

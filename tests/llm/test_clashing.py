@@ -78,3 +78,17 @@ def test_hot_keys_join_where_they_are(spark):
     assert hot_keys(rows, "k") == [7]
     got = join_to_one(rows, one, "k")
     assert got.columns == ["k", "id", "twice"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(one, "k").collect()))
+
+
+def test_added_columns_leave_users_columns_alone(spark):
+    """Names that operators use for themselves on their way."""
+    from gridwright.llm.license_scan import scanned
+    from gridwright.llm.quality_rules import quality_rules
+    from gridwright.llm.resampling import drawn
+
+    inner = ["__t", "__w", "__n", "__k", "x", "w", "i", "at", "h", "c0", "rest", "part", "line", "uid", "weight", "score_", "template", "a.b"]
+    text = " ".join(f"w{i}" for i in range(60)) + "."
+    docs = spark.createDataFrame([(i, text, *(f"{n} of {i}" for n in inner)) for i in range(4)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in inner))
+    for out in (quality_rules(docs), scanned(docs), drawn(docs, docs.select("text"), share=100)):
+        rows = out.collect()
+        assert len(rows) == 4 and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in inner) and all(r.text == text for r in rows)
