@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, short_hash
 from gridwright.operators import scans
+from gridwright.sources.scratch import written
 
 AMOUNTS = ["inC", "outC", "inU", "outU"]
 
@@ -100,40 +101,98 @@ def tie_out(rows: DataFrame, table: DataFrame, most: float = 1.0) -> DataFrame:
     return (a.join(b, own) if own else a.join(b)).withColumn("ok", F.abs(F.col("journal") - F.col("aggregated")) <= most)
 
 
-def orphans(head: DataFrame, site: DataFrame, rate: float) -> DataFrame:
+#: Rows of the site's journal for which there is a band of amounts, about.
+BAND_ROWS = 20_000
+
+
+def orphans(head: DataFrame, site: DataFrame, rate: float, band_rows: int = BAND_ROWS) -> DataFrame:
     """Rows of the head office's journal that no row of the site's matches, one to one within a month of a book.
 
-    Which row is used up decides what the next can match, so a month is walked in order; months
-    are independent tasks.
+    In order of date, journal and place each row takes the first free row that is near enough in
+    either currency, so that which row is used up decides what the next can match. But only rows
+    of near amounts compete: each month is cut into bands of amounts, a band holds the site's rows
+    that any of its own can match, and is walked by itself. A row of the site that stands in two
+    bands may be taken in both; then the earlier of the two keeps it, all bands are told, and those
+    that it concerns are walked again, until nothing changes. The first row that is decided wrongly
+    stands behind one that was so a round before, so the outcome is that of a walk of the whole.
+
+    A band is a task's; its width follows from the counts of amounts, so that it has `band_rows`
+    rows or so, but rows of one amount are never parted.
     """
+    own = book(head, site)
+    keys = [*own, "month"]
+    month = F.date_format("d", "yyyy-MM").alias("month")
+    place = F.struct(F.col("d").cast("string").alias("d"), "j", "seq")
+    reach = max(V.MATCH_USD, V.MATCH_CDF / rate)
+    left = written(head.where(F.coalesce("outU", F.lit(0.0)) > 0).select(*own, month, place.alias("place"), F.col("outU").cast("double").alias("usd")), "orphans-head")
+    right = written(site.select(*own, month, place.alias("place"), F.coalesce(F.col("outU").cast("double"), F.lit(0.0)).alias("usd"), F.coalesce(F.col("outC").cast("double"), F.lit(0.0)).alias("cdf")), "orphans-site")
+
+    # cells of amounts as wide as what may match, numbered into bands by running counts
+    cell = lambda c: F.floor(c / F.lit(2 * reach))
+    counts = right.groupBy(*keys, cell(F.col("usd")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).unionByName(left.groupBy(*keys, cell(F.col("usd")).alias("cell")).agg(F.lit(0).cast("long").alias("n")))
+    sums = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    before = scans.running(scans.ranged(sums, keys, ["cell"], "orphans-cells"), keys, ["cell"], F.col("n"), "before")
+    bands = written(before.select(*keys, "cell", F.floor(F.col("before") / band_rows).alias("band")), "orphans-bands")
+    banded = left.withColumn("cell", cell(F.col("usd"))).join(bands, [*keys, "cell"]).drop("cell")
+    # a row of the site goes to the bands of all cells that its amounts reach
+    reached = F.array_distinct(F.flatten(F.array(*[F.array(*[cell(x + d * F.lit(reach)) for d in (-1, 0, 1)]) for x in (F.col("usd"), F.col("cdf") / rate)])))
+    met = right.withColumn("cell", F.explode(reached)).join(bands, [*keys, "cell"]).drop("cell").distinct()
+    rows = written(banded.select(*keys, "band", F.lit(True).alias("is_left"), "place", "usd", F.lit(0.0).alias("cdf")).unionByName(met.select(*keys, "band", F.lit(False).alias("is_left"), "place", "usd", "cdf")), "orphans-rows")
+    shared = written(met.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "orphans-shared")
+
+    schema = ", ".join(f"{c} string" for c in keys) + ", band long, place struct<d:string,j:string,seq:bigint>, taken struct<d:string,j:string,seq:bigint>, usd double"
+    claims = written(head.sparkSession.createDataFrame([], schema), "orphans-claims")
+    while True:
+        told = claims.select(*keys, F.col("band").alias("of"), F.col("taken").alias("place"), F.col("place").alias("by"))
+        # what a row of the site is to its bands: who else takes it first
+        outside = shared.join(told, [*keys, "place"]).withColumnRenamed("of", "other").join(rows.where("not is_left").select(*keys, "band", "place"), [*keys, "place"]).where("band <> other").groupBy(*keys, "band", "place").agg(F.min("by").alias("by"))
+        outside = outside.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, "band")], "place", "by")
+        walked = written(rows.groupBy(*keys, "band").cogroup(outside.groupBy(*[f"of_{c}" for c in (*keys, "band")])).applyInPandas(_walker(keys, rate), schema), "orphans-walked")
+        now = written(walked.where("taken is not null").join(shared.withColumnRenamed("place", "taken"), [*keys, "taken"], "left_semi").select(*walked.columns), "orphans-claims")
+        if not now.exceptAll(claims).head(1) and not claims.exceptAll(now).head(1):
+            return walked.where("taken is null").select(*keys, F.col("place.j").alias("j"), F.col("place.seq").alias("seq"), F.col("usd").alias("out_usd"))
+        claims = now
+
+
+def _walker(keys: list[str], rate: float):
+    """The walk of a band: free rows are found by their amounts, sorted once for either currency."""
     import numpy as np
     import pandas as pd
 
-    own = book(head, site)
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Free rows are found by their amounts, sorted once for either currency; of those near enough the first in order is used up."""
-        order = ["d", "j", "seq"]
-        free = right.sort_values(order)[["outU", "outC"]].fillna(0.0).to_numpy(float)
-        is_free = np.ones(len(free), bool)
-        sorted_ = [(np.argsort(free[:, k], kind="stable"), np.sort(free[:, k])) for k in (0, 1)]
-        lost = []
-        for row in left[left.outU.fillna(0) > 0].sort_values(order).itertuples(index=False):
-            hit = len(free)
-            for k, x, most in ((0, row.outU, V.MATCH_USD), (1, row.outU * rate, V.MATCH_CDF)):
-                places, amounts = sorted_[k]
-                near = places[np.searchsorted(amounts, x - most) : np.searchsorted(amounts, x + most, side="right")]
-                near = near[is_free[near]]
-                near = near[abs(free[near, k] - x) < most]
-                hit = min(hit, int(near.min(initial=hit)))
-            if hit == len(free):
-                lost.append((*(getattr(row, c) for c in own), row.month, row.j, row.seq, row.outU))
-            else:
-                is_free[hit] = False
-        return pd.DataFrame(lost, columns=[*own, "month", "j", "seq", "out_usd"])
-
-    keyed = lambda df: df.select(*own, F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("d"), "j", "seq", "outC", "outU").groupBy(*own, "month")
-    return keyed(head).cogroup(keyed(site)).applyInPandas(walk, "".join(f"{c} string, " for c in own) + "month string, j string, seq long, out_usd double")
+    def walk(rows: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+        of = lambda p: (p["d"], p["j"], p["seq"])
+        names = [*keys, "band", "place", "taken", "usd"]
+        left = rows[rows.is_left]
+        left = left.iloc[sorted(range(len(left)), key=lambda i: of(left.place.iloc[i]))] if len(left) else left
+        right = rows[~rows.is_left]
+        right = right.iloc[sorted(range(len(right)), key=lambda i: of(right.place.iloc[i]))] if len(right) else right
+        if not len(left):
+            return pd.DataFrame([], columns=names)
+        amounts = right[["usd", "cdf"]].to_numpy(float).reshape(-1, 2)
+        sorted_ = [(np.argsort(amounts[:, k], kind="stable"), np.sort(amounts[:, k])) for k in (0, 1)]
+        free = np.ones(len(right), bool)
+        taken_by = {of(p): of(by) for p, by in zip(outside.place, outside.by, strict=True)}
+        others = [taken_by.get(of(p)) for p in right.place]
+        claimed = np.array([x is not None for x in others], bool)
+        out = []
+        for place, usd in zip(left.place, left.usd, strict=True):
+            near = []
+            for k, x, most in ((0, usd, V.MATCH_USD), (1, usd * rate, V.MATCH_CDF)):
+                places, held = sorted_[k]
+                some = places[np.searchsorted(held, x - most) : np.searchsorted(held, x + most, side="right")]
+                some = some[free[some]]
+                near.append(some[abs(amounts[some, k] - x) < most])
+            hit = None
+            for i in np.unique(np.concatenate(near)):
+                if not claimed[i] or others[i] > of(place):
+                    hit = int(i)
+                    break
+            if hit is not None:
+                free[hit] = False
+            out.append((*(rows[c].iloc[0] for c in [*keys, "band"]), place, None if hit is None else right.place.iloc[hit], usd))
+        return pd.DataFrame(out, columns=names)
+
+    return walk
 
 
 # Fixed: the sheets of a workbook of journals, the row of their header, and their columns.
