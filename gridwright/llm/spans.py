@@ -42,8 +42,8 @@ from gridwright.llm.common import gather, partitions, text_bytes
 
 #: Bytes of text of a pack, about. A pack sends a blob to each bucket at most: raise it with the executors' memory.
 PACK_BYTES = 6 << 20
-#: Bytes of text for which there is a bucket, about, however many partitions there are.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text for which there is a bucket, about, however many partitions there are: a window takes a hundred times its byte while it is matched.
+BUCKET_BYTES = 1 << 20
 #: Segments of one anchor, in all packs, from which on it is heavy.
 HEAVY = 1 << 15
 FACTOR = 0x5851F42D4C957F2D
