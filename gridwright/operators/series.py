@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import vocabulary as V
 from gridwright.functions.cells import FOLD, identity_tokens, role
+from gridwright.sources.scratch import written
 
 
 def top_series(facts: DataFrame, most: int = 5) -> DataFrame:
@@ -115,11 +116,29 @@ def plan_progress(actual: DataFrame, plan_year: DataFrame, plan_months: DataFram
 
 
 def match_plan(actual: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan series whose label shares the most identity words with an actual series; a tie matches nothing."""
-    pairs = actual.select(F.col("label").alias("actual")).join(F.broadcast(plan.select(F.col("label").alias("plan"))))
-    shared = pairs.withColumn("n", F.size(F.array_intersect(identity_tokens(F.col("actual")), identity_tokens(F.col("plan"))))).where("n > 0")
-    per = W.partitionBy("actual")
-    return shared.withColumn("most", F.max("n").over(per)).where("n = most").withColumn("ties", F.count(F.lit(1)).over(per)).where("ties = 1").select("actual", "plan", "n")
+    """(actual, plan, n): the plan series whose label shares the most identity words with an actual series; a tie matches nothing.
+
+    Words of plan labels are an index. A label's rarest known word leads to its first candidates,
+    and the most words that one of these shares says how many of the next rarer words another
+    must be looked for by, to share as many: so frequent words lead nowhere, and none is missed.
+    """
+    named = plan.groupBy(F.col("label").alias("plan")).agg(F.count(F.lit(1)).alias("copies")).withColumn("words", identity_tokens(F.col("plan")))
+    index = written(named.select("plan", "copies", "words", F.explode("words").alias("word")), "plan-words")
+    frequent = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    asked = actual.select(F.col("label").alias("actual")).distinct().withColumn("own", identity_tokens(F.col("actual")))
+    known = asked.select("actual", "own", F.explode("own").alias("word")).join(frequent, "word").groupBy("actual", "own").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    known = written(known.withColumn("ranked", F.transform("ranked", lambda x: x["word"])), "actual-words")
+
+    def met(rows: DataFrame, words: Column) -> DataFrame:
+        return rows.select("actual", "own", F.explode(words).alias("word")).join(index, "word").select("actual", "plan", "copies", F.size(F.array_intersect("own", "words")).alias("n")).distinct()
+
+    first = written(met(known, F.slice("ranked", 1, 1)), "plan-candidates")
+    least = first.groupBy("actual").agg(F.max("n").alias("n"))
+    more = met(known.join(least, "actual"), F.slice("ranked", F.lit(2), F.greatest(F.size("ranked") - F.col("n"), F.lit(0))))
+    every = first.unionByName(more).distinct()
+    most = every.groupBy("actual").agg(F.max("n").alias("most"))
+    best = every.join(most, "actual").where("n = most").groupBy("actual", "n").agg(F.sum("copies").alias("ties"), F.min("plan").alias("plan"))
+    return best.where("ties = 1").select("actual", "plan", "n")
 
 
 def worst_delta(df: DataFrame, a: Column, b: Column) -> DataFrame:

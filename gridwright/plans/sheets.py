@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
 from gridwright.operators import audit, journal, layout, mapping, model, orient, profile, report, series, story
 from gridwright.plans.catalog import AUDITED, AUDITED_SQL, BROKEN_SQL, LEDGER_SQL, YEARLY_SQL, _audited, _ledger, _yearly, query, read
-from gridwright.sources import workbook
-from gridwright.sources.scratch import written
+from gridwright.sources import reports, workbook
+from gridwright.sources.scratch import folder, written
 from gridwright.sources.store import Store
 
 # Sheets built from whole tables, and found again
@@ -314,6 +316,34 @@ def plan_pairs(spark, sf_dir):
     return series.match_plan(label(F.concat("r_name", F.lit(" SALES")), "PRODUCTION CPO"), label(F.concat(F.lit("BUDGET "), "r_name"), "PRODUCTION CPO PREVUE"))
 
 
+WORDS_SQL = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-zÀ-ÿ]{{{{3,}}}}'), lambda t: upper(t)))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT p_name || ' ' || p_type AS actual FROM part WHERE p_size % 2 = 0), p AS (SELECT p_name || ' ' || p_type || ' ' || p_brand AS plan, count(*) AS copies FROM part WHERE p_size % 2 = 1 GROUP BY 1),
+aw AS (SELECT actual, {WORDS_SQL.format("actual").format()} AS w FROM a), pw AS (SELECT plan, copies, {WORDS_SQL.format("plan").format()} AS v FROM p),
+x AS (SELECT actual, plan, copies, len(list_intersect(w, v)) AS n FROM aw, pw), m AS (SELECT actual, max(n) AS n FROM x WHERE n > 0 GROUP BY 1)
+SELECT actual, min(plan) AS plan, n::INT AS n FROM x JOIN m USING (actual, n) GROUP BY actual, n HAVING sum(copies) = 1""")
+def plan_words(spark, sf_dir):
+    """Parts of even sizes as what happened, those of odd sizes as the plan: labels of some words each, matched by their rare ones."""
+    part = read(spark, sf_dir, "part").withColumn("label", F.concat_ws(" ", "p_name", "p_type"))
+    return series.match_plan(part.where("p_size % 2 = 0").select("label"), part.where("p_size % 2 = 1").select(F.concat_ws(" ", "label", "p_brand").alias("label")))
+
+
+@query("""WITH c AS (SELECT n_name AS client, c_mktsegment AS segment, c_acctbal::DECIMAL(18,2) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT client, segment, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT client, count(*) AS customers, sum(v)::DOUBLE AS balance FROM c GROUP BY 1),
+r AS (SELECT client, to_json({'totals': {'customers': customers, 'balance': balance}, 'segments': (SELECT list({'name': segment, 'n': n} ORDER BY segment) FROM s WHERE s.client = t.client)}) AS report FROM t)
+SELECT client, (report ->> '$.totals.customers')::BIGINT AS customers, round((report ->> '$.totals.balance')::DOUBLE, 2) AS balance, report ->> '$.segments[0].name' AS first_segment, (report ->> '$.segments[1].n')::BIGINT AS second_n, report ->> '$.segments[9].name' AS tenth FROM r""")
+def report_paths(spark, sf_dir):
+    """A report for each nation's customers, stored as VARIANT, and read again by paths."""
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("client"), F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("v"))
+    totals = F.struct(F.sum("n").alias("customers"), F.sum("v").cast("double").alias("balance"))
+    made = reports.parsed(reports.bodies(rows, ["client"], {"totals": totals, "segments": F.array_sort(F.collect_list(F.struct("name", "n")))}))
+    path = f"{folder(spark)}/reports-{uuid.uuid4().hex}"
+    reports.save(made, path)
+    found = reports.load(spark, path)
+    return found.select("client", reports.at("$.totals.customers", "long").alias("customers"), F.round(reports.at("$.totals.balance", "double"), 2).alias("balance"), reports.at("$.segments[0].name").alias("first_segment"), reports.at("$.segments[1].n", "long").alias("second_n"), reports.at("$.segments[9].name").alias("tenth"))
+
+
 @query(f"""WITH w AS (SELECT year, round(CASE WHEN year < 1997 THEN -1 ELSE 1 END * (revenue - opex - capex), 2) AS net FROM ({YEARLY_SQL})), r AS (SELECT year, round(sum(net) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING), 4) AS running FROM w)
 SELECT round(-least(min(running), 0.0), 4) AS bridge, arg_min(year, {{'r': running, 'y': year}}) AS bridge_period, CASE WHEN arg_min(running, year) < 0 THEN min(year) FILTER (running >= 0) END AS positive_from FROM r""")
 def cash_turn(spark, sf_dir):
