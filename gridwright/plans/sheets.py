@@ -386,6 +386,22 @@ def publications(spark, sf_dir):
     return Store.published(before, docs).select("analysis_id", "version", "published_at", "token")
 
 
+@query("""SELECT 'now' AS asked, c_custkey AS analysis_id, round(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END * c_acctbal, 2) AS balance FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT 'before', c_custkey, round(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END * c_acctbal, 2) FROM customer UNION ALL SELECT 'first', c_custkey, round(c_acctbal, 2) FROM customer""")
+def store_versions(spark, sf_dir):
+    """Customers as analyses: stored, a third stored again, a fifth deleted with all that hangs on it, compacted, and read at three versions."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("analysis_id"), F.col("c_acctbal").alias("balance"))
+    store = Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+    first = store.write({"analyses": rows, "published": rows.select("analysis_id")})
+    before = store.upsert("analyses", ["analysis_id"], rows.where("analysis_id % 3 = 0").withColumn("balance", F.col("balance") * 2))
+    store.cascade(rows.where("analysis_id % 5 = 0"), ["published"])
+    store.compacted("analyses", ["analysis_id"])
+    # what hangs on a deleted analysis is gone too
+    now = store.latest("analyses", ["analysis_id"]).join(store.latest("published", ["analysis_id"]).select("analysis_id"), "analysis_id")
+    as_of = lambda name, df: df.select(F.lit(name).alias("asked"), "analysis_id", F.round("balance", 2).alias("balance"))
+    return as_of("now", now).unionByName(as_of("before", store.latest("analyses", ["analysis_id"], before))).unionByName(as_of("first", store.latest("analyses", ["analysis_id"], first)))
+
+
 @query("""SELECT 'a' || o_custkey AS analysis_id, count(o_orderkey) AS n_opens, max(o_orderkey) AS last_opened FROM (SELECT c_custkey AS o_custkey FROM customer) LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders) USING (o_custkey) WHERE o_custkey % 2 = 0 GROUP BY 1""")
 def publication_opens(spark, sf_dir):
     """Customers as publications, of which those with odd keys are closed; orders open them."""
