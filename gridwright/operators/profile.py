@@ -27,26 +27,44 @@ def exact_sum(c: Column, scale: int = 2) -> Column:
     return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
 
 
-def column_profile(cells: DataFrame) -> DataFrame:
-    """Kinds, fill, type and number statistics of each column, from (name, raw)."""
+#: Counts that add up over parts of a table.
+COUNTS = ["n_rows", "n_blank", "n_number", "n_date", "n_text", "n_zero", "n_negative"]
+
+
+def profile_parts(cells: DataFrame) -> DataFrame:
+    """What a part of a table says of each column, from (name, raw), in sums, least and greatest values that `merged_parts` adds up."""
     # each different value is typed once, however many rows have it
     different = typed(cells.groupBy("name", "raw").agg(F.count(F.lit(1)).alias("n")))
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    counted = different.groupBy("name").agg(
+    return different.groupBy("name").agg(
         F.sum("n").alias("n_rows"),
         *[of(F.col("kind") == k).alias(f"n_{k}") for k in ("blank", "number", "date", "text")],
-        F.min("num").alias("min_value"), F.max("num").alias("max_value"), F.sum(F.col("num").cast("decimal(18,2)") * F.col("n")).cast("double").alias("sum_value"),
+        F.min("num").alias("min_value"), F.max("num").alias("max_value"), F.sum(F.col("num").cast("decimal(18,2)") * F.col("n")).cast("decimal(38,2)").alias("sum_value"),
         of(F.col("num") == 0).alias("n_zero"), of(F.col("num") < 0).alias("n_negative"),
     )
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """The parts of one table, added up."""
+    return parts.groupBy("name").agg(*[F.sum(c).alias(c) for c in COUNTS], F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum("sum_value").cast("decimal(38,2)").alias("sum_value"))
+
+
+def profile_of(parts: DataFrame) -> DataFrame:
+    """Kinds, fill, type and number statistics of each column, from the parts of the whole table."""
     filled = F.col("n_rows") - F.col("n_blank")
     share = lambda k: F.col(f"n_{k}") >= V.DOMINANT * filled
-    return counted.withColumns({
+    return parts.withColumn("sum_value", F.col("sum_value").cast("double")).withColumns({
         "fill": F.round(filled / F.col("n_rows"), 4),
         "mean_value": F.round(F.try_divide(F.col("sum_value"), F.col("n_number")), 4),
         "dtype": F.when(filled == 0, "empty").when(share("number"), "number").when(share("date"), "date").when(share("text"), "text").otherwise("mixed"),
     })
 
 
+def column_profile(cells: DataFrame) -> DataFrame:
+    """Kinds, fill, type and number statistics of each column, from (name, raw)."""
+    return profile_of(profile_parts(cells))
+
+
 def table_summary(profile: DataFrame) -> DataFrame:
     """One row for a table, from its columns' profiles."""
     return profile.agg(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a stream of files has of each.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def trend(events: DataFrame, every: str, late: str | None = None) -> DataFrame:
     """Counts and sums of each type in windows; `late` bounds the state of a stream."""
@@ -20,5 +23,5 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 def arrivals(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """Files as they arrive under a path, each content once within the time of `late`."""
-    files = spark.readStream.format("binaryFile").load(path)
+    files = spark.readStream.schema(FILE).format("binaryFile").load(path)
     return files.withColumn("sha256", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["sha256"])
