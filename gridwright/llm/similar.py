@@ -1,22 +1,22 @@
-"""Near-dedup by verified similarity: SimHash radius and hashed bands find pairs, shingles decide.
+"""Near-dedup by SimHash with pigeonhole blocks, wide enough for a similarity of 0.8: blocks find pairs, shingles decide.
 
 A text's words in lower case (A-Z only) make a set of shingles of `SHINGLE` words; fewer words
 are one shingle. Two texts link if their sets have a Jaccard similarity of `LEAST` or more,
 counted on the shingles themselves, and one row of each component of links stays.
 
-At 0.8 fingerprints of 64 bits differ by about ten bits, up to twice that. Blocks of the bits
-can't find such pairs: a radius of 22 leaves blocks of two bits. So candidates share one of
-`BANDS` keys of `ROWS` minimum hashes each (at 0.8 all but 1 in 13000 pairs do, of closer
-ones fewer are lost), and their fingerprints over the set lie within `RADIUS` bits. Groups of
-more than `SMALL` are first joined by each row's `NEXT` closest by fingerprint among `SPAN` rows, never
-by all pairs. Each row's closest candidate is verified first, then all pairs that the links found
-so far leave apart: no candidate goes unseen.
+At 0.8 two fingerprints differ in 15 of 100 bits, and 64 bits have no room for so many blocks. So
+the fingerprint has `WORDS` words of 64 bits, of which the first is that of `simhash`, and is cut
+into blocks of `BLOCK` bits, 32 in all. Fingerprints within 31 bits share a block, whatever the
+bits; at 78, which is usual at 0.8, nine pairs of ten do, and more of closer ones. Pairs that share
+a block are candidates if they lie within `RADIUS` on the first `FILTER` words, where unlike texts
+differ in half of the bits. Groups of more than `SMALL` are joined by each row's `NEXT` closest
+among `SPAN` rows, never by all pairs. Each row's closest candidate is verified first, then all
+pairs that the links found so far leave apart: no candidate goes unseen.
 
-What that leaves apart in large groups is found exactly, by prefixes: in one order of all
-shingles, the rarest first, two sets of similarity `LEAST` share one of the first
-n - ceil(LEAST n) + 1. Rows that share such a shingle, but for those that are joined already, and
-whose sizes allow it, are verified. So no link between rows of a large group is missed; with
-`exact` that join is over all rows, and no link at all is.
+An exact check then finds what the blocks leave apart, by prefixes: in one order of all shingles,
+two sets of similarity `LEAST` share one of the first n - ceil(LEAST n) + 1. Rows that share such
+a shingle, but for those that are joined already, and whose sizes and places allow it, are
+verified. So no link is missed. Any order will do; it begins with shingles that few rows have.
 
 Defined cases. Equal sets are one node, so copies cost nothing more; wordless texts are equal.
 Of a component the row with the least doc_id stays, then the first read; null comes last.
@@ -27,22 +27,24 @@ whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import cut, join_to_one, packed, partitions, pieces, unpacked
+from gridwright.llm.common import HOT_SHARE, cut, join_to_one, packed, partitions, unpacked
 from gridwright.llm.components import components
 from gridwright.llm.simhash import SEED, SMALL, fingerprint_of, shingle_hashes
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 24
-ROWS = 5
-RADIUS = 22
+WORDS = 8
+BLOCK = 16
+FILTER = 2
+RADIUS = 38
 NEXT = 5
 SPAN = 4096
 #: Keys of rows that a task holds, about.
 TASK_ROWS = 1 << 20
+#: Rows whose shingles are counted for the order of prefixes, and the most shingles that go last in it. Results don't depend on them.
+ORDER_ROWS, ORDER_MOST, ORDER_LEAST = 1 << 14, 1 << 16, 3
 
 
 def _odd(n: int):
@@ -52,52 +54,118 @@ def _odd(n: int):
     return np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes):
-    """A key for each band, from the distinct hashes of a set; none for an empty set."""
+def wide_fingerprint(hashes):
+    """The words of a set's fingerprint, from its distinct hashes: a bit is 1 if it is set in over half of them. The first word is `simhash.fingerprint_of`."""
     import numpy as np
 
+    out = np.zeros(WORDS, np.uint64)
     if not len(hashes):
-        return np.empty(0, np.uint64)
-    odd = _odd_of[0] if _odd_of else _odd_of.append(_odd(2 * BANDS * ROWS)) or _odd_of[0]
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * odd[None, : BANDS * ROWS]).min(axis=0))
-    mixed = ((least ^ (least >> np.uint64(29))) * odd[BANDS * ROWS :]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-    return mixed ^ (mixed >> np.uint64(32))
+        return out
+    odd = _odd_of[0] if _odd_of else _odd_of.append(_odd(2 * WORDS)) or _odd_of[0]
+    out[0] = fingerprint_of(hashes)
+    count = np.zeros(64 * (WORDS - 1), np.int64)
+    for at in range(0, len(hashes), 255):  # sums of bytes
+        part = hashes[at : at + 255, None]
+        mixed = (part ^ (part >> np.uint64(32))) * odd[None, 1:WORDS]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * odd[None, WORDS + 1 :]
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(mixed.astype("<u8")).view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+        count += bits.sum(axis=0, dtype=np.uint8)
+    out[1:] = np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")
+    return out
 
 
 _odd_of: list = []
 
 
-def _sketches(shingle: int):
+def block_keys(fingerprint):
+    """A key for each block: its place and its bits."""
+    import numpy as np
+
+    bits = fingerprint.astype("<u8").view(f"<u{BLOCK // 8}").astype(np.int64)
+    return (np.arange(len(bits), dtype=np.int64) << BLOCK) | bits
+
+
+def prefix_of(hashes, last, places, least: float):
+    """The first n - ceil(least n) + 1 of a set's sorted hashes, in the order of all sets: hashes in `last` (sorted) come last, by their `places`."""
+    import numpy as np
+
+    n = len(hashes)
+    if not n:
+        return hashes
+    most = n - int(np.ceil(least * n - 1e-9)) + 1
+    if not len(last):
+        return hashes[:most]
+    at = np.searchsorted(last, hashes)
+    at[at == len(last)] = 0
+    rank = np.where(last[at] == hashes, places[at] + 1, 0)
+    return hashes[np.argsort(rank, kind="stable")[:most]]
+
+
+def _sketches(shingle: int, least: float, last, places):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        def lists(x):
+            flat = np.concatenate([np.empty(0, np.int64), *x])
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(flat))
+
         for batch in batches:
-            sets, fps, keys = [], [], []
+            sets, sizes, fps, keys, prefixes = [], [], [], [], []
             for t in batch.column("text").cast(pa.binary()):
                 hashes = np.unique(shingle_hashes(t.as_py() or b"", shingle))
                 sets.append(xxhash.xxh128_digest(hashes.astype("<u8").tobytes()))
-                fps.append(fingerprint_of(hashes))
-                keys.append(band_keys(hashes).view(np.int64))
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            columns = [pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            at = batch.schema.get_field_index("text")
-            rest = batch.remove_column(at)
-            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "set", "fp", "keys"])
+                sizes.append(len(hashes))
+                wide = wide_fingerprint(hashes)
+                fps.append(wide[:FILTER].view(np.int64))
+                keys.append(block_keys(wide) if len(hashes) else np.empty(0, np.int64))
+                prefixes.append(prefix_of(hashes, last, places, least).view(np.int64))
+            fps = np.array(fps, np.int64).reshape(-1, FILTER)
+            columns = [pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(FILTER)], lists(keys), lists(prefixes)]
+            rest = batch.remove_column(batch.schema.get_field_index("text"))
+            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "set", "size", *FPS, "keys", "prefix"])
+
+    return run
+
+
+FPS = [f"fp{i}" for i in range(FILTER)]
+
+
+def _hashed(shingle: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
 
     return run
 
 
-def pairs_in(keys, nodes, fps, radius: int = RADIUS):
-    """Pairs (a, b) of rows with one key whose fingerprints lie within `radius`, and their distance."""
+def frequent(rows: DataFrame, n: int, shingle: int):
+    """Hashes of frequent shingles, sorted, the places of each, the rarest first, and the most frequent: ORDER_MOST at most, counted over about ORDER_ROWS of the `n` rows.
+
+    They only order the prefixes: with any other set the result is the same, and the join longer.
+    """
+    import numpy as np
+
+    some = rows.where(F.pmod(F.xxhash64("uid"), F.lit(max(1, n // ORDER_ROWS))) == 0)
+    counts = some.select("text").mapInArrow(_hashed(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= ORDER_LEAST)
+    found = counts.orderBy(F.desc("df"), "h").limit(ORDER_MOST).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - 1 - order).astype(np.int64), found[:HOT_SHARE].view(np.int64).tolist()
+
+
+def pairs_in(keys, nodes, fps, radius: int | None = None):
+    """Pairs (a, b) of rows with one key whose fingerprints (rows of words) lie within `radius`, and their distance."""
     import numpy as np
 
-    turn = (keys & np.uint64(63)).astype(np.uint64)
-    turned = (fps << turn) | (fps >> ((np.uint64(64) - turn) & np.uint64(63)))
+    radius = RADIUS if radius is None else radius
+    turn = (keys >> np.uint64(BLOCK)) * np.uint64(7) & np.uint64(63)
+    turned = (fps[:, 0] << turn) | (fps[:, 0] >> ((np.uint64(64) - turn) & np.uint64(63)))
     order = np.lexsort((nodes, turned, keys))
     keys, nodes, fps = keys[order], nodes[order], fps[order]
     new = np.ones(len(keys), bool)
@@ -108,10 +176,10 @@ def pairs_in(keys, nodes, fps, radius: int = RADIUS):
     out = []
 
     def add(i, j):
-        apart = np.bitwise_count(fps[i] ^ fps[j])
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
         near = apart <= radius
         a, b = nodes[i[near]], nodes[j[near]]
-        out.append((np.minimum(a, b), np.maximum(a, b), apart[near].astype(np.int32)))
+        out.append((np.minimum(a, b), np.maximum(a, b), apart[near]))
 
     left = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     for d in range(1, SMALL):
@@ -125,7 +193,7 @@ def pairs_in(keys, nodes, fps, radius: int = RADIUS):
             lo, hi = max(s, min(lo, s + n - SPAN)), min(lo + SPAN, s + n)
             for at in range(lo, hi, 256):
                 rows = np.arange(at, min(at + 256, hi))
-                apart = np.bitwise_count(fps[rows, None] ^ fps[None, lo:hi])
+                apart = sum(np.bitwise_count(fps[rows, None, w] ^ fps[None, lo:hi, w]) for w in range(fps.shape[1]))
                 apart[np.arange(len(rows)), rows - lo] = 255
                 add(np.repeat(rows, NEXT), lo + np.argpartition(apart, NEXT, axis=1)[:, :NEXT].ravel())
     if not out:
@@ -142,10 +210,11 @@ def _pairs(batches):
     import numpy as np
     import pyarrow as pa
 
-    got = [[b.column(c).to_numpy() for c in ("key", "node", "fp")] for b in batches]
+    got = [[b.column(c).to_numpy() for c in ("key", "node", *FPS)] for b in batches]
     if got:
-        keys, nodes, fps = (np.concatenate(x) for x in zip(*got, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_in(keys.view(np.uint64), nodes, fps.view(np.uint64))], names=["a", "b", "apart"])
+        keys, nodes, *fps = (np.concatenate(x) for x in zip(*got, strict=True))
+        found = pairs_in(keys.view(np.uint64), nodes, np.stack(fps, axis=1).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "apart"])
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> set:
@@ -183,51 +252,46 @@ def similar_links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, le
     return cut(both.mapInArrow(_verified(shingle, least), "a long, b long"), "similar-links")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b, apart of every candidate pair once, and (node) of the rows of large groups. `nodes`: node, fp, keys, written."""
-    keyed = nodes.select("node", "fp", F.explode("keys").alias("key"))
-    groups = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL), "similar-large")
-    # a group of more than a span is dealt in spans, whose rows the prefixes then join
-    salt = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / SPAN))
-    joined = keyed.join(groups, "key", "left")
-    spans = joined.select("node", "fp", F.when(F.col("n") > SPAN, F.xxhash64("key", salt)).otherwise(F.col("key")).alias("key"))
-    tasks = max(partitions(nodes.sparkSession), -(-nodes.count() * BANDS // TASK_ROWS))
-    found = spans.repartition(tasks, "key").mapInArrow(_pairs, "a long, b long, apart int")
-    return cut(found.distinct(), "similar-candidates"), joined.where("n is not null").select("node").distinct()
-
-
-def _hashed(shingle: int):
-    """node, size and h of every different shingle of a text."""
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b, apart of every candidate pair once. `nodes`: node, fp0, fp1, keys."""
+    keyed = nodes.select("node", *FPS, F.explode("keys").alias("key"))
+    large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPAN), "similar-large")
+    if large.head(1):
+        # a group of more than a span is dealt in spans; its block stays in the key
+        salt = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / SPAN)), F.lit(0))
+        keyed = keyed.join(large, "key", "left").select("node", *FPS, (F.shiftleft(salt, 32) + F.col("key")).alias("key"))
+    tasks = max(partitions(nodes.sparkSession), -(-nodes.count() * 64 * WORDS // BLOCK // TASK_ROWS))
+    found = keyed.repartition(tasks, "key").mapInArrow(_pairs, "a long, b long, apart int")
+    return cut(found.distinct(), "similar-candidates")
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
-                sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in piece.column("text").cast(pa.binary())]
-                sizes = np.array([*map(len, sets)], np.int64)
-                columns = [np.repeat(piece.column("node").to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "size", "h"])
+def _shared(batches):
+    """The rows whose h another row has too."""
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    got = [[b.column(c).to_numpy() for c in ("node", "place", "h")] for b in batches]
+    if got:
+        nodes, places, h = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        keep = order[np.append(same, False) | np.append(False, same)]
+        for at in range(0, len(keep), 1 << 16):
+            some = keep[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (nodes, places, h)], names=["node", "place", "h"])
 
 
-def prefixes(texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """node, size and those h of its prefix that another row has too, with their places from 1 among all of the row's, written once. `texts`: node, text."""
-    every = cut(texts.mapInArrow(_hashed(shingle), "node long, size long, h long"), "similar-shingles")
-    shared = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "similar-shared")
-    held = join_to_one(every, shared, "h")
-    # the prefix begins with the shingles that no other row has
-    by = W.partitionBy("node")
-    alone = F.col("size") - F.count(F.lit(1)).over(by)
-    most = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-    ranked = held.withColumns({"rank": F.row_number().over(by.orderBy("df", "h")), "alone": alone, "rest": most - alone})
-    return cut(ranked.withColumn("place", F.col("alone") + F.col("rank")).where("rank <= rest").select("node", "size", "h", "place"), "similar-prefixes")
+def prefixes(nodes: DataFrame, hot: list) -> DataFrame:
+    """node, place, h of the prefixes' shingles that more than one row has, with their places from 1 among all of the row's. Those of `hot` stay where they are."""
+    each = nodes.select("node", F.posexplode("prefix").alias("place", "h")).select("node", (F.col("place") + 1).cast("long").alias("place"), "h")
+    tasks = max(partitions(nodes.sparkSession), -(-(nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // TASK_ROWS))
+    is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+    found = each.where(~is_hot).repartition(tasks, "h").mapInArrow(_shared, "node long, place long, h long")
+    return cut(found.unionByName(each.where(is_hot)) if hot else found, "similar-prefixes")
 
 
-def apart_by_prefix(held: DataFrame, roots: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes and may be similar by their sizes and its places.
+def apart_by_prefix(held: DataFrame, sizes: DataFrame, roots: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes (`held`) and may be similar by their sizes and its places.
 
     At the first shingle that two rows share, what follows it in either has to be enough for the
     overlap that `least` asks for; so a pair is met there, if not at its later ones.
@@ -235,9 +299,12 @@ def apart_by_prefix(held: DataFrame, roots: DataFrame, least: float = LEAST) ->
     Of a shingle's rows the most frequent component needn't be held against itself, so its rows
     stand on one side only; that side is dealt in spans, and the few others go to all of them.
     """
-    named = held.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = named.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("rows"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = cut(join_to_one(cut(named, "similar-rooted"), cut(counts.where("roots > 1"), "similar-mixed"), "h"), "similar-apart")
+    rooted = cut(sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-rooted")
+    named = cut(held.join(rooted, "node"), "similar-named-prefixes")
+    shared = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
+    held = cut(join_to_one(named, cut(shared.select("h", "rows"), "similar-shared"), "h"), "similar-apart")
+    counts = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    mixed = cut(join_to_one(held, cut(counts, "similar-main"), "h"), "similar-mixed")
     spans = F.ceil(F.col("rows") / SPAN).cast("long")
     right = mixed.select("h", F.pmod(F.xxhash64("node"), spans).alias("span"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"), "main")
     left = mixed.where("root <> main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), spans - 1)).alias("span"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"))
@@ -248,16 +315,31 @@ def apart_by_prefix(held: DataFrame, roots: DataFrame, least: float = LEAST) ->
     return left.join(right, ["h", "span"]).where((F.col("root_a") != F.col("root_b")) & once & near & enough).select("a", "b").distinct()
 
 
-def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, exact: bool = False) -> DataFrame:
-    """uid, keep_uid of every row. `rows` has uid, doc_id and text, and is read from files. `exact`: not only large groups, but all rows are joined by their prefixes."""
-    sketched = cut(rows.mapInArrow(_sketches(shingle), "uid long, doc_id long, set binary, fp long, keys array<bigint>"), "sketches")
+def enough_shared(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those of `pairs` (a, b) whose prefixes share enough shingles for a similarity of `least`. `nodes`: node, size, prefix.
+
+    What two sets share lies in both prefixes, or behind the one that ends first; so only pairs that may be similar need their texts.
+    """
+    named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "similar-by-prefix-named")
+    held = cut(nodes.join(named, "node", "left_semi").select("node", "size", "prefix"), "similar-by-prefix-held")
+    both = pairs.join(held.toDF("a", "size_a", "prefix_a"), "a").join(held.toDF("b", "size_b", "prefix_b"), "b")
+    behind = F.greatest(F.col("size_a") - F.size("prefix_a"), F.col("size_b") - F.size("prefix_b"))
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return both.where(shared + behind >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9).select("a", "b")
+
+
+def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST, exact: bool = True) -> DataFrame:
+    """uid, keep_uid of every row. `rows` has uid, doc_id and text, and is read from files. Without `exact` only pairs that share a block are found."""
+    last, places, hot = frequent(rows, rows.count(), shingle)
+    schema = f"uid long, doc_id long, set binary, size long, {' long, '.join(FPS)} long, keys array<bigint>, prefix array<bigint>"
+    sketched = cut(rows.mapInArrow(_sketches(shingle, least, last, places), schema), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     sets = cut(sketched.groupBy("set").agg(first).select("set", "first", F.col("first.uid").alias("node")), "sets")
-    nodes = cut(sketched.join(sets.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "fp", "keys"), "similar-nodes")
-    pairs, large = candidates(nodes)
-    large = cut(nodes.select("node") if exact else large, "similar-in-large")
-    named = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).union(large.select(F.col("node").alias("uid"))).distinct(), "similar-named")
-    texts = cut(rows.join(named, "uid", "left_semi").select(F.col("uid").alias("node"), "text"), "similar-texts")
+    # most rows are nodes, so the others are taken away where `sketched` is read, and it isn't copied
+    others = cut(sketched.select("uid").join(sets.select(F.col("node").alias("uid")), "uid", "left_anti"), "similar-others")
+    nodes = sketched.join(others, "uid", "left_anti").select(F.col("uid").alias("node"), "size", *FPS, "keys", "prefix")
+    pairs = candidates(nodes)
+    texts = _texts(rows, pairs)
 
     closest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = similar_links(closest, texts, shingle, least)
@@ -267,9 +349,12 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST
     rest = apart.select("a", "b").join(closest, ["a", "b"], "left_anti")
     links = links.unionByName(similar_links(rest, texts, shingle, least))
     roots = cut(components(links), "similar-roots")
-    if large.head(1):
-        more = similar_links(cut(apart_by_prefix(prefixes(texts.join(large, "node", "left_semi"), shingle, least), roots, least), "similar-by-prefix"), texts, shingle, least)
-        roots = components(links.unionByName(more)) if more.head(1) else roots
+    if exact:
+        met = cut(apart_by_prefix(prefixes(nodes, hot), nodes.select("node", "size"), roots, least), "similar-by-prefix")
+        more = cut(enough_shared(met, nodes, least), "similar-enough-shared")
+        if more.head(1):
+            more = similar_links(more, _texts(rows, more), shingle, least)
+            roots = components(links.unionByName(more)) if more.head(1) else roots
 
     rooted = cut(sets.join(roots, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root")), "rooted-sets")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
@@ -277,8 +362,14 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST
     return join_to_one(sketched.select("uid", "set"), cut(classes, "set-classes"), "set").select("uid", "keep_uid")
 
 
-def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST, exact: bool = False) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are. With `exact` no link is missed, at the cost of a join of all shingles."""
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the rows that `pairs` (a, b) name."""
+    named = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct(), "similar-named")
+    return cut(rows.join(named, "uid", "left_semi").select(F.col("uid").alias("node"), "text"), "similar-texts")
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST, exact: bool = True) -> DataFrame:
+    """The rows of `docs` that stay, all columns as they are. Without `exact` only pairs that share a block are found."""
     numbered = cut(packed(docs, F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), keep=[text]), "near-input")
     # written, so that Spark knows how few they are and doesn't move the texts to meet them
     dropped = cut(similar_groups(numbered.select("uid", "doc_id", F.col("c0").alias("text")), shingle, least, exact).where("uid <> keep_uid").select("uid"), "similar-dropped")
