@@ -10,13 +10,16 @@ into blocks of `BLOCK` bits, 32 in all. Fingerprints within 31 bits share a bloc
 bits; at 78, which is usual at 0.8, nine pairs of ten do, and more of closer ones. Pairs that share
 a block are candidates if they lie within `RADIUS` on the first `FILTER` words, where unlike texts
 differ in half of the bits. Groups of more than `SMALL` are joined by each row's `NEXT` closest
-among `SPAN` rows, never by all pairs. Each row's closest candidate is verified first, then all
-pairs that the links found so far leave apart: no candidate goes unseen.
+among `SPAN` rows, never by all pairs; where the exact check follows, groups of more than `NEXT`
+give a tree, of each row and the closest before it. Each row's closest candidate is verified first,
+then all pairs that the links found so far leave apart: no candidate goes unseen.
 
-An exact check then finds what the blocks leave apart, by prefixes: in one order of all shingles,
-two sets of similarity `LEAST` share one of the first n - ceil(LEAST n) + 1. Rows that share such
-a shingle, but for those that are joined already, and whose sizes and places allow it, are
-verified. So no link is missed. Any order will do; it begins with shingles that few rows have.
+An exact check then finds what the blocks and trees leave apart, by prefixes: in one order of all
+shingles, two sets of similarity `LEAST` share one of the first n - ceil(LEAST n) + 1. Rows that
+share such a shingle, but for those that are joined already, and whose sizes and places allow it,
+are verified. So no link is missed. Any order will do. Those that a sample shows to be frequent come
+last, and those whose hashes lie in the first `COUNTED` part come first: every row sends all that it
+has of these, so that their rows are counted, and the rarest go before the others.
 
 Defined cases. Equal sets are one node, so copies cost nothing more; wordless texts are equal.
 Of a component the row with the least doc_id stays, then the first read; null comes last.
@@ -27,6 +30,7 @@ whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import HOT_SHARE, cut, join_to_one, packed, partitions, unpacked
@@ -43,8 +47,13 @@ NEXT = 5
 SPAN = 4096
 #: Keys of rows that a task holds, about.
 TASK_ROWS = 1 << 20
-#: Rows whose shingles are counted for the order of prefixes, and the most shingles that go last in it. Results don't depend on them.
+#: Part of all hashes, under a half, whose shingles are counted over all rows and come first in the order of prefixes, the rarest first. Results don't depend on it.
+COUNTED = 0.25
+#: Rows whose shingles are counted for the order of the others, and the most shingles that go last in it. Results don't depend on them.
 ORDER_ROWS, ORDER_MOST, ORDER_LEAST = 1 << 14, 1 << 16, 3
+NOT_COUNTED = 1 << 63
+#: Shingles before one in a prefix that are looked at, to meet a pair once. Results don't depend on it.
+BEFORE = 4
 
 
 def _odd(n: int):
@@ -87,19 +96,24 @@ def block_keys(fingerprint):
 
 
 def prefix_of(hashes, last, places, least: float):
-    """The first n - ceil(least n) + 1 of a set's sorted hashes, in the order of all sets: hashes in `last` (sorted) come last, by their `places`."""
+    """Of a set's sorted hashes all that are counted, and more up to n - ceil(least n) + 1, in the order of all sets: hashes in `last` (sorted) come last, by their `places`.
+
+    The highest bit is 0 for the counted ones: those in the first part of all hashes, but for `last`.
+    """
     import numpy as np
 
     n = len(hashes)
     if not n:
         return hashes
     most = n - int(np.ceil(least * n - 1e-9)) + 1
-    if not len(last):
-        return hashes[:most]
-    at = np.searchsorted(last, hashes)
-    at[at == len(last)] = 0
-    rank = np.where(last[at] == hashes, places[at] + 1, 0)
-    return hashes[np.argsort(rank, kind="stable")[:most]]
+    rank = np.zeros(n, np.int64)
+    if len(last):
+        at = np.searchsorted(last, hashes)
+        at[at == len(last)] = 0
+        rank = np.where(last[at] == hashes, places[at] + 1, 0)
+    counted = (rank == 0) & (hashes < np.uint64(COUNTED * 2**64))
+    first = np.argsort(rank, kind="stable")[: max(int(counted.sum()), most)]
+    return np.where(counted[first], hashes[first], hashes[first] | np.uint64(NOT_COUNTED))
 
 
 def _sketches(shingle: int, least: float, last, places):
@@ -156,14 +170,15 @@ def frequent(rows: DataFrame, n: int, shingle: int):
     counts = some.select("text").mapInArrow(_hashed(shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= ORDER_LEAST)
     found = counts.orderBy(F.desc("df"), "h").limit(ORDER_MOST).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(found)
-    return found[order], (len(found) - 1 - order).astype(np.int64), found[:HOT_SHARE].view(np.int64).tolist()
+    return found[order], (len(found) - 1 - order).astype(np.int64), (found[:HOT_SHARE] | np.uint64(NOT_COUNTED)).view(np.int64).tolist()
 
 
-def pairs_in(keys, nodes, fps, radius: int | None = None):
-    """Pairs (a, b) of rows with one key whose fingerprints (rows of words) lie within `radius`, and their distance."""
+def pairs_in(keys, nodes, fps, radius: int | None = None, trees: bool = False):
+    """Pairs (a, b) of rows with one key whose fingerprints (rows of words) lie within `radius`, and their distance. `trees`: of groups of more than NEXT, only each row with the closest before it."""
     import numpy as np
 
     radius = RADIUS if radius is None else radius
+    small = NEXT if trees else SMALL
     turn = (keys >> np.uint64(BLOCK)) * np.uint64(7) & np.uint64(63)
     turned = (fps[:, 0] << turn) | (fps[:, 0] >> ((np.uint64(64) - turn) & np.uint64(63)))
     order = np.lexsort((nodes, turned, keys))
@@ -181,18 +196,24 @@ def pairs_in(keys, nodes, fps, radius: int | None = None):
         a, b = nodes[i[near]], nodes[j[near]]
         out.append((np.minimum(a, b), np.maximum(a, b), apart[near]))
 
-    left = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-    for d in range(1, SMALL):
+    left = np.flatnonzero(np.repeat(sizes <= small, sizes))
+    for d in range(1, small):
         left = left[left + d < ends[left]]
         if not len(left):
             break
         add(left, left + d)
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+    for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
         for lo in range(s, s + n, SPAN):
             # a last span is as long as the others, where the group allows
             lo, hi = max(s, min(lo, s + n - SPAN)), min(lo + SPAN, s + n)
             for at in range(lo, hi, 256):
                 rows = np.arange(at, min(at + 256, hi))
+                if trees:
+                    apart = sum(np.bitwise_count(fps[rows, None, w] ^ fps[None, lo : rows[-1] + 1, w]) for w in range(fps.shape[1]))
+                    apart[np.arange(lo, rows[-1] + 1) >= rows[:, None]] = 255
+                    has = rows > lo  # the first has none before it
+                    add(lo + apart.argmin(axis=1)[has], rows[has])
+                    continue
                 apart = sum(np.bitwise_count(fps[rows, None, w] ^ fps[None, lo:hi, w]) for w in range(fps.shape[1]))
                 apart[np.arange(len(rows)), rows - lo] = 255
                 add(np.repeat(rows, NEXT), lo + np.argpartition(apart, NEXT, axis=1)[:, :NEXT].ravel())
@@ -206,15 +227,18 @@ def pairs_in(keys, nodes, fps, radius: int | None = None):
     return [a[new], b[new], apart[new]]
 
 
-def _pairs(batches):
-    import numpy as np
-    import pyarrow as pa
+def _pairs(trees: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    got = [[b.column(c).to_numpy() for c in ("key", "node", *FPS)] for b in batches]
-    if got:
-        keys, nodes, *fps = (np.concatenate(x) for x in zip(*got, strict=True))
-        found = pairs_in(keys.view(np.uint64), nodes, np.stack(fps, axis=1).view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "apart"])
+        got = [[b.column(c).to_numpy() for c in ("key", "node", *FPS)] for b in batches]
+        if got:
+            keys, nodes, *fps = (np.concatenate(x) for x in zip(*got, strict=True))
+            found = pairs_in(keys.view(np.uint64), nodes, np.stack(fps, axis=1).view(np.uint64), trees=trees)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "apart"])
+
+    return run
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> set:
@@ -252,8 +276,8 @@ def similar_links(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, le
     return cut(both.mapInArrow(_verified(shingle, least), "a long, b long"), "similar-links")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b, apart of every candidate pair once. `nodes`: node, fp0, fp1, keys."""
+def candidates(nodes: DataFrame, trees: bool = False) -> DataFrame:
+    """a, b, apart of every candidate pair once; with `trees` as many as rows in groups of more than NEXT, at most. `nodes`: node, fp0, fp1, keys."""
     keyed = nodes.select("node", *FPS, F.explode("keys").alias("key"))
     large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPAN), "similar-large")
     if large.head(1):
@@ -261,12 +285,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
         salt = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / SPAN)), F.lit(0))
         keyed = keyed.join(large, "key", "left").select("node", *FPS, (F.shiftleft(salt, 32) + F.col("key")).alias("key"))
     tasks = max(partitions(nodes.sparkSession), -(-nodes.count() * 64 * WORDS // BLOCK // TASK_ROWS))
-    found = keyed.repartition(tasks, "key").mapInArrow(_pairs, "a long, b long, apart int")
+    found = keyed.repartition(tasks, "key").mapInArrow(_pairs(trees), "a long, b long, apart int")
     return cut(found.distinct(), "similar-candidates")
 
 
 def _shared(batches):
-    """The rows whose h another row has too."""
+    """The rows whose h another row has too, and how many have it."""
     import numpy as np
     import pyarrow as pa
 
@@ -274,27 +298,41 @@ def _shared(batches):
     if got:
         nodes, places, h = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        keep = order[np.append(same, False) | np.append(False, same)]
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]], [True]]))) if len(h) else np.empty(0, np.int64)
+        df = np.repeat(runs, runs)
+        keep, df = order[df > 1], df[df > 1]
         for at in range(0, len(keep), 1 << 16):
             some = keep[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (nodes, places, h)], names=["node", "place", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[some], places[some], h[some], df[at : at + (1 << 16)])], names=["node", "place", "h", "df"])
+
 
+def prefixes(nodes: DataFrame, sizes: DataFrame, hot: list, least: float = LEAST) -> DataFrame:
+    """node, place, h of the prefixes' shingles that more than one row has, with their places from 1 among all of the row's. Those of `hot` stay where they are. `sizes`: node, size, counted.
 
-def prefixes(nodes: DataFrame, hot: list) -> DataFrame:
-    """node, place, h of the prefixes' shingles that more than one row has, with their places from 1 among all of the row's. Those of `hot` stay where they are."""
-    each = nodes.select("node", F.posexplode("prefix").alias("place", "h")).select("node", (F.col("place") + 1).cast("long").alias("place"), "h")
+    Of the counted shingles those that no other row has come first, then the others, the rarest
+    first; what lies behind the prefix then is left out.
+    """
+    is_counted = F.col("h") >= 0
+    each = nodes.select("node", F.posexplode("prefix").alias("place", "h")).select("node", F.when(is_counted, 0).otherwise(F.col("place") + 1).cast("long").alias("place"), "h")
     tasks = max(partitions(nodes.sparkSession), -(-(nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // TASK_ROWS))
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
-    found = each.where(~is_hot).repartition(tasks, "h").mapInArrow(_shared, "node long, place long, h long")
-    return cut(found.unionByName(each.where(is_hot)) if hot else found, "similar-prefixes")
+    found = each.where(~is_hot).repartition(tasks, "h").mapInArrow(_shared, "node long, place long, h long, df long")
+    if hot:
+        found = found.unionByName(each.where(is_hot).withColumn("df", F.lit(None).cast("long")))
+    shared = cut(found, "similar-counted").join(sizes, "node")
+    by = W.partitionBy("node")
+    alone = F.col("counted") - F.sum(is_counted.cast("long")).over(by)
+    ranked = shared.withColumns({"alone": alone, "rank": F.row_number().over(by.orderBy(~is_counted, "place", "df", "h"))})
+    placed = ranked.withColumn("place", F.when(is_counted, F.col("alone") + F.col("rank")).otherwise(F.col("place")))
+    return cut(placed.where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).select("node", "place", "h"), "similar-prefixes")
 
 
 def apart_by_prefix(held: DataFrame, sizes: DataFrame, roots: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle of their prefixes (`held`) and may be similar by their sizes and its places.
 
     At the first shingle that two rows share, what follows it in either has to be enough for the
-    overlap that `least` asks for; so a pair is met there, if not at its later ones.
+    overlap that `least` asks for; so a pair is met there, and needn't be at later ones: it isn't
+    where one of the `BEFORE` shingles before is shared too.
 
     Of a shingle's rows the most frequent component needn't be held against itself, so its rows
     stand on one side only; that side is dealt in spans, and the few others go to all of them.
@@ -304,21 +342,24 @@ def apart_by_prefix(held: DataFrame, sizes: DataFrame, roots: DataFrame, least:
     shared = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     held = cut(join_to_one(named, cut(shared.select("h", "rows"), "similar-shared"), "h"), "similar-apart")
     counts = held.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = cut(join_to_one(held, cut(counts, "similar-main"), "h"), "similar-mixed")
+    before = F.collect_list("h").over(W.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1))
+    mixed = cut(join_to_one(held, cut(counts, "similar-main"), "h").withColumn("before", before), "similar-mixed")
     spans = F.ceil(F.col("rows") / SPAN).cast("long")
-    right = mixed.select("h", F.pmod(F.xxhash64("node"), spans).alias("span"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"), "main")
-    left = mixed.where("root <> main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), spans - 1)).alias("span"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"))
+    right = mixed.select("h", F.pmod(F.xxhash64("node"), spans).alias("span"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"), F.col("before").alias("before_b"), "main")
+    left = mixed.where("root <> main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), spans - 1)).alias("span"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), F.col("root").alias("root_a"), F.col("before").alias("before_a"))
     once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
     near = (F.col("size_a") >= least * F.col("size_b") - 1e-9) & (F.col("size_b") >= least * F.col("size_a") - 1e-9)
     behind = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
     enough = behind >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    return left.join(right, ["h", "span"]).where((F.col("root_a") != F.col("root_b")) & once & near & enough).select("a", "b").distinct()
+    first = ~F.arrays_overlap("before_a", "before_b")
+    return left.join(right, ["h", "span"]).where((F.col("root_a") != F.col("root_b")) & once & near & enough & first).select("a", "b").distinct()
 
 
 def enough_shared(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Those of `pairs` (a, b) whose prefixes share enough shingles for a similarity of `least`. `nodes`: node, size, prefix.
 
-    What two sets share lies in both prefixes, or behind the one that ends first; so only pairs that may be similar need their texts.
+    What two sets share lies in both prefixes, or behind the one that ends first, in the order that
+    `prefix_of` keeps; so only pairs that may be similar need their texts.
     """
     named = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "similar-by-prefix-named")
     held = cut(nodes.join(named, "node", "left_semi").select("node", "size", "prefix"), "similar-by-prefix-held")
@@ -338,7 +379,7 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST
     # most rows are nodes, so the others are taken away where `sketched` is read, and it isn't copied
     others = cut(sketched.select("uid").join(sets.select(F.col("node").alias("uid")), "uid", "left_anti"), "similar-others")
     nodes = sketched.join(others, "uid", "left_anti").select(F.col("uid").alias("node"), "size", *FPS, "keys", "prefix")
-    pairs = candidates(nodes)
+    pairs = candidates(nodes, trees=exact)
     texts = _texts(rows, pairs)
 
     closest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
@@ -350,7 +391,9 @@ def similar_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST
     links = links.unionByName(similar_links(rest, texts, shingle, least))
     roots = cut(components(links), "similar-roots")
     if exact:
-        met = cut(apart_by_prefix(prefixes(nodes, hot), nodes.select("node", "size"), roots, least), "similar-by-prefix")
+        counted = F.size(F.filter("prefix", lambda h: h >= 0)).cast("long")
+        sizes = cut(nodes.select("node", "size", counted.alias("counted")), "similar-sizes")
+        met = cut(apart_by_prefix(prefixes(nodes, sizes, hot, least), sizes.select("node", "size"), roots, least), "similar-by-prefix")
         more = cut(enough_shared(met, nodes, least), "similar-enough-shared")
         if more.head(1):
             more = similar_links(more, _texts(rows, more), shingle, least)
