@@ -411,5 +411,7 @@ def publication_opens(spark, sf_dir):
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 3 AS allowed FROM events")
 def throttled(spark, sf_dir):
-    log = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("long").alias("at"))
+    """Times count in whole seconds, rounded to the nearest, halves to the even one, as the SQL's cast of epoch() does."""
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)).cast("long")
+    log = read(spark, sf_dir, "events").select("user_id", "event_id", seconds.alias("at"))
     return Store.throttle(log, "user_id", "at").select("user_id", "event_id", "allowed")
