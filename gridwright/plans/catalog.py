@@ -95,7 +95,7 @@ FROM (SELECT DISTINCT l_suppkey FROM lineitem)""")
 def a1_references(spark, sf_dir):
     keys = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("n")).distinct()
     named = keys.withColumn("ref", C.a1(F.lit(6), F.col("n")))
-    return named.select("n", "ref", C.parse_a1(F.col("ref"))["col"].cast("long").alias("back"))
+    return named.select("n", "ref", C.parse_a1(F.col("ref"), exact=True)["col"].cast("long").alias("back"))
 
 
 # Profiles
