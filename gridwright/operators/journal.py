@@ -101,96 +101,183 @@ def tie_out(rows: DataFrame, table: DataFrame, most: float = 1.0) -> DataFrame:
     return (a.join(b, own) if own else a.join(b)).withColumn("ok", F.abs(F.col("journal") - F.col("aggregated")) <= most)
 
 
-#: Rows of the site's journal for which there is a band of amounts, about.
-BAND_ROWS = 20_000
+#: Rows of the site's journal that a month may have before it is cut into bands of so many: what one task holds in plain arrays.
+BAND_ROWS = 8_000_000
 
 
 def orphans(head: DataFrame, site: DataFrame, rate: float, band_rows: int = BAND_ROWS) -> DataFrame:
     """Rows of the head office's journal that no row of the site's matches, one to one within a month of a book.
 
     In order of date, journal and place each row takes the first free row that is near enough in
-    either currency, so that which row is used up decides what the next can match. But only rows
-    of near amounts compete: each month is cut into bands of amounts, a band holds the site's rows
-    that any of its own can match, and is walked by itself. A row of the site that stands in two
-    bands may be taken in both; then the earlier of the two keeps it, all bands are told, and those
-    that it concerns are walked again, until nothing changes. The first row that is decided wrongly
-    stands behind one that was so a round before, so the outcome is that of a walk of the whole.
-
-    A band is a task's; its width follows from the counts of amounts, so that it has `band_rows`
-    rows or so, but rows of one amount are never parted.
+    either currency, so that which row is used up decides what the next can match. A month is
+    walked in one task, where each row costs the logarithm of the number of amounts.
+
+    A month of more than `band_rows` rows of the site is cut into bands of amounts, as only rows of
+    near amounts compete: a band holds the site's rows that any of its own can match, and is walked
+    by itself. A row of the site that stands in two bands may be taken in both; then the earlier of
+    the two keeps it, all bands are told, and they are walked again, until nothing changes. The
+    first row that is decided wrongly stands behind one that was so a round before, so the outcome
+    is that of a walk of the whole. Rounds are many where amounts are dense (91 with six bands of a
+    month of 540,000 rows), so bands are for what a task can't hold. Rows of one amount are never
+    parted. Rows without a date match nothing.
     """
     own = book(head, site)
     keys = [*own, "month"]
-    month = F.date_format("d", "yyyy-MM").alias("month")
-    place = F.struct(F.col("d").cast("string").alias("d"), "j", "seq")
+    amount = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    shaped = lambda df, is_left, cdf: df.select(*own, F.date_format("d", "yyyy-MM").alias("month"), "d", "j", F.col("seq").cast("long").alias("seq"), F.lit(is_left).alias("is_left"), amount("outU").alias("usd"), cdf.alias("cdf"))
+    both = shaped(head.where(F.coalesce("outU", F.lit(0.0)) > 0), True, F.lit(0.0)).unionByName(shaped(site.where("d is not null"), False, amount("outC")))
+    parts = scans.ranged(both, keys, ["d", "j", "seq"], "orphans-rows")
+    rows = scans.placed(parts, keys, ["d", "j", "seq"], "n").select(*keys, "is_left", "n", "usd", "cdf", *[F.when(F.col("is_left"), F.col(c)).alias(c) for c in ("j", "seq")])
+
+    schema = ", ".join(f"{c} string" for c in keys) + ", band long, n long, taken long, j string, seq long, usd double"
+    if parts.where("not is_left").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > band_rows).head(1):
+        walked = _walked_in_bands(written(rows, "orphans-placed"), keys, rate, band_rows, schema)
+    else:
+        whole = rows.withColumns({"band": F.lit(0).cast("long"), "is_shared": F.lit(False)})
+        walk = _walker(keys, rate)
+        walked = whole.groupBy(*keys).applyInArrow(lambda rows: walk(rows, None), schema)
+    return walked.where("taken is null").select(*keys, "j", "seq", F.col("usd").alias("out_usd"))
+
+
+def _walked_in_bands(placed: DataFrame, keys: list[str], rate: float, band_rows: int, schema: str) -> DataFrame:
+    """Rows without a match, and the matches of rows that several bands have, after as many rounds as it takes."""
     reach = max(V.MATCH_USD, V.MATCH_CDF / rate)
-    left = written(head.where(F.coalesce("outU", F.lit(0.0)) > 0).select(*own, month, place.alias("place"), F.col("outU").cast("double").alias("usd")), "orphans-head")
-    right = written(site.select(*own, month, place.alias("place"), F.coalesce(F.col("outU").cast("double"), F.lit(0.0)).alias("usd"), F.coalesce(F.col("outC").cast("double"), F.lit(0.0)).alias("cdf")), "orphans-site")
-
+    left, right = placed.where("is_left"), placed.where("not is_left")
     # cells of amounts as wide as what may match, numbered into bands by running counts
     cell = lambda c: F.floor(c / F.lit(2 * reach))
-    counts = right.groupBy(*keys, cell(F.col("usd")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).unionByName(left.groupBy(*keys, cell(F.col("usd")).alias("cell")).agg(F.lit(0).cast("long").alias("n")))
-    sums = counts.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-    before = scans.running(scans.ranged(sums, keys, ["cell"], "orphans-cells"), keys, ["cell"], F.col("n"), "before")
+    sums = placed.groupBy(*keys, cell(F.col("usd")).alias("cell")).agg(F.count_if(~F.col("is_left")).alias("rows"))
+    before = scans.running(scans.ranged(sums, keys, ["cell"], "orphans-cells"), keys, ["cell"], F.col("rows"), "before")
     bands = written(before.select(*keys, "cell", F.floor(F.col("before") / band_rows).alias("band")), "orphans-bands")
-    banded = left.withColumn("cell", cell(F.col("usd"))).join(bands, [*keys, "cell"]).drop("cell")
+    # a month that isn't known has no band, and nothing that matches
+    banded = left.withColumn("cell", cell(F.col("usd"))).join(bands, [*keys, "cell"], "left").withColumns({"band": F.coalesce("band", F.lit(0).cast("long")), "is_shared": F.lit(False)}).drop("cell")
     # a row of the site goes to the bands of all cells that its amounts reach
     reached = F.array_distinct(F.flatten(F.array(*[F.array(*[cell(x + d * F.lit(reach)) for d in (-1, 0, 1)]) for x in (F.col("usd"), F.col("cdf") / rate)])))
-    met = right.withColumn("cell", F.explode(reached)).join(bands, [*keys, "cell"]).drop("cell").distinct()
-    rows = written(banded.select(*keys, "band", F.lit(True).alias("is_left"), "place", "usd", F.lit(0.0).alias("cdf")).unionByName(met.select(*keys, "band", F.lit(False).alias("is_left"), "place", "usd", "cdf")), "orphans-rows")
-    shared = written(met.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "orphans-shared")
+    met = right.withColumn("cell", F.explode(reached)).join(bands, [*keys, "cell"]).groupBy(*keys, "n").agg(F.collect_set("band").alias("bands"), *[F.first(c).alias(c) for c in ("is_left", "usd", "cdf", "j", "seq")])
+    dealt = met.withColumn("is_shared", F.size("bands") > 1).withColumn("band", F.explode("bands")).drop("bands")
+    rows = written(banded.unionByName(dealt), "orphans-bands-rows")
+    shared = rows.where("is_shared").select(*keys, "band", F.col("n").alias("taken"))
 
-    schema = ", ".join(f"{c} string" for c in keys) + ", band long, place struct<d:string,j:string,seq:bigint>, taken struct<d:string,j:string,seq:bigint>, usd double"
-    claims = written(head.sparkSession.createDataFrame([], schema), "orphans-claims")
+    claims = written(placed.sparkSession.createDataFrame([], schema), "orphans-claims")
     while True:
-        told = claims.select(*keys, F.col("band").alias("of"), F.col("taken").alias("place"), F.col("place").alias("by"))
         # what a row of the site is to its bands: who else takes it first
-        outside = shared.join(told, [*keys, "place"]).withColumnRenamed("of", "other").join(rows.where("not is_left").select(*keys, "band", "place"), [*keys, "place"]).where("band <> other").groupBy(*keys, "band", "place").agg(F.min("by").alias("by"))
-        outside = outside.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, "band")], "place", "by")
-        walked = written(rows.groupBy(*keys, "band").cogroup(outside.groupBy(*[f"of_{c}" for c in (*keys, "band")])).applyInPandas(_walker(keys, rate), schema), "orphans-walked")
-        now = written(walked.where("taken is not null").join(shared.withColumnRenamed("place", "taken"), [*keys, "taken"], "left_semi").select(*walked.columns), "orphans-claims")
+        told = claims.select(*keys, F.col("band").alias("of"), "taken", F.col("n").alias("by"))
+        outside = shared.join(told, [*keys, "taken"]).where("band <> of").groupBy(*keys, "band", "taken").agg(F.min("by").alias("by"))
+        outside = outside.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, "band")], "taken", "by")
+        walked = written(rows.groupBy(*keys, "band").cogroup(outside.groupBy(*[f"of_{c}" for c in (*keys, "band")])).applyInArrow(_walker(keys, rate), schema), "orphans-walked")
+        now = walked.where("taken is not null")
         if not now.exceptAll(claims).head(1) and not claims.exceptAll(now).head(1):
-            return walked.where("taken is null").select(*keys, F.col("place.j").alias("j"), F.col("place.seq").alias("seq"), F.col("usd").alias("out_usd"))
+            return walked
         claims = now
 
 
 def _walker(keys: list[str], rate: float):
-    """The walk of a band: free rows are found by their amounts, sorted once for either currency."""
+    """The walk of a band: its rows without a match, and its matches with rows that other bands have too."""
     import numpy as np
-    import pandas as pd
-
-    def walk(rows: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-        of = lambda p: (p["d"], p["j"], p["seq"])
-        names = [*keys, "band", "place", "taken", "usd"]
-        left = rows[rows.is_left]
-        left = left.iloc[sorted(range(len(left)), key=lambda i: of(left.place.iloc[i]))] if len(left) else left
-        right = rows[~rows.is_left]
-        right = right.iloc[sorted(range(len(right)), key=lambda i: of(right.place.iloc[i]))] if len(right) else right
-        if not len(left):
-            return pd.DataFrame([], columns=names)
-        amounts = right[["usd", "cdf"]].to_numpy(float).reshape(-1, 2)
-        sorted_ = [(np.argsort(amounts[:, k], kind="stable"), np.sort(amounts[:, k])) for k in (0, 1)]
-        free = np.ones(len(right), bool)
-        taken_by = {of(p): of(by) for p, by in zip(outside.place, outside.by, strict=True)}
-        others = [taken_by.get(of(p)) for p in right.place]
-        claimed = np.array([x is not None for x in others], bool)
-        out = []
-        for place, usd in zip(left.place, left.usd, strict=True):
-            near = []
-            for k, x, most in ((0, usd, V.MATCH_USD), (1, usd * rate, V.MATCH_CDF)):
-                places, held = sorted_[k]
-                some = places[np.searchsorted(held, x - most) : np.searchsorted(held, x + most, side="right")]
-                some = some[free[some]]
-                near.append(some[abs(amounts[some, k] - x) < most])
-            hit = None
-            for i in np.unique(np.concatenate(near)):
-                if not claimed[i] or others[i] > of(place):
-                    hit = int(i)
-                    break
-            if hit is not None:
-                free[hit] = False
-            out.append((*(rows[c].iloc[0] for c in [*keys, "band"]), place, None if hit is None else right.place.iloc[hit], usd))
-        return pd.DataFrame(out, columns=names)
+    import pyarrow as pa
+
+    class Free:
+        """Free rows by one amount: a queue for each different one, and a tree of the queues' first rows."""
+
+        def __init__(self, amounts: np.ndarray, gone: bytearray):
+            self.different, of = np.unique(amounts, return_inverse=True)
+            queued = np.argsort(of, kind="stable")
+            starts = np.searchsorted(of[queued], np.arange(len(self.different) + 1))
+            self.none, self.gone = len(amounts), gone
+            self.leaves = 1 << (len(self.different) - 1).bit_length()
+            tree = np.full(2 * self.leaves, self.none, np.int64)
+            tree[self.leaves : self.leaves + len(self.different)] = queued[starts[:-1]]
+            at = self.leaves
+            while at > 1:
+                tree[at // 2 : at] = tree[at : 2 * at].reshape(-1, 2).min(axis=1)
+                at //= 2
+            # plain arrays: an item of theirs costs less than numpy's
+            self.tree, self.queued, self.next, self.ends, self.of = (memoryview(np.ascontiguousarray(x, np.int64)) for x in (tree, queued, starts[:-1], starts[1:], of))
+
+        def bounds(self, wanted: np.ndarray, most: float) -> tuple[list[int], list[int]]:
+            """The leaves with abs(amount - wanted) < most, as that is computed, from and to."""
+            held = np.concatenate([[np.nan], self.different, [np.nan]])
+            near = lambda i: np.abs(held[i + 1] - wanted) < most
+            low, high = np.searchsorted(self.different, wanted - most), np.searchsorted(self.different, wanted + most, side="right")
+            with np.errstate(invalid="ignore"):
+                while (k := near(low - 1)).any():
+                    low = low - k
+                while (k := (low < high) & ~near(low)).any():
+                    low = low + k
+                while (k := near(high)).any():
+                    high = high + k
+                while (k := (low < high) & ~near(high - 1)).any():
+                    high = high - k
+            return (low + self.leaves).tolist(), (high + self.leaves).tolist()
+
+        def first(self, low: int, high: int) -> int:
+            tree, found = self.tree, self.none
+            while low < high:
+                if low & 1:
+                    found = min(found, tree[low])
+                    low += 1
+                if high & 1:
+                    high -= 1
+                    found = min(found, tree[high])
+                low >>= 1
+                high >>= 1
+            return found
+
+        def drop(self, row: int) -> None:
+            """Make the next free row of its amount the first, where `row` is that."""
+            tree, leaf = self.tree, self.of[row]
+            at = leaf + self.leaves
+            if tree[at] != row:
+                return
+            k, end = self.next[leaf], self.ends[leaf]
+            while k < end and self.gone[self.queued[k]]:
+                k += 1
+            self.next[leaf] = k
+            tree[at] = self.queued[k] if k < end else self.none
+            at >>= 1
+            while at:
+                least = min(tree[2 * at], tree[2 * at + 1])
+                if tree[at] == least:
+                    return
+                tree[at] = least
+                at >>= 1
+
+    def walk(rows: pa.Table, outside: pa.Table | None) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy()
+        is_left, n = column(rows, "is_left").astype(bool), column(rows, "n")
+        order = np.argsort(n)
+        left, right = order[is_left[order]], order[~is_left[order]]
+        hits = np.full(len(left), -1)
+        if len(left) and len(right):
+            usd, cdf, places = column(rows, "usd"), column(rows, "cdf"), n[right]
+            gone = bytearray(len(right))
+            free = [Free(usd[right], gone), Free(cdf[right], gone)]
+            bounds = [x for f, wanted, most in zip(free, (usd[left], usd[left] * rate), (V.MATCH_USD, V.MATCH_CDF), strict=True) for x in f.bounds(wanted, most)]
+
+            def drop(row: int) -> None:
+                gone[row] = 1
+                for f in free:
+                    f.drop(row)
+
+            lost = []
+            if outside is not None and len(outside):
+                by, taken = column(outside, "by"), column(outside, "taken")
+                lost = sorted(zip(by.tolist(), np.searchsorted(places, taken).tolist(), strict=True), reverse=True)
+            for i, (place, *within) in enumerate(zip(n[left].tolist(), *bounds, strict=True)):
+                # what others take before this row isn't free for it, nor for those behind it
+                while lost and lost[-1][0] < place:
+                    row = lost.pop()[1]
+                    if not gone[row]:
+                        drop(row)
+                hit = min(free[0].first(within[0], within[1]), free[1].first(within[2], within[3]))
+                if hit < len(right):
+                    hits[i] = hit
+                    drop(hit)
+        is_shared = column(rows, "is_shared").astype(bool)[right]
+        told = np.array([h < 0 or is_shared[h] for h in hits], bool)
+        out = rows.take(pa.array(left[told]))
+        taken = pa.array(n[right][hits[told]] if len(right) else hits[told], pa.int64(), mask=hits[told] < 0)
+        names = [*keys, "band", "n", "taken", "j", "seq", "usd"]
+        return pa.table([taken if c == "taken" else out.column(c) for c in names], names=names)
 
     return walk
 
